@@ -80,6 +80,22 @@ def email_quality(email: Column, points: Mapping[str, int] | None = None) -> dic
     return _points(flags, clean.rlike(EMAIL_PATTERN), "email_quality")
 
 
+def list_flags(email: Column, phone: Column) -> dict[str, Column]:
+    """Which of the reference lists an email and a phone are on.
+
+    The lists are fixed and short, so they are literals of the expression and need no join.
+    """
+    clean = text.email_std(email)
+    mailbox = F.substring_index(clean, "@", 1)
+    return {
+        "personal_domain": F.substring_index(clean, "@", -1).isin(PERSONAL_DOMAINS),
+        "generic_mailbox": mailbox.isin(GENERIC_MAILBOXES),
+        "admin_mailbox": mailbox.isin(ADMIN_MAILBOXES),
+        "department_mailbox": mailbox.isin(DEPARTMENT_MAILBOXES),
+        "toll_free": F.substring(text.phone_std(phone), 1, 3).isin(TOLL_FREE_CODES),
+    }
+
+
 def phone_quality(phone: Column, extension: Column, points: Mapping[str, int] | None = None) -> dict[str, Column]:
     """Columns ``phone_quality_<criterion>`` and ``phone_quality_total``."""
     points = {**PHONE_POINTS, **(points or {})}

@@ -9,7 +9,8 @@ pandas UDF; everything around it is native.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -73,20 +74,34 @@ def lcs_lengths(left: pd.Series, right: pd.Series) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.IntegerType())
-def _lcs_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in batches:
-        yield pd.Series(lcs_lengths(left, right), dtype="int32")
+@cache
+def _lcs_udf(pairs: int):
+    """UDF of 2 * ``pairs`` strings giving a struct of ``pairs`` lengths.
 
+    Several comparisons of a row share one trip to Python. It is declared
+    nondeterministic because a filter on a similarity would otherwise be pushed below the
+    projection that computes it, and the UDF would run twice.
+    """
 
-# A filter on a similarity would otherwise be pushed below the projection that computes
-# it, and the UDF would run twice.
-_lcs_udf = _lcs_udf.asNondeterministic()
+    def lengths(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            yield pd.DataFrame(
+                {f"lcs{i}": lcs_lengths(columns[2 * i], columns[2 * i + 1]).astype("int32") for i in range(pairs)}
+            )
+
+    lengths.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
+    schema = T.StructType([T.StructField(f"lcs{i}", T.IntegerType()) for i in range(pairs)])
+    return F.pandas_udf(lengths, schema).asNondeterministic()
+
+
+def lcs_lengths_of(pairs: Sequence[tuple[Column, Column]]) -> Column:
+    """Struct ``lcs0, lcs1, ..`` of the LCS lengths of several pairs of strings."""
+    return _lcs_udf(len(pairs))(*(c for pair in pairs for c in pair))
 
 
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two strings."""
-    return _lcs_udf(a, b)
+    return lcs_lengths_of([(a, b)])["lcs0"]
 
 
 def indel_ratio(a: Column, b: Column, lcs: Column | None = None) -> Column:

@@ -16,6 +16,12 @@ SPACE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
+# The same characters as text, for trimming.
+SPACE_CHARACTERS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
 # Words dropped from company names wherever they stand.
 COMPANY_NOISE = (
     "inc incorporated corp corporation llc ltd limited co company "
@@ -50,7 +56,7 @@ def or_blank(value: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """Remove Unicode white space at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(or_blank(value), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(or_blank(value), F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(value: Column) -> Column:
@@ -94,4 +100,9 @@ def email_std(value: Column) -> Column:
 
 def token_sort(value: Column) -> Column:
     """Tokens in sorted order, one space between them."""
-    return F.array_join(F.sort_array(F.split(strip(value), f"[{SPACE}]+")), " ")
+    return sorted_words(F.regexp_replace(strip(value), f"[{SPACE}]+", " "))
+
+
+def sorted_words(value: Column) -> Column:
+    """Words in sorted order, of text that has single spaces only."""
+    return F.when(value.contains(" "), F.array_join(F.sort_array(F.split(value, " ")), " ")).otherwise(value)

@@ -30,13 +30,16 @@ GROWTH = 8
 BUCKET_ROWS = 1024
 
 
-def match_columns(df: DataFrame, rules: RuleSet, order: str, block: Column, given_key: str | None = None) -> DataFrame:
+def match_columns(
+    df: DataFrame, rules: RuleSet, order: str, block: Column, given_key: str | None = None, extra: list[Column] | None = None
+) -> DataFrame:
     """The narrow table that matching shuffles: order, block key, comparison columns."""
-    extra = [F.nullif(F.col(f"`{given_key}`"), F.lit("")).alias("given_key")] if given_key else []
+    given = [F.nullif(F.col(f"`{given_key}`"), F.lit("")).alias("given_key")] if given_key else []
     return df.select(
         F.col(order).cast("long").alias("ord"),
         block.alias("block_key"),
-        *extra,
+        *given,
+        *(extra or []),
         *(c.alias(name) for name, c in rules.record_columns(df).items()),
     )
 
@@ -52,7 +55,7 @@ def _any(tests: list[Column]) -> Column:
 def _verdicts(pairs: DataFrame, rules: RuleSet, ranked: list[tuple[int, Rule]]) -> DataFrame:
     """Matched pairs with the rank of their best rule and its scores."""
     used = [rule for _, rule in ranked]
-    with_sims = pairs.withColumns(rules.similarities(used, "l_", "r_"))
+    with_sims = rules.with_similarities(pairs, used, "l_", "r_")
     rank = F.lit(None).cast("int")
     for place, rule in reversed(ranked):
         rank = F.when(rules.matches(rule, "l_", "r_"), place).otherwise(rank)

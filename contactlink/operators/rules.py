@@ -195,8 +195,8 @@ def comparator(name: str, for_score: bool = False, strict_email: bool = False) -
 
 
 _CLEAN = {
-    "company": lambda c: text.token_sort(text.company_std(c)),
-    "address": lambda c: text.token_sort(text.address_std(c)),
+    "company": lambda c: text.sorted_words(text.company_std(c)),
+    "address": lambda c: text.sorted_words(text.address_std(c)),
     "phone": text.phone_std,
     "email": text.email_std,
     "text": text.token_sort,
@@ -305,11 +305,18 @@ class RuleSet:
         cheap_first = sorted(rule.conditions, key=lambda c: (not c.blank, self.needs_lcs(rule, c)))
         return reduce(and_, (self._test(rule, c, left, right, exact=False) for c in cheap_first))
 
-    def similarities(self, rules: Iterable[Rule], left: str, right: str) -> dict[str, Column]:
-        """Columns ``sim_<column>`` of every fuzzy comparison the rules ask for."""
-        return {
-            f"sim_{n}": similarity.indel_ratio(F.col(left + n), F.col(right + n)) for n in self.lcs_columns(rules)
-        }
+    def with_similarities(self, pairs: DataFrame, rules: Iterable[Rule], left: str, right: str) -> DataFrame:
+        """Add columns ``sim_<column>`` of every fuzzy comparison the rules ask for."""
+        names = self.lcs_columns(rules)
+        if not names:
+            return pairs
+        sides = [(F.col(left + n), F.col(right + n)) for n in names]
+        return pairs.withColumn("_lcs", similarity.lcs_lengths_of(sides)).withColumns(
+            {
+                f"sim_{n}": similarity.indel_ratio(a, b, F.col(f"_lcs.lcs{i}"))
+                for i, (n, (a, b)) in enumerate(zip(names, sides))
+            }
+        )
 
     def matches(self, rule: Rule, left: str, right: str) -> Column:
         """The rule's verdict on a pair that carries its similarities."""

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contactlink.sources.files import spread
+
 CONTACTS_SQL = """
 WITH b AS (
   SELECT o_orderkey AS rid, o_orderkey % 4 AS v, CAST((o_orderkey - o_orderkey % 4) / 4 AS BIGINT) AS e FROM {orders}
@@ -51,4 +53,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def contacts(spark: SparkSession, folder: str) -> DataFrame:
     """The contact records; ``RID`` is the record order."""
-    return spark.sql(CONTACTS_SQL, orders=table(spark, folder, "orders"), part=table(spark, folder, "part"))
+    orders = spread(table(spark, folder, "orders").select("o_orderkey"))
+    return spark.sql(CONTACTS_SQL, orders=orders, part=table(spark, folder, "part"))

@@ -67,21 +67,26 @@ def run_match(
     state = state or empty_state(df.sparkSession)
     rule_set = RuleSet(default_rules() if rules is None else rules, strict_email)
 
+    # Cleaning is the costly part per record and several steps need it, so the narrow
+    # table is written once; the wide record is only touched again for the result.
     clean = with_data_hash(standardize(df))
     given_key = "DEDUP_KEY" if "DEDUP_KEY" in df.columns else None
-    narrow = matching.match_columns(clean, rule_set, order, matching.record_block_key(clean), given_key)
-    best = matching.named_matches(matching.best_match(narrow, rule_set, **search), rule_set)
-
-    records = clean.select(
-        F.col(order).cast("long").alias("ord"),
-        "data_hash",
-        keys.identifier(field(df, "SOURCE_TYPE"), field(df, "SOURCE_ID")).alias("identifier"),
-    ).join(best, "ord", "left")
+    identifier = keys.identifier(field(df, "SOURCE_TYPE"), field(df, "SOURCE_ID")).alias("identifier")
+    own = ["data_hash", "identifier"]
+    narrow = materialize(
+        matching.match_columns(
+            clean, rule_set, order, matching.record_block_key(clean), given_key, [F.col("data_hash"), identifier]
+        ),
+        "narrow",
+    )
+    compared = narrow.drop(*own)
+    best = matching.named_matches(matching.best_match(compared, rule_set, **search), rule_set)
+    records = narrow.select("ord", *own).join(best, "ord", "left")
     records = records.withColumn("is_match", F.col("match_ord").isNotNull())
     if given_key:
         records = records.withColumnRenamed("match_given_key", "explicit_key")
     if mode == "cluster":
-        cluster = clusters.cluster_labels(narrow.drop("given_key"), rule_set, **search)
+        cluster = clusters.cluster_labels(compared.drop("given_key"), rule_set, **search)
         keyed = clusters.cluster_keys(records.select("ord", "data_hash"), cluster, state)
         resolved = linking.with_stored_key(records.drop("explicit_key").join(keyed, "ord"), state)
         first = F.min(F.when(F.col("stored_key").isNull(), F.col("ord")))

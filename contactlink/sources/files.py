@@ -35,6 +35,15 @@ def read_csv(
     return with_order(df, order) if order else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Shuffle a plain scan that has fewer splits than the cluster has cores.
+
+    Only small inputs have; a large one keeps its splits and is not moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def with_order(df: DataFrame, name: str = ORDER) -> DataFrame:
     """Number the records in the order Spark reads them."""
     return df.withColumn(name, F.monotonically_increasing_id())
