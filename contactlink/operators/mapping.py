@@ -20,23 +20,32 @@ def auto_map(headers: DataFrame, catalog: Catalog, header: str = "header") -> Da
 
     The first column in catalog order that is equal to the header or lists it as an
     alternate wins; failing that, the first whose name contains it or is contained in
-    it. The catalog is a fixed vocabulary, so it is part of the expression: one
-    projection, no join. Distinct headers are mapped once.
+    it. The catalog is a fixed vocabulary, so it goes into the expression as a literal
+    map and array: one projection, no join. Distinct headers are mapped once.
     """
-    name = F.upper(F.col(header))
-    name = text.strip(name)
-    hit = F.lit(None)
-    near = F.lit(None)
-    for column in reversed(catalog.columns):
-        upper = column.name.upper()
-        alternates = [a.upper() for a in column.alternates]
-        target = lambda score: F.struct(F.lit(column.name).alias("standard"), F.lit(score).alias("confidence"))  # noqa: E731,B023
-        if alternates:
-            hit = F.when(name.isin(alternates), target(ALTERNATE)).otherwise(hit)
-        hit = F.when(name == upper, target(EXACT)).otherwise(hit)
-        near = F.when(name.contains(upper) | F.lit(upper).contains(name), target(PARTIAL)).otherwise(near)
-    distinct = headers.select(header).distinct()
-    return distinct.withColumn("m", F.coalesce(hit, near)).select(header, "m.standard", "m.confidence")
+    known: dict[str, tuple[str, int]] = {}
+    for column in catalog.columns:
+        known.setdefault(column.name.upper(), (column.name, EXACT))
+        for alternate in column.alternates:
+            known.setdefault(alternate.upper(), (column.name, ALTERNATE))
+
+    def target(standard: Column, score: int) -> Column:
+        return F.struct(standard.alias("standard"), F.lit(score).alias("confidence"))
+
+    distinct = headers.select(header).distinct().withColumn("_upper", text.strip(F.upper(F.col(header))))
+    if not known:
+        return distinct.select(header, F.lit(None).cast("string").alias("standard"), F.lit(None).cast("int").alias("confidence"))
+    lookup = F.create_map(
+        *(part for upper, (name, score) in known.items() for part in (F.lit(upper), target(F.lit(name), score)))
+    )
+    name = F.col("_upper")
+    near = F.filter(
+        F.array(*(F.lit(c.name) for c in catalog.columns)), lambda c: name.contains(F.upper(c)) | F.upper(c).contains(name)
+    )
+    partial = F.when(F.size(near) > 0, target(F.get(near, F.lit(0)), PARTIAL))
+    return distinct.withColumn("_m", F.coalesce(F.try_element_at(lookup, name), partial)).select(
+        header, "_m.standard", "_m.confidence"
+    )
 
 
 def auto_mapping(columns: list[str], catalog: Catalog, spark) -> dict[str, str]:

@@ -166,11 +166,15 @@ def search_hits(term: Column, catalog: Catalog, group: str | None = None) -> Col
     """Names of the catalog columns whose name, label or description contains the term,
     by group and then name."""
     entries = sorted((c for c in catalog.columns if group in (None, "", c.group)), key=lambda c: _place((c.group, c.name)))
-    wanted = F.lower(term)
-    hits = [
-        F.when(F.lit(f"{c.name} {c.label} {c.description}".lower()).contains(wanted), F.lit(c.name)) for c in entries
-    ]
-    return F.filter(F.array(*hits), lambda name: name.isNotNull()) if hits else F.array().cast("array<string>")
+    if not entries:
+        return F.array().cast("array<string>")
+    table = F.array(
+        *(
+            F.struct(F.lit(c.name).alias("name"), F.lit(f"{c.name} {c.label} {c.description}".lower()).alias("text"))
+            for c in entries
+        )
+    )
+    return F.filter(table, lambda e: e["text"].contains(F.lower(term))).getField("name")
 
 
 def search(spark: SparkSession, catalog: Catalog, term: str = "", group: str | None = None) -> DataFrame:

@@ -182,11 +182,11 @@ resolved AS (
   FROM carried
 ),
 links AS (
-  SELECT dedup_key, identifier, min(RID) AS at FROM resolved WHERE b IS NOT NULL OR is_new GROUP BY ALL
+  SELECT dedup_key, identifier, min(RID) AS first_at FROM resolved WHERE b IS NOT NULL OR is_new GROUP BY ALL
 ),
 outcome AS (
   SELECT r.*, CASE WHEN r.b IS NULL THEN '' ELSE
-      (SELECT string_agg(l.identifier, '|' ORDER BY l.at) FROM links l WHERE l.dedup_key = r.dedup_key AND l.at <= r.RID) END AS ids
+      (SELECT string_agg(l.identifier, '|' ORDER BY l.first_at) FROM links l WHERE l.dedup_key = r.dedup_key AND l.first_at <= r.RID) END AS ids
   FROM resolved r
 )"""
 
@@ -287,7 +287,7 @@ def auto_map() -> str:
     headers = ", ".join(f"({i}, {quoted([h])})" for i, h in enumerate(queries.SOURCE_HEADERS))
     return f"""WITH {CATALOG_TABLE}, names(i, h) AS (VALUES {headers}),
 headers AS (SELECT h AS header FROM orders JOIN names ON i = o_orderkey % {len(queries.SOURCE_HEADERS)} UNION {words()}),
-upper_headers AS (SELECT header, {strip('upper(header)')} AS u FROM headers),
+upper_headers AS (SELECT header, replace(replace({strip('upper(header)')}, 'ß', 'SS'), 'ẞ', 'SS') AS u FROM headers),
 scores AS (
   SELECT header, name, pos, CASE WHEN u = name THEN 100 WHEN list_contains(alternates, u) THEN 95
     WHEN contains(u, name) OR contains(name, u) THEN 70 END AS score
@@ -315,7 +315,7 @@ def conditions() -> str:
     return f"""{NEIGHBOURS},
 emails AS (SELECT *, {tokens(address('EMAIL_ADDRESS'))} AS email_t FROM keyed)
 SELECT p.a AS RID, p.b AS other, {tests},
-  NOT l.has_zip AND NOT r.has_zip AS zip_blank, false AS email_std_100
+  NOT l.has_zip AND NOT r.has_zip AS zip_blank, l.email_std = r.email_std AND l.email_std <> '' AS email_std_100
 FROM pairs p JOIN emails l ON l.RID = p.a JOIN emails r ON r.RID = p.b"""
 
 
@@ -325,7 +325,7 @@ def build() -> dict[str, str]:
     of_contacts = f"WITH contacts AS ({CONTACTS})"
     run = resolved()
     given_run = resolved(GIVEN)
-    both_sides = [f"k.block_key = o.block_key", "k.phone_std = o.phone_std AND k.phone_std <> ''"]
+    both_sides = ["k.block_key = o.block_key", "k.phone_std = o.phone_std AND k.phone_std <> ''"]
     address_key = "k.address1_std = o.address1_std AND k.address1_std <> '' AND substr(k.ZIP_CODE, 1, 5) = substr(o.ZIP_CODE, 1, 5) AND k.ZIP_CODE <> ''"
     many = " UNION ".join(
         f"SELECT k.RID AS a, o.RID AS b FROM keyed k JOIN keyed o ON {on} AND o.RID > k.RID" for on in (*both_sides, address_key)
@@ -400,7 +400,7 @@ def build() -> dict[str, str]:
             FROM keyed GROUP BY block_key""",
         "d2_run_stats": f"""{run} SELECT count(*) AS total_records, count(*) FILTER (b IS NOT NULL) AS matched_existing,
             count(*) FILTER (b IS NULL AND is_new) AS new_dedup_keys, CAST(0 AS BIGINT) AS errors FROM resolved""",
-        "d3_key_identifiers": f"{run} SELECT dedup_key, string_agg(identifier, '|' ORDER BY at) AS identifiers FROM links GROUP BY dedup_key",
+        "d3_key_identifiers": f"{run} SELECT dedup_key, string_agg(identifier, '|' ORDER BY first_at) AS identifiers FROM links GROUP BY dedup_key",
         "d4_key_hashes": f"""{run} SELECT dedup_key, string_agg(data_hash, '|' ORDER BY data_hash) AS data_hashes FROM (
               SELECT DISTINCT dedup_key, data_hash FROM resolved) GROUP BY dedup_key""",
         "d6_group_catalog": f"""{of_contacts}, {CATALOG_TABLE}, {FILLED}
