@@ -16,42 +16,42 @@ EXACT, ALTERNATE, PARTIAL = 100, 95, 70
 
 
 def auto_map(headers: DataFrame, catalog: Catalog, header: str = "header") -> DataFrame:
-    """Add ``standard`` and ``confidence`` to a table of headers, from any number of files.
+    """``header, standard, confidence`` of the headers that have a match, over any number
+    of files.
 
     The first column in catalog order that is equal to the header or lists it as an
     alternate wins; failing that, the first whose name contains it or is contained in
     it. The catalog is a fixed vocabulary, so it goes into the expression as a literal
     map and array: one projection, no join. Distinct headers are mapped once.
     """
+    distinct = headers.select(header).distinct().withColumn("_upper", text.strip(F.upper(F.col(header))))
+    name = F.col("_upper")
     known: dict[str, tuple[str, int]] = {}
     for column in catalog.columns:
         known.setdefault(column.name.upper(), (column.name, EXACT))
         for alternate in column.alternates:
             known.setdefault(alternate.upper(), (column.name, ALTERNATE))
-
-    def target(standard: Column, score: int) -> Column:
-        return F.struct(standard.alias("standard"), F.lit(score).alias("confidence"))
-
-    distinct = headers.select(header).distinct().withColumn("_upper", text.strip(F.upper(F.col(header))))
-    if not known:
-        return distinct.select(header, F.lit(None).cast("string").alias("standard"), F.lit(None).cast("int").alias("confidence"))
-    lookup = F.create_map(
-        *(part for upper, (name, score) in known.items() for part in (F.lit(upper), target(F.lit(name), score)))
-    )
-    name = F.col("_upper")
+    # The empty entries keep the literals typed when the catalog is empty.
+    entries = [("", "", 0), *((upper, standard, score) for upper, (standard, score) in known.items())]
+    lookup = F.create_map(*(part for e in entries for part in (F.lit(e[0]), _target(*e))))
+    partial = F.array(*(_target(c.name.upper(), c.name, PARTIAL) for c in catalog.columns), _target("", "", 0))
+    exact = F.filter(F.array(F.try_element_at(lookup, name)), lambda m: m["confidence"] > 0)
     near = F.filter(
-        F.array(*(F.lit(c.name) for c in catalog.columns)), lambda c: name.contains(F.upper(c)) | F.upper(c).contains(name)
-    )
-    partial = F.when(F.size(near) > 0, target(F.get(near, F.lit(0)), PARTIAL))
-    return distinct.withColumn("_m", F.coalesce(F.try_element_at(lookup, name), partial)).select(
-        header, "_m.standard", "_m.confidence"
+        partial, lambda m: (m["confidence"] > 0) & (name.contains(m["upper"]) | m["upper"].contains(name))
     )
+    # A generator evaluates the search once; a plain column would be copied into every
+    # filter above it.
+    return distinct.select(header, F.inline(F.slice(F.concat(exact, near), 1, 1))).drop("upper")
+
+
+def _target(upper: str, standard: str, score: int) -> Column:
+    return F.struct(F.lit(upper).alias("upper"), F.lit(standard).alias("standard"), F.lit(score).alias("confidence"))
 
 
 def auto_mapping(columns: list[str], catalog: Catalog, spark) -> dict[str, str]:
     """Mapping for the header of one table, in header order."""
     headers = spark.createDataFrame([(c,) for c in columns], "header string")
-    found = {r.header: r.standard for r in auto_map(headers, catalog).filter("standard IS NOT NULL").collect()}
+    found = {r.header: r.standard for r in auto_map(headers, catalog).collect()}
     return {c: found[c] for c in columns if c in found}
 
 

@@ -240,7 +240,7 @@ def b1_auto_map(spark, folder):
         F.element_at(names, (F.col("o_orderkey") % len(SOURCE_HEADERS) + 1).cast("int")).alias("header")
     )
     headers = from_files.unionByName(_words(spark, folder).select(F.col("word").alias("header")))
-    return mapping.auto_map(headers, cat.default_catalog()).filter("standard IS NOT NULL")
+    return mapping.auto_map(headers, cat.default_catalog())
 
 
 @query
