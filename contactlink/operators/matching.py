@@ -8,8 +8,10 @@ blocks never are: each rule adds its equality conditions to the key, records are
 numbered inside the resulting group, and a record looks at a bounded stretch of
 followers at a time. Found records leave the search, so a large group of copies costs one
 short look per row; the stretch grows for the rest until the group is exhausted, which
-keeps the result exact. The join key holds the bucket of the follower's number, so a
-group of any size spreads over many tasks.
+keeps the result exact. Exact copies bound the work further: a record never looks past its
+next copy, which matches anyway, nor at a copy of something it has met before. The join
+key holds the bucket of the follower's number, so a group of any size spreads over many
+tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from contactlink.functions import keys
 from contactlink.operators.rules import Rule, RuleSet
-from contactlink.operators.skew import SLICE_BITS, with_position
+from contactlink.operators.skew import SLICE_BITS, with_followers, with_last_before, with_position
 from contactlink.operators.storage import materialize
 
 DIRECT_ROWS = 128
@@ -91,6 +93,22 @@ def _direct_pairs(records: DataFrame, rules: RuleSet, labelled: bool) -> DataFra
     return _verdicts(left.join(right, on & possible), rules, ranked)
 
 
+def _placed(able: DataFrame, on: list[str], rules: RuleSet, rule: Rule, bits: int) -> DataFrame:
+    """Records of the rule with their place in the group, the places of their nearest
+    copies, and ``first``/``last``: how far a search from here needs to go."""
+    placed = with_position(able, on, "ord", bits).withColumn("profile", rules.profile(rule))
+    same = [*on, "profile"]
+    placed = with_followers(placed, same, "pos", bits).drop("n_later", "last_later").withColumnRenamed("next_later", "next_copy")
+    placed = with_last_before(placed, same, "pos", "pos", "last_copy", bits).drop("profile")
+    copies = rules.accepts_copy(rule)
+    return placed.withColumns(
+        {
+            "first": F.when(copies, F.coalesce("last_copy", F.lit(0))).otherwise(0),
+            "last": F.when(copies, F.coalesce("next_copy", F.col("n") - 1)).otherwise(F.col("n") - 1),
+        }
+    )
+
+
 def _look(
     todo: DataFrame, everyone: DataFrame, on: list[str], rules: RuleSet, place: int, rule: Rule,
     start: int, width: int, backward: bool,
@@ -98,11 +116,11 @@ def _look(
     """First partner among the neighbours ``start+1 .. start+width`` places away."""
     rows = min(width, BUCKET_ROWS)
     if backward:
-        low = F.greatest(F.col("pos") - start - width, F.lit(0))
+        low = F.greatest(F.col("pos") - start - width, F.col("first"))
         high = F.col("pos") - start - 1
     else:
         low = F.col("pos") + start + 1
-        high = F.least(F.col("pos") + start + width, F.col("n") - 1)
+        high = F.least(F.col("pos") + start + width, F.col("last"))
     buckets = F.sequence(F.floor(low / rows), F.floor(high / rows))
     left = _side(
         todo.withColumns({"low": low, "high": high}).filter("low <= high").withColumn("bucket", F.explode(buckets)), "l_"
@@ -113,6 +131,9 @@ def _look(
         test = test & (F.col(f"l_{c}") == F.col(f"r_{c}"))
     if "label" in todo.columns:
         test = test & (F.col("l_label") != F.col("r_label"))
+    else:
+        # An earlier copy after the record itself has had the same verdict.
+        test = test & (F.coalesce("r_last_copy", F.lit(-1)) <= F.col("l_pos"))
     return _first_per_record(_verdicts(left.join(right, test), rules, [(place, rule)]))
 
 
@@ -124,7 +145,7 @@ def _search(
     for place, rule in enumerate(rules.rules):
         on = ["block_key", *rules.equal_columns(rule)]
         able = rows.filter(rules.eligible(rule))
-        everyone = materialize(with_position(able, on, "ord", bits), "placed")
+        everyone = materialize(_placed(able, on, rules, rule, bits), "placed")
         todo = everyone
         for earlier in found:
             todo = todo.join(earlier.select("ord"), "ord", "left_anti")
@@ -133,7 +154,7 @@ def _search(
             hits = materialize(_look(todo, everyone, on, rules, place, rule, start, width, backward), "hits")
             found.append(hits)
             start, width = start + width, width * GROWTH
-            left_over = F.col("pos") if backward else F.col("n") - 1 - F.col("pos")
+            left_over = F.col("pos") - F.col("first") if backward else F.col("last") - F.col("pos")
             todo = materialize(todo.join(hits.select("ord"), "ord", "left_anti").filter(left_over > start), "todo")
             if todo.isEmpty():
                 break

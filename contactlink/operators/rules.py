@@ -250,6 +250,24 @@ class RuleSet:
                 tests.append(value.isNotNull())
         return reduce(and_, tests, F.lit(True))
 
+    def accepts_copy(self, rule: Rule) -> Column:
+        """True if the record would match an exact copy of itself."""
+        tests = []
+        for c in rule.conditions:
+            value = F.col(self.name(c))
+            score = F.when(value != "", 100.0).otherwise(0.0)
+            if c.blank:
+                tests.append(value.isNull())
+            else:
+                test = (score >= c.percentage) if c.include else (score < c.percentage)
+                tests.append(F.when(value.isNotNull(), test).otherwise(F.lit(c.blank_allowed)))
+        return reduce(and_, tests, F.lit(True))
+
+    def profile(self, rule: Rule) -> Column:
+        """Text that is equal exactly for records the rule cannot tell apart."""
+        names = list(dict.fromkeys(self.name(c, s) for c in rule.conditions for s in (False, True)))
+        return F.to_json(F.struct(*names))
+
     def any_eligible(self, side: str = "") -> Column:
         return reduce(or_, (self.eligible(r, side) for r in self.rules), F.lit(False))
 

@@ -12,7 +12,7 @@ from contactlink.sources.keystore import KeyState, empty_state
 
 FIELDS = ["SOURCE_TYPE", "SOURCE_ID", "COMPANY_NAME", "ADDRESS_LINE_1", "ADDRESS_LINE_2", "ZIP_CODE", "PHONE_NUMBER", "DEDUP_KEY"]
 SCHEMA = "RID long, " + ", ".join(f"{c} string" for c in FIELDS)
-TINY = {"direct_rows": 2, "look_ahead": 1, "slice_bits": 2}
+TINY = {"direct_rows": 2, "look_ahead": 3, "slice_bits": 3}
 
 
 def people(seed: int, n: int, hot: bool = False) -> list[dict]:
@@ -71,7 +71,7 @@ MORE_RULES = parse_rules(
 @pytest.mark.parametrize("search", [{}, TINY], ids=["direct", "search"])
 @pytest.mark.parametrize("rules", [default_rules(), MORE_RULES], ids=["default", "more"])
 def test_best_match_equals_brute_force(spark, rules, search):
-    records = people(3, 70, hot=True)
+    records = people(3, 48, hot=True)
     rule_set = RuleSet(rules)
     best = matching.named_matches(matching.best_match(narrow(frame(spark, records), rule_set), rule_set, **search), rule_set)
     got = {r.ord // 10: (r.match_ord // 10, r.rule_id) for r in best.collect()}
@@ -133,7 +133,7 @@ def components(n, links):
 
 @pytest.mark.parametrize("search", [{}, TINY], ids=["direct", "search"])
 def test_clusters_equal_union_find(spark, search):
-    records = people(21, 50, hot=True)
+    records = people(21, 36, hot=True)
     rule_set = RuleSet(default_rules())
     table = narrow(frame(spark, records), rule_set)
     labels = {r.ord // 10: r.cluster // 10 for r in clusters.cluster_labels(table, rule_set, **search).collect()}
