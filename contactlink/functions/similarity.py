@@ -118,6 +118,39 @@ def length_bound(a: Column, b: Column) -> Column:
     return F.when((a != "") & (b != ""), shorter * 200.0 / (F.length(a) + F.length(b))).otherwise(F.lit(0.0))
 
 
+_BAG_BITS = 63  # per half; the sign bit stays free
+
+
+def bag_signature(value: Column) -> tuple[Column, Column]:
+    """Two bit sets over the characters of a string, counted with their occurrence.
+
+    The k-th occurrence of a character is one element. Every bit in which two signatures
+    differ stands for an element that one string has and the other lacks, so the number
+    of such bits is a lower bound of the Indel distance.
+    """
+    def slot(char: Column, i: Column) -> Column:
+        upto = F.substr(value, F.lit(1), i + 1)
+        occurrence = F.length(upto) - F.length(F.replace(upto, char, F.lit("")))
+        return F.pmod(F.xxhash64(char, occurrence), F.lit(2 * _BAG_BITS)).cast("int")
+
+    def bits(slots: Column, base: int) -> Column:
+        one = F.lit(1).cast("bigint")
+        inside = F.filter(slots, lambda s: (s >= base) & (s < base + _BAG_BITS))
+        return F.aggregate(
+            inside, F.lit(0).cast("bigint"), lambda acc, s: acc.bitwiseOR(F.call_function("shiftleft", one, s - base))
+        )
+
+    slots = F.when(value != "", F.transform(F.split(value, ""), slot)).when(value == "", F.array().cast("array<int>"))
+    return bits(slots, 0), bits(slots, _BAG_BITS)
+
+
+def bag_bound(a: Column, b: Column, bags: list[tuple[Column, Column]]) -> Column:
+    """Upper bound of ``indel_ratio`` from the bag signatures of both strings."""
+    differ = F.bit_count(bags[0][0].bitwiseXOR(bags[0][1])) + F.bit_count(bags[1][0].bitwiseXOR(bags[1][1]))
+    total = F.length(a) + F.length(b)
+    return F.when(total > 0, (total - differ) * 100.0 / total).otherwise(F.lit(0.0))
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     return indel_ratio(text.token_sort(a), text.token_sort(b))
 

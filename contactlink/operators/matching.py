@@ -9,7 +9,8 @@ numbered inside the resulting group, and a record looks at a bounded stretch of
 followers at a time. Found records leave the search, so a large group of copies costs one
 short look per row; the stretch grows for the rest until the group is exhausted, which
 keeps the result exact. Exact copies bound the work further: a record never looks past its
-next copy, which matches anyway, nor at a copy of something it has met before. The join
+next copy, which matches anyway, nor at a copy of something it has met before. Bag
+signatures of the characters reject most other pairs inside the join. The join
 key holds the bucket of the follower's number, so a group of any size spreads over many
 tasks.
 """
@@ -101,6 +102,7 @@ def _placed(able: DataFrame, on: list[str], rules: RuleSet, rule: Rule, bits: in
     placed = with_followers(placed, same, "pos", bits).drop("n_later", "last_later").withColumnRenamed("next_later", "next_copy")
     placed = with_last_before(placed, same, "pos", "pos", "last_copy", bits).drop("profile")
     copies = rules.accepts_copy(rule)
+    placed = placed.withColumns(rules.bag_columns(rule))
     return placed.withColumns(
         {
             "first": F.when(copies, F.coalesce("last_copy", F.lit(0))).otherwise(0),
@@ -126,7 +128,7 @@ def _look(
         todo.withColumns({"low": low, "high": high}).filter("low <= high").withColumn("bucket", F.explode(buckets)), "l_"
     )
     right = _side(everyone.withColumn("bucket", F.floor(F.col("pos") / rows)), "r_")
-    test = F.col("r_pos").between(F.col("l_low"), F.col("l_high")) & rules.possible(rule, "l_", "r_")
+    test = F.col("r_pos").between(F.col("l_low"), F.col("l_high")) & rules.possible(rule, "l_", "r_", bags=True)
     for c in ["bucket", *on]:
         test = test & (F.col(f"l_{c}") == F.col(f"r_{c}"))
     if "label" in todo.columns:

@@ -268,6 +268,14 @@ class RuleSet:
         names = list(dict.fromkeys(self.name(c, s) for c in rule.conditions for s in (False, True)))
         return F.to_json(F.struct(*names))
 
+    def bag_columns(self, rule: Rule) -> dict[str, Column]:
+        """Columns ``bag0_*``, ``bag1_*`` that let ``possible`` reject pairs without LCS."""
+        out = {}
+        for name in self.lcs_columns([rule]):
+            for i, bag in enumerate(similarity.bag_signature(F.col(name))):
+                out[f"bag{i}_{name}"] = bag
+        return out
+
     def any_eligible(self, side: str = "") -> Column:
         return reduce(or_, (self.eligible(r, side) for r in self.rules), F.lit(False))
 
@@ -297,7 +305,7 @@ class RuleSet:
             )
         )
 
-    def _test(self, rule: Rule, c: Condition, left: str, right: str, exact: bool) -> Column:
+    def _test(self, rule: Rule, c: Condition, left: str, right: str, exact: bool, bags: bool = False) -> Column:
         name = self.name(c)
         a, b = F.col(left + name), F.col(right + name)
         if c.blank:
@@ -314,18 +322,36 @@ class RuleSet:
         elif c.include and c.percentage > 0:
             # 1e-6 keeps rounding of the bound from rejecting what the score accepts.
             test = similarity.length_bound(a, b) >= c.percentage - 1e-6
+            if bags:
+                sides = [(F.col(f"{left}bag{i}_{name}"), F.col(f"{right}bag{i}_{name}")) for i in (0, 1)]
+                test = test & (similarity.bag_bound(a, b, sides) >= c.percentage - 1e-6)
         else:
             test = F.lit(True)
         return F.when(both, test).otherwise(F.lit(c.blank_allowed))
 
-    def possible(self, rule: Rule, left: str, right: str) -> Column:
+    def possible(self, rule: Rule, left: str, right: str, bags: bool = False) -> Column:
         """Necessary condition of a match without LCS, cheapest tests first."""
         cheap_first = sorted(rule.conditions, key=lambda c: (not c.blank, self.needs_lcs(rule, c)))
-        return reduce(and_, (self._test(rule, c, left, right, exact=False) for c in cheap_first))
+        return reduce(and_, (self._test(rule, c, left, right, exact=False, bags=bags) for c in cheap_first))
+
+    def with_similarities(self, pairs: DataFrame, rules: list[Rule], left: str, right: str) -> DataFrame:
+        """Add columns ``sim_<column>`` of every fuzzy comparison the rules ask for.
 
-    def with_similarities(self, pairs: DataFrame, rules: Iterable[Rule], left: str, right: str) -> DataFrame:
-        """Add columns ``sim_<column>`` of every fuzzy comparison the rules ask for."""
+        For a single rule the conditions are computed one after the other and failing
+        pairs are dropped in between; several rules share one trip to Python.
+        """
         names = self.lcs_columns(rules)
+        if len(rules) > 1 or len(names) < 2:
+            return self._similarities(pairs, names, left, right)
+        for name in names:
+            pairs = self._similarities(pairs, [name], left, right)
+            for c in rules[0].conditions:
+                if self.name(c) == name and self.needs_lcs(rules[0], c):
+                    pairs = pairs.filter(self._test(rules[0], c, left, right, exact=True))
+        return pairs
+
+    @staticmethod
+    def _similarities(pairs: DataFrame, names: list[str], left: str, right: str) -> DataFrame:
         if not names:
             return pairs
         sides = [(F.col(left + n), F.col(right + n)) for n in names]

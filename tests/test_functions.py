@@ -127,3 +127,14 @@ def test_known_hash_and_stable_key(spark):
     h = df.first().h
     assert h == "e3fc8a28d61226c8"
     assert df.select(keys.minted_key(F.col("h"))).first()[0] == model.key_of_hash(h)
+
+
+def test_bag_bound_never_rejects(spark):
+    left, right = random_strings(7, 200, 40), random_strings(8, 200, 40)
+    df = spark.createDataFrame(list(zip(left, right)), "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    (a0, a1), (b0, b1) = similarity.bag_signature(a), similarity.bag_signature(b)
+    df = df.select("a", "b", a0.alias("a0"), a1.alias("a1"), b0.alias("b0"), b1.alias("b1"))
+    bound = similarity.bag_bound(a, b, [(F.col("a0"), F.col("b0")), (F.col("a1"), F.col("b1"))])
+    for r in df.select("a", "b", bound.alias("bound")).collect():
+        assert r.bound >= model.indel(r.a, r.b) - 1e-9
