@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FOLDER_KEY = "spark.checkpoint.dir"
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="contactlink-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="contactlink-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process (tests) gets a folder of its own, removed at exit; on a cluster
+    that would be a folder other machines cannot see, so it is an error there.
+    """
+    folder = spark.conf.get(FOLDER_KEY, None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master == "local" or master.startswith("local["):
+        return _own_folder()
+    raise ValueError(f"set {FOLDER_KEY} to a folder that the driver and all executors share")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
