@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactlink.llm import chat, fingerprints
+from contactlink.llm.substring_dedup import substring_dedup
 from contactlink.llm.tables import table
 from contactlink.llm.token_counts import count_tokens
 
@@ -86,3 +87,10 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(chars AS BIGINT) AS formatted_chars FROM c
 """
+
+
+@query
+def op1_substring_dedup(spark, folder):
+    deduped = substring_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)
+    return deduped.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
