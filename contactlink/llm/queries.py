@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactlink.llm import chat, fingerprints
+from contactlink.llm.jaccard_join import jaccard_join
 from contactlink.llm.substring_dedup import substring_dedup
 from contactlink.llm.tables import table
 from contactlink.llm.token_counts import count_tokens
@@ -94,3 +95,9 @@ def op1_substring_dedup(spark, folder):
     deduped = substring_dedup(table(spark, folder, "documents").select("doc_id", "text"))
     kept = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)
     return deduped.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
+@query
+def op5_ngram_jaccard_join(spark, folder):
+    joined = jaccard_join(table(spark, folder, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "n_shingles", "component_id")
