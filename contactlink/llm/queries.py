@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contactlink.llm import chat, fingerprints
 from contactlink.llm.jaccard_join import jaccard_join
+from contactlink.llm.packing import pack
 from contactlink.llm.substring_dedup import substring_dedup
 from contactlink.llm.tables import table
 from contactlink.llm.token_counts import count_tokens
@@ -101,3 +102,9 @@ def op1_substring_dedup(spark, folder):
 def op5_ngram_jaccard_join(spark, folder):
     joined = jaccard_join(table(spark, folder, "documents").select("doc_id", "text"))
     return joined.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op10_packing(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return pack(documents, BYTE_BPE, sequence=1024, end_id=0)

@@ -14,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The split pattern of byte-level BPE, and the code points that stand for the 256 bytes in its vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+from contactlink.llm.pieces import PieceMemory
+
+# The code points that stand for their own byte in a byte-level BPE vocabulary.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 NO_RANK = np.iinfo(np.int32).max
@@ -48,8 +48,6 @@ class RankMerger:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made[order]
         self.specials = specials
-        self.pattern = regex.compile(PATTERN)
-        self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair and the place of its merge."""
@@ -109,57 +107,6 @@ class RankMerger:
         return out + (self.merge(batch)[1].tolist() if batch else [])
 
 
-class Counter:
-    """Token counts of texts; keeps the counts of pre-tokens it has met, in bounded room."""
-
-    def __init__(self, merger: RankMerger):
-        self.merger = merger
-        self.words: dict[str, int] = {}
-        # A piece between single spaces with the space before it; None where white space meets white space.
-        self.pieces: dict[str, int | None] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        self.words.update(zip(new, self.merger.counts(new)))
-
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        split = {p: self.merger.pattern.findall(" " + p) for p in pieces if p and not p[0].isspace() and not p[-1].isspace()}
-        self._learn({w for words in split.values() for w in words})
-        self.pieces.update((p, sum(map(self.words.__getitem__, split[p])) if p in split else None) for p in pieces)
-
-    def _exact(self, text: str) -> int:
-        words = self.merger.pattern.findall(text)
-        self._learn(set(words))
-        return sum(map(self.words.__getitem__, words))
-
-    def _plain(self, texts: list[str]) -> list[int]:
-        """Counts of texts without special strings."""
-        if len(self.words) + len(self.pieces) > CACHE_WORDS:
-            self.words.clear()
-            self.pieces.clear()
-        split = [t.split(" ") for t in texts]
-        heads = [s[0] for s in split]
-        self._learn_pieces({p for s in split for p in s[1:] if p not in self.pieces})
-        out = []
-        for text, head, pieces in zip(texts, heads, split):
-            counts = [self.pieces[p] for p in pieces[1:]]
-            if None in counts or (head and head[-1].isspace()) or (pieces[1:] and not head):
-                out.append(self._exact(text))
-            else:
-                out.append(sum(counts) + (self._exact(head) if head else 0))
-        return out
-
-    def count(self, texts: list[str]) -> list[int]:
-        special = self.merger.special_pattern
-        if special is None or not any(s in t for s in self.merger.specials for t in texts):
-            return self._plain(texts)
-        out = []
-        for text in texts:
-            parts = special.split(text)
-            out.append(sum(self._plain([p for p in parts if p])) + len(parts) - 1)
-        return out
-
-
 @functools.cache
 def load_merger(path: str) -> RankMerger:
     """The vocabulary of a byte-level BPE file of the ``tokenizers`` library."""
@@ -173,8 +120,9 @@ def load_merger(path: str) -> RankMerger:
 
 
 @functools.cache
-def _counter(path: str) -> Counter:
-    return Counter(load_merger(path))
+def _counter(path: str) -> PieceMemory:
+    merger = load_merger(path)
+    return PieceMemory(merger.counts, sum, dict.fromkeys(merger.specials, 1), CACHE_WORDS)
 
 
 def count_tokens(df: DataFrame, tokenizer: str, text_col: str = "text", limit: int = 512, slice_bytes: int = 8 << 20) -> DataFrame:
@@ -201,7 +149,7 @@ def count_tokens(df: DataFrame, tokenizer: str, text_col: str = "text", limit: i
                 before = sizes[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(sizes, before + slice_bytes, "right")))
                 part = batch.slice(start, stop - start)
-                counts = counter.count([t or "" for t in part.column(at).to_pylist()])
+                counts = counter.values([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*(f"c{i}" for i in range(len(names) + 1)), "n"])
                 start = stop
 
