@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from contactlink.llm import chat, fingerprints
 from contactlink.llm.jaccard_join import jaccard_join
+from contactlink.llm.mixing import WEIGHTS, mix
 from contactlink.llm.packing import pack
 from contactlink.llm.substring_dedup import substring_dedup
 from contactlink.llm.tables import table
 from contactlink.llm.token_counts import count_tokens
+from contactlink.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -108,3 +110,17 @@ def op5_ngram_jaccard_join(spark, folder):
 def op10_packing(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return pack(documents, BYTE_BPE, sequence=1024, end_id=0)
+
+
+@query
+def op4_toxicity(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity(documents, table(spark, folder, "labels"))
+    return found.select("doc_id", "p_low_quality", "p_toxic", "toxic")
+
+
+@query
+def op8_mixing(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    mixed = mix(documents, table(spark, folder, "labels"), keep=["doc_id"])
+    return mixed.select("doc_id", "n_tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(WEIGHTS)), "rate", "copies")
