@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactlink.llm import chat, fingerprints
+from contactlink.llm import chat, fingerprints, language_id
 from contactlink.llm.jaccard_join import jaccard_join
 from contactlink.llm.mixing import WEIGHTS, mix
 from contactlink.llm.packing import pack
@@ -124,3 +124,12 @@ def op8_mixing(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text")
     mixed = mix(documents, table(spark, folder, "labels"), keep=["doc_id"])
     return mixed.select("doc_id", "n_tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(WEIGHTS)), "rate", "copies")
+
+
+@query
+def op6_language_id(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    net = language_id.train(documents.filter(~held_out), "doc_id", "text", "lang")
+    found = language_id.identify(documents, net, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
