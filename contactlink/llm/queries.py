@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactlink.llm import chat, fingerprints, language_id
+from contactlink.llm.embedding_dedup import embedding_dedup
 from contactlink.llm.jaccard_join import jaccard_join
 from contactlink.llm.mixing import WEIGHTS, mix
 from contactlink.llm.packing import pack
@@ -133,3 +134,27 @@ def op6_language_id(spark, folder):
     net = language_id.train(documents.filter(~held_out), "doc_id", "text", "lang")
     found = language_id.identify(documents, net, keep=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_embedding_near_dedup(spark, folder):
+    return embedding_dedup(table(spark, folder, "embeddings"), threshold=0.98)
+
+
+ORACLES["op3_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+), n AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+), u AS (SELECT * FROM n WHERE norm > 0 AND isfinite(norm)), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach(id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id
+), c AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id), d AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN d ON d.a = e.vec_id
+"""
