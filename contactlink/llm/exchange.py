@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from contactlink.llm.tables import exact, shuffle_partitions
 
-#: Chunks (and buckets) for each shuffle partition.
-CHUNKS_PER_PARTITION = 3
+#: Chunks (and buckets) for each shuffle partition. Rows grow with its square, so few; several even out the partitions.
+CHUNKS_PER_PARTITION = 2
 
 
 def n_chunks(df: DataFrame) -> int:

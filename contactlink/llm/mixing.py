@@ -104,11 +104,11 @@ def _totals(table: DataFrame, fit: Fit, k: int) -> tuple[np.ndarray, np.ndarray]
     return np.array([found[f"r{i}"] or 0.0 for i in range(k)]), np.array([found[f"a{i}"] or 0.0 for i in range(k)])
 
 
-def fit_rates(table: DataFrame, weights: np.ndarray, steps: int = STEPS) -> tuple[Fit, np.ndarray, np.ndarray]:
+def fit_rates(table: DataFrame, weights: np.ndarray, budget: float | None = None, steps: int = STEPS) -> tuple[Fit, np.ndarray, np.ndarray]:
     """Fit rates to ``n_tokens, posterior``; also the totals reached and the targets.
 
-    The budget is the largest at which no domain needs more tokens than it has, so rates around 1 and below suffice.
-    The steps use the metric in which a document weighs as many times as it has tokens; there the fit is the one nearest
+    ``budget`` is the tokens asked for in all, by default as many as there are: rates are then 1 on average, and only what
+    a domain has over its target is thinned out. The steps use the metric in which a document weighs as many times as it has tokens; there the fit is the one nearest
     to equal rates, and long documents are not preferred.
     """
     k = len(weights)
@@ -121,7 +121,7 @@ def fit_rates(table: DataFrame, weights: np.ndarray, steps: int = STEPS) -> tupl
         return Fit(1.0, 0.0, []), natural, natural
     second = np.array([[row[f"q{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
     wanted = weights / weights.sum()
-    budget = min(natural[i] / wanted[i] for i in range(k) if wanted[i] > 0)
+    budget = total if budget is None else budget
     targets = wanted * budget
     fit = Fit(budget / total, 1 / np.linalg.eigvalsh(second)[-1], [])
     reached = natural
@@ -134,7 +134,7 @@ def fit_rates(table: DataFrame, weights: np.ndarray, steps: int = STEPS) -> tupl
 
 
 def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: Column | None = None, id_col: str = "doc_id",
-        text_col: str = "text", keep: list[str] | None = None, rows: int = TRAINING_ROWS) -> DataFrame:
+        text_col: str = "text", keep: list[str] | None = None, rows: int = TRAINING_ROWS, budget: float | None = None) -> DataFrame:
     """Every row of ``df`` with ``n_tokens``, ``posterior`` (in the order of ``weights``), ``rate`` and ``copies``.
 
     ``copies`` rounds the rate by a hash of the id, so that its expectation is the rate; 0 means the document is left
@@ -146,7 +146,7 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = Non
     keep = [c for c in keep or df.columns if c.lower() not in OWN]
     models = train(df, labels, domain, domains, id_col, text_col, rows)
     table = materialize(posteriors(df, models, domains, text_col, keep).withColumnsRenamed({c: f"c{i}" for i, c in enumerate(keep)}), "mixing")
-    fit, _, _ = fit_rates(table, np.array([weights[d] for d in domains]))
+    fit, _, _ = fit_rates(table, np.array([weights[d] for d in domains]), budget)
     at = len(keep) + 1
     schema = T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType())])
 

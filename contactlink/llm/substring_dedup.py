@@ -130,7 +130,7 @@ def _earlier_rows(bucket: int, rows: pa.Table) -> pa.Table:
     return _table([(c, bucket, 2, np.packbits(m).tobytes()) for c, m in zip(rows["chunk"].to_pylist(), masks) if m.any()], _HITS)
 
 
-def _kept_rows(part: Chunk, answers: pa.Table, buckets: int, schema: pa.Schema) -> pa.Table:
+def _kept_rows(part: Chunk, answers: pa.Table, buckets: int, schema: pa.Schema, verbatim: bool) -> pa.Table:
     question = answers["question"]
     starts, first, second = part.candidates(answers.filter(pc.equal(question, 1)), buckets)
     places, number = _distinct(first, second)
@@ -154,7 +154,8 @@ def _kept_rows(part: Chunk, answers: pa.Table, buckets: int, schema: pa.Schema)
     raw = part.data.tobytes()
     nulls = part.docs["text"].is_null().to_pylist()
     for i, n in enumerate(n_removed.tolist()):
-        words = raw[part.offsets[i] : part.offsets[i + 1]].split()
+        text = raw[part.offsets[i] : part.offsets[i + 1]]
+        words = text.split() if n or not verbatim else [text]
         span = []
         if n:
             out = removed[at[i] : at[i + 1]]
@@ -185,12 +186,12 @@ _REPEATS = pa.schema([
 ])
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, verbatim: bool = False) -> DataFrame:
     """Remove every word covered by a window of ``window`` words that also starts earlier.
 
     Earlier is a smaller id, or the same text and an earlier word. Windows are judged on the given texts. Adds
     ``n_words``, ``n_removed``, ``removed`` (array of start and length, in words) and ``kept_text``, the kept words
-    joined by one space. A null text has no words and stays null. Rows with one id are taken in the order of their
+    joined by one space; with ``verbatim`` a text that loses nothing is left as it is. A null text has no words and stays null. Rows with one id are taken in the order of their
     texts; rows without an id come last and do not count as earlier than each other unless they share a chunk. Other
     columns are kept; those with the names of new ones are replaced.
     """
@@ -220,7 +221,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return _earlier_rows(key[0].as_py(), rows)
 
     def kept(key, rows, answers):
-        return _kept_rows(Chunk(rows, window), answers, buckets, arrow) if rows.num_rows else arrow.empty_table()
+        return _kept_rows(Chunk(rows, window), answers, buckets, arrow, verbatim) if rows.num_rows else arrow.empty_table()
 
     by_chunk = docs.groupBy("chunk")
     hit = by_chunk.applyInArrow(probe, PROBES).groupBy("bucket").applyInArrow(hits, HITS)
