@@ -202,10 +202,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(
         exchange.chunk_of(id_col, text_col, buckets).alias("chunk"), exact(id_col).cast("long").alias("id"), exact(text_col).cast("string").alias("text"), rest
     )
-    out = docs.select("id", "_rest").withColumns({
-        "n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"),
-        "removed": F.array().cast("array<struct<start:bigint,length:bigint>>"), "kept_text": F.lit("").cast("string"),
-    }).schema
+    fields = {"n_words": "bigint", "n_removed": "bigint", "removed": "array<struct<start:bigint,length:bigint>>", "kept_text": "string"}
+    out = docs.select("id", "_rest", *(F.lit(None).cast(t).alias(c) for c, t in fields.items())).schema
     arrow = arrow_schema(out)
 
     def probe(key, rows):
