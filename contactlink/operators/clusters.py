@@ -25,17 +25,19 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     ).select("e.*")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, split_hubs: bool) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of node and neighbours."""
     both = _both_ways(edges)
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = materialize(low, "minima") if split_hubs else low
     return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, split_hubs: bool) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
     low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = materialize(low, "minima") if split_hubs else low
     joined = down.join(low, "u")
     return (
         joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -49,15 +51,21 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node with an edge; the root is the smallest node reached."""
+def components(edges: DataFrame, split_hubs: bool = False) -> DataFrame:
+    """``node, root`` for every node with an edge; the root is the smallest node reached.
+
+    With ``split_hubs`` the smallest neighbours are written before edges are joined with them, so that adaptive execution
+    can split the edges of a hub; it costs three small writes more in each step.
+    """
     edges = materialize(
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u > v").distinct(),
         "edges",
     )
     before = _signature(edges)
     while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        large = _large_star(edges, split_hubs)
+        large = materialize(large, "large-stars") if split_hubs else large
+        edges = materialize(_small_star(large, split_hubs), "stars")
         after = _signature(edges)
         if after == before:
             break
@@ -86,7 +94,7 @@ def cluster_labels(records: DataFrame | list[DataFrame], rules: RuleSet, **searc
         if labels is not None:
             # Earlier clusters take part as edges of their members.
             edges = edges.unionByName(labels.filter("ord <> cluster").select(F.col("ord").alias("src"), F.col("cluster").alias("dst")))
-        labels = materialize(components(edges).select(F.col("node").alias("ord"), F.col("root").alias("cluster")), "labels")
+        labels = materialize(components(edges, split_hubs=True).select(F.col("node").alias("ord"), F.col("root").alias("cluster")), "labels")
     if labels is None:
         return tables[0].select("ord", F.col("ord").alias("cluster")).limit(0)
     return labels
@@ -106,5 +114,5 @@ def cluster_keys(records: DataFrame, labels: DataFrame, state: KeyState) -> Data
         F.min_by("stored_key", F.when(F.col("stored_key").isNotNull(), F.col("ord"))).alias("_stored"),
         F.min("data_hash").alias("_hash"),
     )
-    keys = keys.select("cluster", "cluster_size", F.coalesce("_stored", minted_key(F.col("_hash"))).alias("dedup_key"))
+    keys = materialize(keys.select("cluster", "cluster_size", F.coalesce("_stored", minted_key(F.col("_hash"))).alias("dedup_key")), "cluster-keys")
     return members.select("ord", "cluster").join(keys, "cluster").select("ord", "cluster", "cluster_size", "dedup_key")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from contactlink.functions.keys import minted_key
 from contactlink.operators.skew import SLICE_BITS, with_last_before
+from contactlink.operators.storage import materialize
 from contactlink.sources.keystore import KeyState
 
 
@@ -49,7 +50,9 @@ def resolve_keys(records: DataFrame, state: KeyState, slice_bits: int = SLICE_BI
         & F.col("_first_plain").isNotNull()
         & (F.col("_first_given").isNull() | (F.col("_first_plain") < F.col("_first_given")))
     )
-    hashes = hashes.withColumn("_mints", mints)
+    # Written, so that the join with the records is a broadcast by measured size or one that
+    # adaptive execution can split where many records share a hash.
+    hashes = materialize(hashes.withColumn("_mints", mints), "hashes")
     rows = records.join(hashes, "data_hash")
     base = F.coalesce(F.col("stored_key"), minted_key(F.col("data_hash")))
     if not given:
@@ -89,7 +92,7 @@ def with_matched_ids(resolved: DataFrame, state: KeyState) -> DataFrame:
         "dedup_key", "identifier", F.struct(F.lit(0).alias("now"), F.col("run_no").alias("a"), F.col("ord").alias("b")).alias("at")
     )
     first = before.unionByName(now).groupBy("dedup_key", "identifier").agg(F.min("at").alias("at"))
-    lists = first.groupBy("dedup_key").agg(F.sort_array(F.collect_list(F.struct("at", "identifier"))).alias("_ids"))
+    lists = materialize(first.groupBy("dedup_key").agg(F.sort_array(F.collect_list(F.struct("at", "identifier"))).alias("_ids")), "key-identifiers")
     upto = F.filter(
         "_ids", lambda e: (e["at"]["now"] == 0) | (e["at"]["a"] <= F.col("ord"))
     ).getField("identifier")

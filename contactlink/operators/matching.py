@@ -17,6 +17,7 @@ tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -217,8 +218,21 @@ def linking_edges(
     return edges
 
 
+def block_columns(df: DataFrame, blocks: list[Callable[[DataFrame], Column]]) -> list[Column]:
+    """The keys under further blockings, as columns that the narrow table carries besides ``block_key``."""
+    return [block(df).alias(f"_block_{i}") for i, block in enumerate(blocks[1:], 1)]
+
+
+def by_block(narrow: DataFrame, n: int) -> list[DataFrame]:
+    """The narrow table once for each of ``n`` blockings; all read the same written table."""
+    names = [f"_block_{i}" for i in range(1, n)]
+    return [(narrow if i == 0 else narrow.withColumn("block_key", F.col(f"_block_{i}"))).drop(*names) for i in range(n)]
+
+
 def best_of_blocks(tables: list[DataFrame]) -> DataFrame:
     """Best match over several block keys: the best of the bests, no pair is repeated."""
+    if len(tables) == 1:
+        return tables[0]
     return _first_per_record(reduce(DataFrame.unionByName, tables))
 
 

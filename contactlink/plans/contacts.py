@@ -1,6 +1,6 @@
 """Contact records derived from the ``orders`` and ``part`` tables.
 
-The text runs unchanged in Spark and in an ANSI engine. Every four orders form a company:
+The text runs unchanged in Spark and in an ANSI engine. All parts take turns. Every four orders form a company:
 an original, a copy with the same data hash, a misspelt variant, and another company
 with the same zip and phone.
 """
@@ -14,8 +14,10 @@ from contactlink.sources.files import spread
 CONTACTS_SQL = """
 WITH b AS (
   SELECT o_orderkey AS rid, o_orderkey % 4 AS v, CAST((o_orderkey - o_orderkey % 4) / 4 AS BIGINT) AS e FROM {orders}
+), k AS (
+  SELECT b.rid, b.v, b.e, b.e % (SELECT count(*) FROM {part}) AS partkey FROM b
 ), n AS (
-  SELECT b.rid, b.v, b.e, p.p_name, p.p_brand FROM b JOIN {part} p ON p.p_partkey = b.e % 200
+  SELECT k.rid, k.v, k.e, p.p_name, p.p_brand FROM k JOIN {part} p ON p.p_partkey = k.partkey
 )
 SELECT CAST(rid AS BIGINT) AS RID,
   CASE v WHEN 0 THEN 'CRM' WHEN 1 THEN ' crm' WHEN 2 THEN 'WEB' ELSE 'CRM' END AS SOURCE_TYPE,

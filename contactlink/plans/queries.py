@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contactlink.functions import keys, quality, similarity, text
@@ -52,6 +52,8 @@ CONDITIONS = {
     "source_any": Condition("SOURCE_TYPE"),
 }
 
+BLOCKS = [matching.record_block_key, blocking.phone_block, blocking.address_block]
+
 THRESHOLD_RULES = {
     "rules": {
         "T1": {
@@ -146,6 +148,21 @@ def a1_csv_scan(spark, folder):
     return files.read_csv(spark, path, order=None).na.fill("")
 
 
+@query
+def a1_multi_file(spark, folder):
+    """Contacts in files of unequal size, whose columns are in different orders; one compressed, one with an upper-case name."""
+    path = scratch_path(spark, "csv")
+    df = contacts(spark, folder)
+    share = F.col("RID") % 10
+    parts = {"a": (share == 0, df.columns), "b": ((share > 0) & (share < 8), df.columns[::-1]), "c": (share >= 8, sorted(df.columns))}
+    for name, (chosen, columns) in parts.items():
+        rows = df.filter(chosen).repartition(1).sortWithinPartitions(F.desc("RID")).select(*columns)
+        rows.write.options(header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, compression="gzip" if name == "c" else "none").csv(f"{path}/{name}")
+    listed = [f"{path}/{name}" for name in parts]
+    read = files.read_csv(spark, listed).na.fill("")
+    return read.withColumn("place", F.row_number().over(Window.partitionBy(F.col("RID").cast("long") % 10).orderBy(files.ORDER)).cast("long")).drop(files.ORDER)
+
+
 @query
 def a2_input_profile(spark, folder):
     names, first, total = files.profile(contacts(spark, folder), "RID", 10)
@@ -611,15 +628,22 @@ def k1_clusters(spark, folder):
 
 def _over_blocks(spark, folder, blocks) -> DataFrame:
     rule_set = RuleSet(default_rules())
-    df = contacts(spark, folder)
-    tables = [matching.best_match(_narrow(df, rule_set, b), rule_set) for b in blocks]
-    best = matching.named_matches(matching.best_of_blocks(tables), rule_set)
+    clean = standardize.standardize(contacts(spark, folder))
+    narrow = matching.match_columns(clean, rule_set, "RID", blocks[0](clean), extra=matching.block_columns(clean, blocks))
+    tables = matching.by_block(materialize(narrow, "narrow"), len(blocks))
+    best = matching.named_matches(matching.best_of_blocks([matching.best_match(t, rule_set) for t in tables]), rule_set)
     return best.select(F.col("ord").alias("RID"), F.col("match_ord").alias("match_rid"), "rule_id")
 
 
 @query
 def k2_multi_block(spark, folder):
-    return _over_blocks(spark, folder, [matching.record_block_key, blocking.phone_block, blocking.address_block])
+    return _over_blocks(spark, folder, BLOCKS)
+
+
+@query
+def k2_run(spark, folder):
+    """A whole run over several block keys."""
+    return _run(spark, folder, blocks=BLOCKS).result.select("RID", "MATCH_REASON", "is_new")
 
 
 @query

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlink.functions import keys, quality
@@ -16,7 +16,7 @@ from contactlink.operators.mapping import apply_mapping
 from contactlink.operators.rules import Rule, RuleSet, default_rules
 from contactlink.operators.standardize import standardize, with_data_hash, with_quality
 from contactlink.operators.storage import materialize
-from contactlink.sources.files import ORDER, with_order
+from contactlink.sources.files import CORRUPT, ORDER, with_order
 from contactlink.sources.keystore import KeyState, KeyStore, empty_state
 
 ENGINE_VERSION = "1.0"
@@ -24,10 +24,12 @@ ENGINE_VERSION = "1.0"
 
 @dataclass
 class Run:
-    """Result rows, and what the run adds to the key store."""
+    """Result rows, what the run adds to the key store, and how many input records did not fit their header (known if
+    the input was read with ``keep_corrupt``; they take part with the fields that fit)."""
 
     result: DataFrame
     changes: KeyState
+    errors: int = 0
 
 
 def prepare(df: DataFrame, order: str) -> DataFrame:
@@ -50,6 +52,9 @@ def run_match(
     strict_email: bool = False,
     points: Mapping[str, Mapping[str, int]] | None = None,
     engine_version: bool = False,
+    blocks: list[Callable[[DataFrame], Column]] | None = None,
+    confidence: bool = False,
+    bands: bool = False,
     **search: int,
 ) -> Run:
     """Match a table of contact records.
@@ -57,10 +62,16 @@ def run_match(
     ``mode="forward"`` gives every record the key of its own data hash (or the key its
     partner brought along); ``mode="cluster"`` gives one key to all records of a cluster.
     ``order`` names the column with the record order; without it records are numbered as
-    they are read. ``at`` is the time stamped on the result.
+    they are read; it must be unique. ``at`` is the time stamped on the result. ``blocks`` are
+    block keys of standardised records, by default the one of company, zip and phone; records
+    that share any of them are compared. ``confidence`` and ``bands`` add those columns.
     """
     if mode not in ("forward", "cluster"):
         raise ValueError(f"unknown mode {mode!r}")
+    errors = 0
+    if CORRUPT in df.columns:
+        errors = df.agg(F.count(CORRUPT)).first()[0]
+        df = df.drop(CORRUPT)
     df = apply_mapping(df, mapping)
     if order is None:
         order, df = ORDER, (df if ORDER in df.columns else with_order(df))
@@ -73,24 +84,24 @@ def run_match(
     given_key = "DEDUP_KEY" if "DEDUP_KEY" in df.columns else None
     identifier = keys.identifier(field(df, "SOURCE_TYPE"), field(df, "SOURCE_ID")).alias("identifier")
     own = ["data_hash", "identifier"]
-    narrow = materialize(
-        matching.match_columns(
-            clean, rule_set, order, matching.record_block_key(clean), given_key, [F.col("data_hash"), identifier]
-        ),
-        "narrow",
-    )
-    compared = narrow.drop(*own)
-    best = matching.named_matches(matching.best_match(compared, rule_set, **search), rule_set)
+    blocks = blocks or [matching.record_block_key]
+    extra = [F.col("data_hash"), identifier, *matching.block_columns(clean, blocks)]
+    narrow = materialize(matching.match_columns(clean, rule_set, order, blocks[0](clean), given_key, extra), "narrow")
+    if not narrow.groupBy("ord").count().filter((F.col("count") > 1) | F.col("ord").isNull()).isEmpty():
+        raise ValueError(f"order column {order!r} has null or repeated values")
+    compared = [t.drop(*own) for t in matching.by_block(narrow, len(blocks))]
+    matches = matching.best_of_blocks([matching.best_match(t, rule_set, **search) for t in compared])
+    best = materialize(matching.named_matches(matches, rule_set), "best")
     records = narrow.select("ord", *own).join(best, "ord", "left")
     records = records.withColumn("is_match", F.col("match_ord").isNotNull())
     if given_key:
         records = records.withColumnRenamed("match_given_key", "explicit_key")
     if mode == "cluster":
-        cluster = clusters.cluster_labels(compared.drop("given_key"), rule_set, **search)
+        cluster = clusters.cluster_labels([t.drop("given_key") for t in compared], rule_set, **search)
         keyed = clusters.cluster_keys(records.select("ord", "data_hash"), cluster, state)
         resolved = linking.with_stored_key(records.drop("explicit_key").join(keyed, "ord"), state)
         first = F.min(F.when(F.col("stored_key").isNull(), F.col("ord")))
-        seen = resolved.groupBy("dedup_key").agg(first.alias("_first"), F.count("stored_key").alias("_stored"))
+        seen = materialize(resolved.groupBy("dedup_key").agg(first.alias("_first"), F.count("stored_key").alias("_stored")), "cluster-keys")
         resolved = resolved.join(seen, "dedup_key").withColumn(
             "is_new", (F.col("_stored") == 0) & (F.col("ord") == F.col("_first"))
         ).withColumn("is_match", F.col("is_match") | (F.col("cluster_size") > 1)).drop("_first", "_stored", "stored_key", "cluster_size", "cluster")
@@ -119,15 +130,18 @@ def run_match(
         result = result.withColumn("MATCH_TIMESTAMP", iso_timestamp(at))
     if engine_version:
         result = result.withColumn("MATCHING_ENGINE_VERSION", F.lit(ENGINE_VERSION))
-    return Run(result, changes)
+    result = with_confidence(result) if confidence else result
+    return Run(with_bands(result) if bands else result, changes, errors)
 
 
 def run_with_store(df: DataFrame, store: KeyStore, output: str, run_id: str | None = None, at: datetime | None = None, **options) -> DataFrame:
     """Match against the store, write the result as Parquet, then commit the keys.
 
-    The result is written before the commit, so a repeated run overwrites the same
-    result and does not count twice.
+    The result is written before the commit. A run id that is committed already is not
+    run again: its result is read as it was written.
     """
+    if run_id is not None and store.has_run(run_id):
+        return df.sparkSession.read.parquet(output)
     run = run_match(df, state=store.state(), at=at, **options)
     run.result.write.mode("overwrite").parquet(output)
     store.commit(run.changes, run_id, at)

@@ -2,51 +2,122 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactlink.operators.mapping import check_names
+from contactlink.operators.storage import materialize
 
 ORDER = "_ord"
 CORRUPT = "_corrupt_record"
 _FORMAT = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+# Names of CSV files in a folder, in any case and compressed or not.
+CSV_NAME = re.compile(r"\.csv(\.(gz|bz2|zst|lz4|snappy|deflate))?$", re.IGNORECASE)
+CSV_GLOB = "*.[cC][sS][vV]*"
+#: Bits of a record number that count the records of one split of a file.
+PLACE_BITS = 40
 
 
 def csv_options(multi_line: bool = True) -> dict[str, object]:
-    return {**_FORMAT, "multiLine": multi_line, "mode": "PERMISSIVE", "pathGlobFilter": "*.csv"}
+    return {**_FORMAT, "multiLine": multi_line, "mode": "PERMISSIVE"}
+
+
+def csv_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files to read, by path: those named, whatever their name, and of a folder its CSV files. Lists metadata only."""
+    found: list[str] = []
+    for one in [path] if isinstance(path, str) else path:
+        listed = [r[0] for r in spark.read.format("binaryFile").load(one).select("path").collect()]
+        named = one.rstrip("/").rsplit("/", 1)[-1]
+        found += [f for f in listed if CSV_NAME.search(f) or f.rsplit("/", 1)[-1] == named]
+    return sorted(set(found))
+
+
+def _header(spark: SparkSession, path: str, multi_line: bool) -> tuple[str, ...]:
+    """The names in a file's first record; reads no further."""
+    return tuple(spark.read.options(**csv_options(multi_line)).csv(path).columns)
 
 
 def read_csv(
     spark: SparkSession, path: str | list[str], multi_line: bool = True, order: str | None = ORDER, keep_corrupt: bool = False
 ) -> DataFrame:
-    """CSV files with a header row; every column is text, so leading zeros survive.
+    """CSV files with a header row each; every column is text, so leading zeros survive.
 
-    ``multi_line`` allows line breaks inside quotes; such files are read one task each.
-    Set it to False for large files without them: those are split. ``order`` names an
-    added column with the record order (file, then place in the file).
+    Columns are matched by name, file by file: the files of one header are read together, and a column that a file
+    lacks is null there. ``multi_line`` allows line breaks inside quotes; such files are read one task each. Set it to
+    False for large files without them: those are split. ``order`` names an added column with the record order (file by
+    path, then place in the file); the numbered table is written once. ``keep_corrupt`` adds the text of records that
+    do not fit their header, found in the same scan; ``run_match`` counts them.
     """
-    reader = spark.read.options(**csv_options(multi_line))
-    df = reader.csv(path)
-    check_names(df.columns)
-    if keep_corrupt:
-        schema = T.StructType([*df.schema.fields, T.StructField(CORRUPT, T.StringType())])
-        df = reader.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    return with_order(df, order) if order else df
+    names = csv_files(spark, path)
+    if not names:
+        raise FileNotFoundError(f"no CSV file in {path}")
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda f: _header(spark, f, multi_line), names))
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for name, header in zip(names, headers):
+        check_names(list(header))
+        by_header.setdefault(header, []).append(name)
+    parts = []
+    for header, group in by_header.items():
+        fields = [T.StructField(c, T.StringType()) for c in (*header, CORRUPT)]
+        reader = spark.read.schema(T.StructType(fields)).options(**csv_options(multi_line), enforceSchema=False)
+        part = reader.option("columnNameOfCorruptRecord", CORRUPT).csv(group)
+        # Found now, before later steps can leave columns out: a record is only checked as far as it is asked for.
+        rest = [F.col(f"`{c}`") for c in header]
+        bad = F.when((F.length(F.concat_ws("", *rest)) >= 0) | F.lit(True), F.col(CORRUPT))
+        part = part.withColumn(CORRUPT, bad)
+        parts.append(_placed(part) if order else part)
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if not keep_corrupt:
+        df = df.drop(CORRUPT)
+    check_names([c for c in df.columns if c not in _PLACE])
+    return _numbered(df, order) if order else df
 
 
 def spread(scan: DataFrame) -> DataFrame:
     """Shuffle a plain scan that has fewer splits than the cluster has cores.
 
-    Only small inputs have; a large one keeps its splits and is not moved.
+    Only small inputs have; a large one keeps its splits and is not moved. Not for input that is numbered afterwards.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+_PLACE = ("_file", "_start", "_row")
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Where each record is: file, split, and a number that rises inside them. Tables that come from no file are one."""
+    try:
+        places = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+        df.select(*places)
+    except AnalysisException:
+        places = [F.lit(""), F.lit(0).cast("long")]
+    return df.select("*", *(p.alias(n) for p, n in zip([*places, F.monotonically_increasing_id()], _PLACE)))
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Number placed records: splits by path and place, records inside them as they come.
+
+    Spark deals splits to tasks by size, so its own numbers are not in the order of files. The placed table is written
+    first: numbers are made once, and cannot differ between two uses. Splits are few, so ranking them is small.
+    """
+    placed = materialize(df, "records")
+    splits = placed.groupBy("_file", "_start").agg(F.min("_row").alias("_first")).collect()
+    ranks = [(r["_file"], r["_start"], (i << PLACE_BITS) - r["_first"]) for i, r in enumerate(sorted(splits, key=lambda r: (r["_file"], r["_start"])))]
+    shift = df.sparkSession.createDataFrame(ranks, "_file string, _start long, _shift long")
+    return placed.join(shift, ["_file", "_start"]).withColumn(name, F.col("_row") + F.col("_shift")).drop(*_PLACE, "_shift")
+
+
 def with_order(df: DataFrame, name: str = ORDER) -> DataFrame:
-    """Number the records in the order Spark reads them."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Number the records by file and place in it; the numbered table is written once."""
+    return _numbered(_placed(df), name)
 
 
 def profile(df: DataFrame, order: str, rows: int = 10) -> tuple[list[str], DataFrame, int]:
@@ -65,7 +136,7 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
     Only file metadata is listed; no content is read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", CSV_GLOB).load(path)
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("filename"),
         F.col("length").alias("size"),
@@ -98,8 +169,4 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def count_bad_rows(df: DataFrame) -> DataFrame:
     """``records, errors`` of a table read with ``keep_corrupt``."""
-    names = [f"`{c}`" for c in df.columns if c not in (CORRUPT, ORDER)]
-    # A row is only checked as far as its columns are asked for; the second test is never
-    # true but asks for all of them.
-    bad = F.col(CORRUPT).isNotNull() | (F.length(F.concat_ws("", *names)) < 0)
-    return df.agg(F.count(F.lit(1)).alias("records"), F.count_if(bad).alias("errors"))
+    return df.agg(F.count(F.lit(1)).alias("records"), F.count(CORRUPT).alias("errors"))

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from contactlink.operators.standardize import standardize, with_quality
 from contactlink.plans.run import run_with_store
-from contactlink.sources.files import csv_options
+from contactlink.sources.files import CSV_GLOB, csv_options
 from contactlink.sources.keystore import KeyStore
 
 
@@ -16,9 +16,11 @@ def text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_folder(spark: SparkSession, path: str, columns: list[str], max_files: int | None = None) -> DataFrame:
-    """Stream of the CSV files of a drop folder."""
-    reader = spark.readStream.schema(text_schema(columns)).options(**csv_options())
+def read_folder(spark: SparkSession, path: str, columns: list[str], max_files: int | None = None, multi_line: bool = True) -> DataFrame:
+    """Stream of the CSV files of a drop folder. A file whose header has other names or another order fails the stream
+    instead of exchanging columns. ``multi_line=False`` lets large files without line breaks in quotes be split."""
+    options = csv_options(multi_line) | {"pathGlobFilter": CSV_GLOB, "enforceSchema": False}
+    reader = spark.readStream.schema(text_schema(columns)).options(**options)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.csv(path)

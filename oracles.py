@@ -161,10 +161,10 @@ stored AS (
 )"""
 
 
-def resolved(given: str = NOT_GIVEN, store: str = NO_STORE) -> str:
+def resolved(given: str = NOT_GIVEN, store: str = NO_STORE, best: str = BEST) -> str:
     """Keys by window functions over the rows of a hash, in record order."""
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    return f"""{BEST}, {given}, {store},
+    return f"""{best}, {given}, {store},
 explicit AS (
   SELECT k.RID, k.data_hash, k.identifier, best.match_reason, best.b, g.key AS explicit_key, s.stored_key
   FROM keyed k LEFT JOIN best ON best.a = k.RID LEFT JOIN given g ON g.RID = best.b
@@ -341,6 +341,8 @@ def build() -> dict[str, str]:
     )
     out = {
         "a1_csv_scan": f"{of_contacts} SELECT CAST(RID AS STRING) AS RID, {text_columns} FROM contacts",
+        "a1_multi_file": f"""{of_contacts} SELECT CAST(RID AS STRING) AS RID, {text_columns},
+            row_number() OVER (PARTITION BY RID % 10 ORDER BY RID DESC) AS place FROM contacts""",
         "a2_input_profile": f"{of_contacts} SELECT RID, COMPANY_NAME, CAST(10 AS BIGINT) AS n_columns, {total} FROM contacts ORDER BY RID LIMIT 10",
         "a3_preview": f"{of_contacts} SELECT *, {total} FROM contacts ORDER BY RID LIMIT 100",
         "a8_column_catalog": f"""{of_contacts}, {CATALOG_TABLE}, {FILLED}
@@ -453,6 +455,8 @@ def build() -> dict[str, str]:
             keys AS (SELECT cluster, count(*) AS cluster_size, min(data_hash) AS h FROM member m JOIN keyed k ON k.RID = m.RID GROUP BY cluster)
             SELECT RID, m.cluster, cluster_size, {minted('h')} AS dedup_key FROM member m JOIN keys ON keys.cluster = m.cluster""",
         "k2_multi_block": f"WITH {CLEAN}, {scored(many)}, {MATCHED} SELECT a AS RID, b AS match_rid, rule_id FROM best",
+        "k2_run": f"""{resolved(best=f"WITH RECURSIVE {CLEAN}, {scored(many)}, {MATCHED}")}
+            SELECT RID, reason AS MATCH_REASON, is_new FROM resolved""",
         "k4_levenshtein": f"""{NEIGHBOURS} SELECT p.a AS RID, p.b AS other, round(CASE WHEN l.company_std <> '' AND r.company_std <> '' THEN
             (1.0::DOUBLE - levenshtein(l.company_std, r.company_std)::DOUBLE / greatest(length(l.company_std), length(r.company_std))::DOUBLE) * 100.0::DOUBLE
             ELSE 0.0 END, 6) AS score {PAIR_SIDES}""",
