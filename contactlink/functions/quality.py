@@ -13,17 +13,24 @@ from contactlink.functions import text
 
 # Lists and points of the quality criteria.
 PERSONAL_DOMAINS = (
-    "gmail.com yahoo.com hotmail.com outlook.com aol.com icloud.com mail.com protonmail.com "
-    "zoho.com yandex.com live.com msn.com comcast.net att.net verizon.net"
-).split()
+    "gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "mail.com",
+    "protonmail.com", "zoho.com", "yandex.com", "live.com", "msn.com", "comcast.net", "att.net",
+    "verizon.net",
+)
 GENERIC_MAILBOXES = (
-    "info contact sales support admin help service webmaster postmaster noreply no-reply hello enquiries"
-).split()
-ADMIN_MAILBOXES = "admin support help helpdesk service".split()
+    "info", "contact", "sales", "support", "admin", "help", "service", "webmaster", "postmaster", "noreply",
+    "no-reply", "hello", "enquiries",
+)
+ADMIN_MAILBOXES = (
+    "admin", "support", "help", "helpdesk", "service",
+)
 DEPARTMENT_MAILBOXES = (
-    "hr finance marketing legal accounting billing operations engineering it tech development"
-).split()
-TOLL_FREE_CODES = "800 888 877 866 855 844 833".split()
+    "hr", "finance", "marketing", "legal", "accounting", "billing", "operations", "engineering", "it", "tech",
+    "development",
+)
+TOLL_FREE_CODES = (
+    "800", "888", "877", "866", "855", "844", "833",
+)
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 EMAIL_POINTS = {
     "valid_format": 20,
@@ -71,10 +78,10 @@ def email_quality(email: Column, points: Mapping[str, int] | None = None) -> dic
     domain = F.substring_index(clean, "@", -1)
     holds = {
         "valid_format": F.lit(True),
-        "non_personal": ~domain.isin(PERSONAL_DOMAINS),
-        "non_generic": ~mailbox.isin(GENERIC_MAILBOXES),
-        "non_admin": ~mailbox.isin(ADMIN_MAILBOXES),
-        "non_department": ~mailbox.isin(DEPARTMENT_MAILBOXES),
+        "non_personal": ~domain.isin(*PERSONAL_DOMAINS),
+        "non_generic": ~mailbox.isin(*GENERIC_MAILBOXES),
+        "non_admin": ~mailbox.isin(*ADMIN_MAILBOXES),
+        "non_department": ~mailbox.isin(*DEPARTMENT_MAILBOXES),
     }
     flags = {name: F.when(test, points[name]).otherwise(0) for name, test in holds.items()}
     return _points(flags, clean.rlike(EMAIL_PATTERN), "email_quality")
@@ -88,11 +95,11 @@ def list_flags(email: Column, phone: Column) -> dict[str, Column]:
     clean = text.email_std(email)
     mailbox = F.substring_index(clean, "@", 1)
     return {
-        "personal_domain": F.substring_index(clean, "@", -1).isin(PERSONAL_DOMAINS),
-        "generic_mailbox": mailbox.isin(GENERIC_MAILBOXES),
-        "admin_mailbox": mailbox.isin(ADMIN_MAILBOXES),
-        "department_mailbox": mailbox.isin(DEPARTMENT_MAILBOXES),
-        "toll_free": F.substring(text.phone_std(phone), 1, 3).isin(TOLL_FREE_CODES),
+        "personal_domain": F.substring_index(clean, "@", -1).isin(*PERSONAL_DOMAINS),
+        "generic_mailbox": mailbox.isin(*GENERIC_MAILBOXES),
+        "admin_mailbox": mailbox.isin(*ADMIN_MAILBOXES),
+        "department_mailbox": mailbox.isin(*DEPARTMENT_MAILBOXES),
+        "toll_free": F.substring(text.phone_std(phone), 1, 3).isin(*TOLL_FREE_CODES),
     }
 
 
@@ -108,7 +115,7 @@ def phone_quality(phone: Column, extension: Column, points: Mapping[str, int] |
         "valid_area_code": ~F.substring(digits, 1, 1).isin("0", "1"),
         "valid_exchange": ~F.substring(digits, 4, 1).isin("0", "1"),
         "valid_line_number": line != "0000",
-        "not_toll_free": ~area.isin(TOLL_FREE_CODES),
+        "not_toll_free": ~area.isin(*TOLL_FREE_CODES),
         "not_main_line": ~main_line,
         "high_quality": ~(digits.isin("0123456789", "9876543210") | digits.rlike(r"(.)\1{3}")),
     }

@@ -24,9 +24,9 @@ SPACE_CHARACTERS = "".join(
 
 # Words dropped from company names wherever they stand.
 COMPANY_NOISE = (
-    "inc incorporated corp corporation llc ltd limited co company "
-    "plc lp llp pllc pc pa na the a an"
-).split()
+    "inc", "incorporated", "corp", "corporation", "llc", "ltd", "limited", "co", "company", "plc", "lp",
+    "llp", "pllc", "pc", "pa", "na", "the", "a", "an",
+)
 
 # Address words and their short forms.
 ADDRESS_SHORT = {

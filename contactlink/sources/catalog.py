@@ -31,51 +31,215 @@ class Catalog:
     columns: tuple[CatalogColumn, ...]
 
 
-# Group | name | label | alternate header names besides the name itself.
-# A * marks a required column.
-_DEFAULT = """
-input-fields | RECORD_ID | Record ID | RECID RECORDID
-input-fields-(source) | SOURCE_TYPE* | Source Type | SOURCETYPE SRC_TYPE SRC_TYP_CD
-input-fields-(source) | SOURCE_ID* | Source ID | SOURCEID SRC_ID SRC_IDENT
-input-fields | COMPANY_NAME* | Company Name | COMPANYNAME BUSINESS_NAME SITE_NAME LEGAL_NAME
-input-fields | NAICS_CD | NAICS Code | NAICSCD NAICS_CODE
-input-fields | SIC_CODE | SIC Code | SICCODE SIC
-input-fields-(address) | ADDRESS_LINE_1* | Address Line 1 | ADDRESS1 ADDRESS_1 ADDRESSLINE1 ADDR_LINE1 STREET_ADDRESS
-input-fields-(address) | ADDRESS_LINE_2 | Address Line 2 | ADDRESS2 ADDRESS_2 ADDRESSLINE2 ADDR_LINE2 STREET_ADDRESS_2
-input-fields-(address) | CITY | City Name | CITY_NAME TOWN MUNICIPALITY
-input-fields-(address) | STATE | State Code | PROVINCE STATE_CODE PROV_CODE STATE_CD
-input-fields-(address) | ZIP_CODE* | Zip Code | ZIP_SUPP ZIP5 ZIP ZIPCODE POSTAL_CODE POSTCODE
-input-fields-(address) | ZIP4 | Zip Code Supp. | ZIP_4 ZIP4_CODE ZIP_4_CODE POSTAL_CODE_4 SUPPLEMENT_ZIP_CODE POSTCODE_4
-input-fields-(address) | COUNTRY_CODE | Country Code | COUNTRY COUNTRY_CD NATION_CODE
-input-fields-(address) | ADDRESS_VALID_IND | Address Valid Indicator | ADDRESSVALIDIND ADDR_VALID_IND
-input-fields-(address) | ADDRESS_LOCATION_TYPE | Address Location Type | ADDRESSLOCATIONTYPE ADDR_LOCATION_TYPE ADDR_LOC_TYPE
-input-fields-(address) | ADDRESS_MARKETABLE_IND | Address Marketable Indicator | ADDRESSMARKETABLEIND ADDR_MARKETABLE_IND
-input-fields-(address) | ADDRESS_FAULT_CODE | Address Fault Code | ADDRESSFAULTCODE ADDR_FAULT_CODE
-input-fields-(address) | RESIDENTIAL_DELIVERY_IND | Residential Delivery Indicator | RESIDENTIALDELIVERYIND RES_DELIV_IND
-input-fields-(email) | EMAIL_ADDRESS | Email Address | EMAILADDRESS EMAIL EMAILADDR E_MAIL
-input-fields-(email) | EMAIL_MARKETABLE_IND | Email Marketable Indicator | EMAILMARKETABLEIND EMAIL_MKTABLE_IND
-input-fields-(email) | EMAIL_UPDATE_DT | Email Update Date | EMAILUPDATEDT EMAIL_UPD_DT
-input-fields-(phone) | PHONE_NUMBER* | Phone Number | PHONENUMBER PHONE TEL_NUMBER TELEPHONE_NUMBER
-input-fields-(phone) | PHONE_TYPE | Phone Type | PHONETYPE TEL_TYPE PHONE_TYP_CD
-input-fields-(phone) | PHONE_EXTENSION | Phone Extension | PHONEEXTENSION TEL_EXTENSION PHONE_EXT EXTENSION
-input-fields-(phone) | PHONE_VALID_IND | Phone Valid Indicator | PHONEVALIDIND TEL_VALID_IND PHONE_IS_VALID
-input-fields-(phone) | PHONE_MARKETABLE_IND | Phone Marketable Indicator | PHONEMARKETABLEIND TEL_MARKETABLE_IND
-input-fields-(phone) | PHONE_UPDATE_DT | Phone Update Date | PHONEUPDATEDT TEL_UPDATE_DT
-input-fields-(address) | ADDRESS_UPDATE_DT | Address Update Date | ADDRESSUPDATEDT ADDR_UPDATE_DT
-matching-results | DEDUP_KEY | Deduplication Key | DEDUPKEY DUPLICATE_KEY
-confidence-scores | COMPANY_CONFIDENCE | Company Confidence | COMPANYCONFIDENCE COMPANY_CONF
-confidence-scores | ADDRESS_CONFIDENCE | Address Confidence | ADDRESSCONFIDENCE ADDR_CONF
-confidence-scores | EMAIL_CONFIDENCE | Email Confidence | EMAILCONFIDENCE EMAIL_CONF
-confidence-scores | PHONE_CONFIDENCE | Phone Confidence | PHONECONFIDENCE PHONE_CONF
-similarity-scores | COMPANY_NAME_SCORE | Company Name Similarity Score | COMPANYNAMESCORE NAME_SCORE
-similarity-scores | ADDRESS_1_SCORE | Address Line 1 Similarity Score | ADDRESS1SCORE ADDR_LINE1_SCORE
-similarity-scores | ADDRESS_2_SCORE | Address Line 2 Similarity Score | ADDRESS2SCORE ADDR_LINE2_SCORE
-standardized-fields | COMPANY_NAME_STD | Company Name | COMPANYNAMESTD STD_COMPANY_NAME
-standardized-fields | ADDRESS1_STD | Address1 | ADDRESSLINE1STD STD_ADDRESS1
-standardized-fields | ADDRESS2_STD | Address2 | ADDRESSLINE2STD STD_ADDRESS2
-standardized-fields | PHONE_STD | Phone | PHONESTD STD_PHONE
-standardized-fields | PHONE_EXTENSION_STD | Phone Extension | PHONE_EXT_STD STD_PHONE_EXT EXTENSION_STD
-"""
+# The columns of the standard vocabulary, in the order that decides ties: name, label, group, whether
+# required, header names that mean it, description, and type and sequence where there are any.
+DEFAULT_COLUMNS = (
+    CatalogColumn(
+        "RECORD_ID", "Record ID", "input-fields", False,
+        ("RECID", "RECORDID", "RECORD_ID"),
+        "Unique identifier for each record in the dataset", "string",
+    ),
+    CatalogColumn(
+        "SOURCE_TYPE", "Source Type", "input-fields-(source)", True,
+        ("SOURCETYPE", "SOURCE_TYPE", "SRC_TYPE", "SRC_TYP_CD"),
+        "Data source identifier (e.g., SBA MASTER, SBA BILL TO, SPP MASTER, DNB ACCOUNT, DATA AXLE PLACES, etc. )", "string", 2001,
+    ),
+    CatalogColumn(
+        "SOURCE_ID", "Source ID", "input-fields-(source)", True,
+        ("SOURCEID", "SOURCE_ID", "SRC_ID", "SRC_IDENT"),
+        "An identifier that represents the specific source from which the data record was obtained. ", "string", 2002,
+    ),
+    CatalogColumn(
+        "COMPANY_NAME", "Company Name", "input-fields", True,
+        ("COMPANYNAME", "COMPANY_NAME", "BUSINESS_NAME", "SITE_NAME", "LEGAL_NAME"),
+        "Legal or Trading name of the company", "string",
+    ),
+    CatalogColumn(
+        "NAICS_CD", "NAICS Code", "input-fields", False,
+        ("NAICSCD", "NAICS_CD", "NAICS_CODE"),
+        "NAICS is a classification of business establishments by type of economic activity", "string",
+    ),
+    CatalogColumn(
+        "SIC_CODE", "SIC Code", "input-fields", False,
+        ("SICCODE", "SIC_CODE", "SIC"),
+        "The Standard Industrial Classification (SIC) is a system for classifying industries by four-digit code, used to standardize industry classification for statistical purposes across agencies.", "string",
+    ),
+    CatalogColumn(
+        "ADDRESS_LINE_1", "Address Line 1", "input-fields-(address)", True,
+        ("ADDRESS1", "ADDRESS_1", "ADDRESSLINE1", "ADDRESS_LINE_1", "ADDR_LINE1", "STREET_ADDRESS"),
+        "Primary address line (street number and name)", "string",
+    ),
+    CatalogColumn(
+        "ADDRESS_LINE_2", "Address Line 2", "input-fields-(address)", False,
+        ("ADDRESS2", "ADDRESS_2", "ADDRESSLINE2", "ADDRESS_LINE_2", "ADDR_LINE2", "STREET_ADDRESS_2"),
+        "Secondary address line (suite, apt, floor, etc.)", "string",
+    ),
+    CatalogColumn(
+        "CITY", "City Name", "input-fields-(address)", False,
+        ("CITY", "CITY_NAME", "TOWN", "MUNICIPALITY"),
+        "City name", "string",
+    ),
+    CatalogColumn(
+        "STATE", "State Code", "input-fields-(address)", False,
+        ("STATE", "PROVINCE", "STATE_CODE", "PROV_CODE", "STATE_CD"),
+        "State or Province Code", "string",
+    ),
+    CatalogColumn(
+        "ZIP_CODE", "Zip Code", "input-fields-(address)", True,
+        ("ZIP_SUPP", "ZIP5", "ZIP", "ZIPCODE", "ZIP_CODE", "POSTAL_CODE", "POSTCODE"),
+        "Postal or zip code", "string",
+    ),
+    CatalogColumn(
+        "ZIP4", "Zip Code Supp.", "input-fields-(address)", False,
+        ("ZIP4", "ZIP_4", "ZIP4_CODE", "ZIP_4_CODE", "POSTAL_CODE_4", "SUPPLEMENT_ZIP_CODE", "POSTCODE_4"),
+        "Postal or zip code Supplement", "string",
+    ),
+    CatalogColumn(
+        "COUNTRY_CODE", "Country Code", "input-fields-(address)", False,
+        ("COUNTRY", "COUNTRY_CODE", "COUNTRY_CD", "NATION_CODE"),
+        "Standardized code (ISO country codes) that represents the country associated with the record. ", "string",
+    ),
+    CatalogColumn(
+        "ADDRESS_VALID_IND", "Address Valid Indicator", "input-fields-(address)", False,
+        ("ADDRESSVALIDIND", "ADDRESS_VALID_IND", "ADDR_VALID_IND"),
+        "Indicates whether the address has been validated",
+    ),
+    CatalogColumn(
+        "ADDRESS_LOCATION_TYPE", "Address Location Type", "input-fields-(address)", False,
+        ("ADDRESSLOCATIONTYPE", "ADDRESS_LOCATION_TYPE", "ADDR_LOCATION_TYPE", "ADDR_LOC_TYPE"),
+        "Type of address location (e.g., residential, commercial, PO Box)",
+    ),
+    CatalogColumn(
+        "ADDRESS_MARKETABLE_IND", "Address Marketable Indicator", "input-fields-(address)", False,
+        ("ADDRESSMARKETABLEIND", "ADDRESS_MARKETABLE_IND", "ADDR_MARKETABLE_IND"),
+        "Indicates whether the address is suitable for marketing purposes",
+    ),
+    CatalogColumn(
+        "ADDRESS_FAULT_CODE", "Address Fault Code", "input-fields-(address)", False,
+        ("ADDRESSFAULTCODE", "ADDRESS_FAULT_CODE", "ADDR_FAULT_CODE"),
+        "Code indicating address quality or validation issues",
+    ),
+    CatalogColumn(
+        "RESIDENTIAL_DELIVERY_IND", "Residential Delivery Indicator", "input-fields-(address)", False,
+        ("RESIDENTIALDELIVERYIND", "RESIDENTIAL_DELIVERY_IND", "RES_DELIV_IND"),
+        "Indicates whether the address is a residential delivery location",
+    ),
+    CatalogColumn(
+        "EMAIL_ADDRESS", "Email Address", "input-fields-(email)", False,
+        ("EMAILADDRESS", "EMAIL_ADDRESS", "EMAIL", "EMAILADDR", "E_MAIL"),
+        "Email Address",
+    ),
+    CatalogColumn(
+        "EMAIL_MARKETABLE_IND", "Email Marketable Indicator", "input-fields-(email)", False,
+        ("EMAILMARKETABLEIND", "EMAIL_MARKETABLE_IND", "EMAIL_MKTABLE_IND"),
+        "Indicates whether the email is suitable for marketing purposes",
+    ),
+    CatalogColumn(
+        "EMAIL_UPDATE_DT", "Email Update Date", "input-fields-(email)", False,
+        ("EMAILUPDATEDT", "EMAIL_UPDATE_DT", "EMAIL_UPD_DT"),
+        "Indicates when the email address information was last updated",
+    ),
+    CatalogColumn(
+        "PHONE_NUMBER", "Phone Number", "input-fields-(phone)", True,
+        ("PHONENUMBER", "PHONE_NUMBER", "PHONE", "TEL_NUMBER", "TELEPHONE_NUMBER"),
+        "Primary phone number associated with the record",
+    ),
+    CatalogColumn(
+        "PHONE_TYPE", "Phone Type", "input-fields-(phone)", False,
+        ("PHONETYPE", "PHONE_TYPE", "TEL_TYPE", "PHONE_TYP_CD"),
+        "Type of phone number (e.g., mobile, landline, toll-free)",
+    ),
+    CatalogColumn(
+        "PHONE_EXTENSION", "Phone Extension", "input-fields-(phone)", False,
+        ("PHONEEXTENSION", "PHONE_EXTENSION", "TEL_EXTENSION", "PHONE_EXT", "EXTENSION"),
+        "Phone extension number (separate from main phone number)",
+    ),
+    CatalogColumn(
+        "PHONE_VALID_IND", "Phone Valid Indicator", "input-fields-(phone)", False,
+        ("PHONEVALIDIND", "PHONE_VALID_IND", "TEL_VALID_IND", "PHONE_IS_VALID"),
+        "Indicates whether the phone number is valid",
+    ),
+    CatalogColumn(
+        "PHONE_MARKETABLE_IND", "Phone Marketable Indicator", "input-fields-(phone)", False,
+        ("PHONEMARKETABLEIND", "PHONE_MARKETABLE_IND", "TEL_MARKETABLE_IND"),
+        "Indicates whether the phone number is suitable for marketing purposes.",
+    ),
+    CatalogColumn(
+        "PHONE_UPDATE_DT", "Phone Update Date", "input-fields-(phone)", False,
+        ("PHONEUPDATEDT", "PHONE_UPDATE_DT", "TEL_UPDATE_DT"),
+        "Indicates when the phone number information was last updated.",
+    ),
+    CatalogColumn(
+        "ADDRESS_UPDATE_DT", "Address Update Date", "input-fields-(address)", False,
+        ("ADDRESSUPDATEDT", "ADDRESS_UPDATE_DT", "ADDR_UPDATE_DT"),
+        "Indicates when the mailing address information was last updated.",
+    ),
+    CatalogColumn(
+        "DEDUP_KEY", "Deduplication Key", "matching-results", False,
+        ("DEDUPKEY", "DEDUP_KEY", "DUPLICATE_KEY"),
+        "A unique key generated to identify and eliminate duplicate records within the dataset.",
+    ),
+    CatalogColumn(
+        "COMPANY_CONFIDENCE", "Company Confidence", "confidence-scores", False,
+        ("COMPANY_CONFIDENCE", "COMPANYCONFIDENCE", "COMPANY_CONF"),
+        "Match confidence for company name (0-100)",
+    ),
+    CatalogColumn(
+        "ADDRESS_CONFIDENCE", "Address Confidence", "confidence-scores", False,
+        ("ADDRESS_CONFIDENCE", "ADDRESSCONFIDENCE", "ADDR_CONF"),
+        "Match confidence for address (0-100)",
+    ),
+    CatalogColumn(
+        "EMAIL_CONFIDENCE", "Email Confidence", "confidence-scores", False,
+        ("EMAIL_CONFIDENCE", "EMAILCONFIDENCE", "EMAIL_CONF"),
+        "Match confidence for email based on quality (0-100)",
+    ),
+    CatalogColumn(
+        "PHONE_CONFIDENCE", "Phone Confidence", "confidence-scores", False,
+        ("PHONE_CONFIDENCE", "PHONECONFIDENCE", "PHONE_CONF"),
+        "Match confidence for phone based on quality (0-100)",
+    ),
+    CatalogColumn(
+        "COMPANY_NAME_SCORE", "Company Name Similarity Score", "similarity-scores", False,
+        ("COMPANYNAMESCORE", "COMPANY_NAME_SCORE", "NAME_SCORE"),
+        "A numerical score representing the similarity between company names during the matching process.",
+    ),
+    CatalogColumn(
+        "ADDRESS_1_SCORE", "Address Line 1 Similarity Score", "similarity-scores", False,
+        ("ADDRESS1SCORE", "ADDRESS_1_SCORE", "ADDR_LINE1_SCORE"),
+        "A numerical score representing the similarity between primary address lines during the matching process.",
+    ),
+    CatalogColumn(
+        "ADDRESS_2_SCORE", "Address Line 2 Similarity Score", "similarity-scores", False,
+        ("ADDRESS2SCORE", "ADDRESS_2_SCORE", "ADDR_LINE2_SCORE"),
+        "A numerical score representing the similarity between secondary address lines during the matching process.",
+    ),
+    CatalogColumn(
+        "COMPANY_NAME_STD", "Company Name", "standardized-fields", False,
+        ("COMPANY_NAME_STD", "COMPANYNAMESTD", "STD_COMPANY_NAME"),
+        "Standardized company name (suffixes removed, normalized)",
+    ),
+    CatalogColumn(
+        "ADDRESS1_STD", "Address1", "standardized-fields", False,
+        ("ADDRESS1_STD", "ADDRESSLINE1STD", "STD_ADDRESS1"),
+        "Standardized address line 1 (abbreviations normalized)",
+    ),
+    CatalogColumn(
+        "ADDRESS2_STD", "Address2", "standardized-fields", False,
+        ("ADDRESS2_STD", "ADDRESSLINE2STD", "STD_ADDRESS2"),
+        "Standardized address line 2 (abbreviations normalized)",
+    ),
+    CatalogColumn(
+        "PHONE_STD", "Phone", "standardized-fields", False,
+        ("PHONE_STD", "PHONESTD", "STD_PHONE"),
+        "Standardized phone number (formatted as (XXX) XXX-XXXX)",
+    ),
+    CatalogColumn(
+        "PHONE_EXTENSION_STD", "Phone Extension", "standardized-fields", False,
+        ("PHONE_EXTENSION_STD", "PHONE_EXT_STD", "STD_PHONE_EXT", "EXTENSION_STD"),
+        "Phone extension extracted from phone number during standardization. Contains only digits.",
+    ),
+)
 
 # Result columns offered besides the catalog, all in one group.
 RESULT_GROUP = "matching-results"
@@ -83,13 +247,7 @@ RESULT_COLUMNS = ("DEDUP_KEY", "MATCH_REASON", "MATCH_TIMESTAMP", "MATCHED_RECOR
 
 
 def default_catalog() -> Catalog:
-    columns = []
-    for line in _DEFAULT.strip().splitlines():
-        group, name, label, alternates = (part.strip() for part in line.split("|"))
-        required = name.endswith("*")
-        name = name.rstrip("*")
-        columns.append(CatalogColumn(name, label, group, required, (name, *alternates.split())))
-    return Catalog(tuple(columns))
+    return Catalog(DEFAULT_COLUMNS)
 
 
 def parse_catalog(document: Mapping[str, Mapping[str, Any]]) -> Catalog:
