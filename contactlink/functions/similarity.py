@@ -60,7 +60,8 @@ def _lcs_chunk(left: list[str], right: list[str]) -> np.ndarray:
 def lcs_lengths(left: pd.Series, right: pd.Series) -> np.ndarray:
     """LCS length of each pair of strings; any length, nulls count as ''."""
     a, b = left.fillna("").tolist(), right.fillna("").tolist()
-    size = np.fromiter(map(len, a), dtype=np.int64, count=len(a))
+    # Both sides are padded to the longest of a chunk, so the longer string of a pair counts.
+    size = np.fromiter((max(len(x), len(y)) for x, y in zip(a, b)), dtype=np.int64, count=len(a))
     out = np.zeros(len(a), dtype=np.int64)
     order = np.argsort(size, kind="stable")  # similar lengths share a chunk
     start = 0
@@ -184,22 +185,36 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     )
 
 
+_WINDOW_CHARS = 1 << 20
+
+
 def _partial(left: pd.Series, right: pd.Series) -> pd.Series:
     """Best Indel ratio of the shorter string against any substring window of the longer."""
-    rows, short, window = [], [], []
+    best = np.zeros(len(left))
+    rows, short, window, held = [], [], [], 0
+
+    def settle() -> None:
+        nonlocal held
+        lengths = np.array([len(s) + len(w) for s, w in zip(short, window)], dtype=np.float64)
+        common = lcs_lengths(pd.Series(short), pd.Series(window))
+        np.maximum.at(best, np.array(rows), (1.0 - (lengths - 2 * common) / np.maximum(lengths, 1)) * 100.0)
+        held = 0
+        for held_list in (rows, short, window):
+            held_list.clear()
+
     for i, (x, y) in enumerate(zip(left.fillna(""), right.fillna(""))):
-        both_ways = [(x, y), (y, x)] if len(x) == len(y) else [(x, y) if len(x) < len(y) else (y, x)]
+        both_ways = [(x, y), (y, x)] if len(x) == len(y) and x != y else [(x, y) if len(x) <= len(y) else (y, x)]
         for s, t in both_ways:
             for start in range(1 - len(s), len(t)):
                 piece = t[max(start, 0) : start + len(s)]
                 rows.append(i)
                 short.append(s)
                 window.append(piece)
-    best = np.zeros(len(left))
+                held += len(piece)
+                if held > _WINDOW_CHARS:  # a bounded number of characters at a time, whatever the texts
+                    settle()
     if rows:
-        lengths = np.array([len(s) + len(w) for s, w in zip(short, window)], dtype=np.float64)
-        common = lcs_lengths(pd.Series(short), pd.Series(window))
-        np.maximum.at(best, np.array(rows), (1.0 - (lengths - 2 * common) / np.maximum(lengths, 1)) * 100.0)
+        settle()
     return pd.Series(best)
 
 

@@ -102,9 +102,20 @@ class KeyStore:
     def compact(self, at: datetime | None = None) -> None:
         self._publish(self.state(), f"compact-{uuid.uuid4().hex}", at, is_base=True)
 
+    def _claimed(self, after: int) -> int:
+        """The next free run number. A file that only one writer can create claims it, so two writers never share one;
+        the number of a writer that died stays unused."""
+        context = self.spark.sparkContext
+        number = after + 1
+        while True:
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/{number:010d}")
+            if path.getFileSystem(context._jsc.hadoopConfiguration()).createNewFile(path):
+                return number
+            number += 1
+
     def _publish(self, tables: KeyState, run_id: str, at: datetime | None, is_base: bool) -> None:
         log = self._log()
-        run_no = (log[-1].run_no if log else 0) + 1
+        run_no = self._claimed(log[-1].run_no if log else 0)
         folder = f"{self.path}/data/{run_no:010d}-{uuid.uuid4().hex}"
         for name in ("hash_key", "key_identifier", "key_hash"):
             table = getattr(tables, name)

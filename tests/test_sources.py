@@ -1,3 +1,4 @@
+import gzip
 from datetime import datetime
 
 import pytest
@@ -159,3 +160,42 @@ def test_required_report(spark):
     df = spark.createDataFrame([("CRM", " "), ("CRM", "x")], "SOURCE_TYPE string, COMPANY_NAME string")
     rows = {r.required_column: (r.present, r.filled, r.blank) for r in mapping.required_report(df, CATALOG).collect()}
     assert rows["COMPANY_NAME"] == (True, 1, 1) and rows["ZIP_CODE"] == (False, 0, 2) and len(rows) == 6
+
+
+def test_files_are_read_by_header_and_in_order(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "b.csv").write_bytes(b"id,name\n1,one\n2,two\n")
+    (folder / "c.CSV").write_bytes(b"name,id,more\n" + b"".join(b"n%d,%d,x\n" % (i, i) for i in range(3, 3000)))
+    (folder / "a.csv.gz").write_bytes(gzip.compress(b"id,name\n0,zero\n"))
+    (folder / "notes.txt").write_bytes(b"id,name\n9,nine\n")
+    df = files.read_csv(spark, str(folder), multi_line=False)
+    rows = df.orderBy(files.ORDER).collect()
+    assert [r["id"] for r in rows] == [str(i) for i in range(3000)]
+    assert rows[0]["name"] == "zero" and rows[5]["name"] == "n5" and rows[1]["more"] is None
+    named = files.read_csv(spark, [str(folder / "notes.txt"), str(folder / "b.csv")], order=None)
+    assert sorted(r["id"] for r in named.collect()) == ["1", "2", "9"]
+
+
+def test_bad_records_reach_the_run(spark, tmp_path):
+    df = files.read_csv(spark, write(tmp_path / "in", "a.csv", b"COMPANY_NAME,ZIP_CODE\nA,1\nB,2,3,4\nC\n"), keep_corrupt=True)
+    run = run_match(df)
+    assert run.errors == 2 and run.result.count() == 3
+
+
+def test_replay_reads_the_first_result_and_writers_do_not_clash(spark, tmp_path):
+    df = spark.createDataFrame([(1, "A", "b"), (2, "C", "d")], "RID long, COMPANY_NAME string, ADDRESS_LINE_1 string")
+    store = KeyStore(spark, str(tmp_path / "store"))
+    first = run_with_store(df, store, str(tmp_path / "out"), "one", order="RID")
+    again = run_with_store(df, store, str(tmp_path / "out"), "one", order="RID")
+    assert {r["is_new"] for r in again.collect()} == {True} and store.total_runs() == 1 and first.count() == 2
+    assert store._claimed(1) == 2 and store._claimed(1) == 3
+    with pytest.raises(ValueError):
+        run_match(df.withColumn("RID", F.lit(1)), order="RID")
+
+
+def test_stream_refuses_exchanged_columns(spark, tmp_path):
+    folder = write(tmp_path / "in", "a.csv", b"name,id\nx,1\n")
+    stream = incremental.read_folder(spark, folder, ["id", "name"])
+    with pytest.raises(Exception):
+        stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
