@@ -101,12 +101,53 @@ def op1_substring_dedup(spark, folder):
     return deduped.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+ORACLES["op1_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM w WHERE len(words) >= 20
+), k AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY sha256(array_to_string(words[i:i + 19], ' ')) ORDER BY doc_id, i) AS place FROM s
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(0, 20)) AS j FROM k WHERE place > 1)
+), word AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op5_ngram_jaccard_join(spark, folder):
     joined = jaccard_join(table(spark, folder, "documents").select("doc_id", "text"))
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+ORACLES["op5_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, greatest(len(words) - 3, 2))) AS i, words FROM w WHERE len(words) > 0
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram FROM s
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), reach(id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT id AS doc_id, min(root) AS component_id FROM reach GROUP BY id) d LEFT JOIN n USING (doc_id)
+"""
+
+
 @query
 def op10_packing(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -143,7 +184,7 @@ def op3_embedding_near_dedup(spark, folder):
 
 ORACLES["op3_embedding_near_dedup"] = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
 ), n AS (
   SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
