@@ -111,20 +111,19 @@ def with_next(df: DataFrame, id_col: str, value_col: str, derived: dict[str, Col
     payload = [value_col, *derived]
     keyed = df.withColumn("_k", F.coalesce(exact(id_col), F.lit(LOWEST))).withColumn("_s", F.shiftright("_k", SLICE_BITS))
     window = Window.partitionBy("_s").orderBy(F.desc("_k"), F.desc(value_col))
-    following = keyed.withColumns(derived).withColumn("_next", F.lead(F.struct(*payload)).over(window))
+    # One lead for each column: a struct of them would be made before the shuffle and carry every text twice.
+    following = keyed.withColumns(derived).withColumns(
+        {f"{prefix}{c}": F.lead(c).over(window) for c in payload} | {"_more": F.lead(F.lit(True)).over(window)}
+    )
     heads = keyed.withColumn("_n", F.row_number().over(window)).filter("_n = 1").withColumns(derived)
     heads = heads.select("_s", F.struct(*payload).alias("_head"))
     slices = keyed.select(F.col("_s").alias("k")).distinct()
     first = slices.agg(F.max("k")).first()[0]
     links = _next_lower(slices, 2).select(F.col("k").alias("_s"), F.coalesce("after", F.lit(first)).alias("_s2"))
     next_heads = links.join(heads.withColumnRenamed("_s", "_s2"), "_s2").select("_s", "_head")
-    names = [(c, f"{prefix}{c}") for c in payload]
-    return (
-        following.join(next_heads, "_s", "left")
-        .withColumn("_next", F.coalesce("_next", "_head"))
-        .select("*", *(F.col(f"_next.{c}").alias(to) for c, to in names))
-        .drop("_k", "_s", "_next", "_head")
-    )
+    joined = following.join(next_heads, "_s", "left")
+    joined = joined.withColumns({f"{prefix}{c}": F.when(F.col("_more"), F.col(f"{prefix}{c}")).otherwise(F.col(f"_head.{c}")) for c in payload})
+    return joined.drop("_k", "_s", "_more", "_head")
 
 
 def edited_by_next(text: Column, next_text: Column) -> Column:
