@@ -25,6 +25,8 @@ FOLDED = np.arange(256, dtype=np.uint64)
 FOLDED[65:91] = FOLDED[97:123]
 LONGEST = 24
 BEGINNINGS = (4, 6)
+#: Words that fewer training texts have, or whose log-odds ratio is nearer to 0, tell nothing and get no weight.
+SEEN, TELLING = 3, 0.5
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +117,7 @@ class Linear:
         hits = np.bincount(rows.place, weights=y[rows.owner], minlength=self.size)
         seen = np.bincount(rows.place, minlength=self.size)
         odds = np.log((hits + smooth) / (positive + 2 * smooth)) - np.log((seen - hits + smooth) / (negative + 2 * smooth))
-        self.ratio = np.where(seen >= 3, odds, 0.0)
+        self.ratio = np.where((seen >= SEEN) & (np.abs(odds) >= TELLING), odds, 0.0)
         self.weights = np.zeros(self.size)
         used = np.flatnonzero(self.ratio)
         number = np.zeros(self.size, np.int64)
