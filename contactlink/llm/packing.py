@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactlink.llm.pieces import PieceMemory
+from contactlink.llm.token_counts import byte_symbols
 from contactlink.llm.tables import exact, field_type, shuffle_partitions
 from contactlink.operators.storage import materialize
 
 SEQUENCE, GRAIN, END_ID = 1024, 16, 0
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 EPS = 1e-9
 Pattern = dict[int, int]
 
@@ -38,9 +39,14 @@ Pattern = dict[int, int]
 def _encoder(path: str) -> PieceMemory:
     """Token ids of texts as little-endian 32-bit values, by the ``tokenizers`` library for each new pre-token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
+    # The same model without the split pattern: pre-tokens are split already, and their bytes written as its symbols.
+    model = Tokenizer.from_file(path)
+    model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    symbols = {byte: char for char, byte in byte_symbols().items()}
+    mark = symbols[ord("\n")]
     encode = lambda texts: [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     feed = encode(["\n"])[0]
     if len(feed) != 1:
@@ -52,7 +58,8 @@ def _encoder(path: str) -> PieceMemory:
         plain = [i for i, w in enumerate(words) if not w[-1].isspace()]
         for at in range(0, len(plain), 500):
             group = plain[at : at + 500]
-            ids = encode(["\n".join(words[i] for i in group)])[0]
+            text = "\n".join(words[i] for i in group).encode().decode("latin-1").translate(symbols).replace(mark, f" {mark} ")
+            ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             for i, part in zip(group, np.split(ids, np.flatnonzero(ids == feed[0]))):
                 out[i] = part[1 if i != group[0] else 0 :].tobytes()
         spaces = [i for i, w in enumerate(words) if w[-1].isspace()]

@@ -23,7 +23,7 @@ from contactlink.llm.pieces import PieceMemory
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 NO_RANK = np.iinfo(np.int32).max
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 BATCH_SYMBOLS = 1 << 22
 
 
