@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from contactlink.llm.tables import exact, shuffle_partitions
 
-#: Chunks (and buckets) for each shuffle partition. Rows grow with its square, so few; several even out the partitions.
-CHUNKS_PER_PARTITION = 2
+#: Chunks and buckets for each shuffle partition. A chunk's texts and arrays are in memory at once, so chunks are many;
+#: there are at most as many rows as chunks times buckets, so buckets, whose arrays are small, are few.
+CHUNKS_PER_PARTITION, BUCKETS_PER_PARTITION = 4, 1
 
 
-def n_chunks(df: DataFrame) -> int:
-    return CHUNKS_PER_PARTITION * shuffle_partitions(df.sparkSession)
+def chunks_and_buckets(df: DataFrame) -> tuple[int, int]:
+    n = shuffle_partitions(df.sparkSession)
+    return CHUNKS_PER_PARTITION * n, BUCKETS_PER_PARTITION * n
 
 
 def chunk_of(id_col: str, text_col: str, chunks: int) -> Column:

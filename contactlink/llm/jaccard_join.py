@@ -6,8 +6,8 @@ Length, positional and suffix filters reject pairs before their sets meet, and e
 
 Equal sets are folded first. Of the others a group may still hold thousands of near copies, so pairs are never all
 emitted: in each round every member of a prefix group meets a few pivots of the group, links merge components, and
-pairs inside one component are not looked at again. A round takes eight times as many pivots as all before it, and
-rounds end when no group spans two components. What is left out is only what the components say already.
+pairs inside one component are not looked at again. The first round takes the one pivot a member meets most often, the
+next the eight first pivots of each group, and each after that eight times as many as all before it; rounds end when no group spans two components. What is left out is only what the components say already.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ from pyspark.sql import types as T
 
 from contactlink.llm import exchange
 from contactlink.llm.hashing import Words, mixed, window_hashes
-from contactlink.llm.substring_dedup import _table
-from contactlink.llm.tables import bytes_of, exact
+from contactlink.llm.tables import arrow_table, bytes_of, exact
 from contactlink.operators.clusters import components
 from contactlink.operators.storage import materialize
 
@@ -74,7 +73,7 @@ def _asked_rows(chunk: int, docs: pa.Table, ngram: int, buckets: int) -> pa.Tabl
     sets = Sets(docs, ngram)
     entries = exchange.sent(sets.distinct, np.minimum(np.bincount(sets.number, minlength=len(sets.distinct)), 3))
     bounds = exchange.bucket_bounds(sets.distinct, buckets)
-    return _table([(b, chunk, entries[x:y].tobytes()) for b, x, y in exchange.slices(bounds)], _ASKED)
+    return arrow_table([(b, chunk, entries[x:y].tobytes()) for b, x, y in exchange.slices(bounds)], _ASKED)
 
 
 def _frequency_rows(bucket: int, rows: pa.Table) -> pa.Table:
@@ -85,7 +84,7 @@ def _frequency_rows(bucket: int, rows: pa.Table) -> pa.Table:
     answer = np.empty(len(entries), np.uint8)
     answer[order] = np.minimum(total, 255)[group]
     parts = np.split(answer, np.cumsum(counts)[:-1])
-    return _table([(c, bucket, a.tobytes()) for c, a in zip(rows["chunk"].to_pylist(), parts) if (a > 1).any()], _FREQUENCIES)
+    return arrow_table([(c, bucket, a.tobytes()) for c, a in zip(rows["chunk"].to_pylist(), parts) if (a > 1).any()], _FREQUENCIES)
 
 
 def _set_rows(docs: pa.Table, answers: pa.Table, ngram: int, threshold: int, buckets: int) -> pa.Table:
@@ -128,15 +127,15 @@ def _set_rows(docs: pa.Table, answers: pa.Table, ngram: int, threshold: int, buc
         else:
             entries = [{"gram": g, "pos": p} for g, p in zip(prefix_gram[a:b].tolist(), prefix_place[a:b].tolist())]
             rows.append((doc, size, digest, copy_of, entries, bins[i].tolist(), sets.grams[sets.begins[i] : sets.begins[i + 1]].tobytes()))
-    return _table(rows, _SETS)
+    return arrow_table(rows, _SETS)
 
 
 def ngram_sets(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: int) -> DataFrame:
     """A row per document: size and digest of its set, the first document of the chunk with the same set, and for those
     first ones that share a prefix n-gram with others: prefix, counts by hash range, and the sorted members."""
-    buckets = exchange.n_chunks(df)
+    chunks, buckets = exchange.chunks_and_buckets(df)
     docs = df.select(
-        exchange.chunk_of(id_col, text_col, buckets).alias("chunk"), exact(id_col).cast("long").alias("id"), exact(text_col).cast("string").alias("text")
+        exchange.chunk_of(id_col, text_col, chunks).alias("chunk"), exact(id_col).cast("long").alias("id"), exact(text_col).cast("string").alias("text")
     )
 
     def ask(key, rows):
@@ -167,14 +166,11 @@ def needed(n_a, n_b, threshold: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs ``a, b`` that are similar: suffix filter on counts by hash range, then the members themselves."""
-    bins = sets.select("id", "n_shingles", "bins")
-    side = lambda t, s: t.select(*(F.col(c).alias(c if c == s else f"{s}_{c}") if c != "id" else F.col(c).alias(s) for c in t.columns))
-    near = pairs.join(side(bins, "a"), "a").join(side(bins, "b"), "b")
+    side = lambda s: sets.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("n_shingles", "bins", "grams")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     possible = F.aggregate(F.zip_with("a_bins", "b_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = near.filter(possible >= needed(F.col("a_n_shingles"), F.col("b_n_shingles"), threshold))
-    near = near.select("a", "b", (F.col("a_n_shingles") + F.col("b_n_shingles")).alias("total"))
-    members = sets.select("id", "grams")
-    both = near.join(side(members, "a"), "a").join(side(members, "b"), "b")
+    both = both.filter(possible >= needed(F.col("a_n_shingles"), F.col("b_n_shingles"), threshold))
+    both = both.withColumn("total", F.col("a_n_shingles") + F.col("b_n_shingles"))
     common = both.select("a", "b", "total", common_members("a_grams", "b_grams").alias("common"))
     return common.filter(100 * F.col("common") >= threshold * (F.col("total") - F.col("common"))).select("a", "b")
 
@@ -197,10 +193,10 @@ def linked(sets: DataFrame, threshold: int) -> DataFrame:
     ranked = groups.withColumn("rank", F.row_number().over(by_gram)).withColumn("other", F.coalesce(F.lead("id").over(by_gram), F.lag("id").over(by_gram)))
     active = materialize(ranked.filter("other IS NOT NULL").drop("other").withColumn("root", F.col("id")), "jaccard-groups")
     roots: DataFrame | None = None
-    low, high = 1, 2
+    low, high = 1, 1
     first = True
     while True:
-        pivots = active.filter(F.col("rank").between(low, high - 1))
+        pivots = active.filter(F.col("rank").between(low, max(low, high - 1)))
         met = _met(active, pivots, threshold)
         if first:
             # One pivot each, the one met most often: most near copies are merged before any other pair is formed.
@@ -213,8 +209,7 @@ def linked(sets: DataFrame, threshold: int) -> DataFrame:
         if roots is not None:
             edges = edges.unionByName(roots.filter("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
         roots = materialize(components(edges).select(F.col("node").alias("id"), "root"), "jaccard-roots")
-        if not first:
-            low, high = high, high + (high - 1) * GROWTH
+        low, high = (low if first else high), high * (GROWTH + 1)
         first = False
         renewed = active.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         later = renewed.filter(F.col("rank") >= low).groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from contactlink.llm import exchange
 from contactlink.llm.hashing import Words, window_hashes
-from contactlink.llm.tables import arrow_schema, bytes_of, exact, field_type, packed_rest, unpacked_rest
+from contactlink.llm.tables import arrow_schema, arrow_table, bytes_of, exact, field_type, packed_rest, unpacked_rest
 
 WINDOW = 20
 OWN = ["n_words", "n_removed", "removed", "kept_text"]
@@ -85,7 +85,7 @@ def _probe_rows(chunk: int, part: Chunk, buckets: int) -> pa.Table:
     distinct, _, _, notes = part.probes()
     entries = exchange.sent(distinct, notes)
     rows = [(b, chunk, entries[x:y].tobytes()) for b, x, y in exchange.slices(exchange.bucket_bounds(distinct, buckets))]
-    return _table(rows, _PROBES)
+    return arrow_table(rows, _PROBES)
 
 
 def _hit_rows(bucket: int, rows: pa.Table) -> pa.Table:
@@ -98,7 +98,7 @@ def _hit_rows(bucket: int, rows: pa.Table) -> pa.Table:
     hit = np.empty(len(entries), bool)
     hit[order] = ((places > 1) & (block == 1))[group]
     masks = np.split(hit, np.cumsum(counts)[:-1])
-    return _table([(c, bucket, 1, np.packbits(m).tobytes()) for c, m in zip(rows["chunk"].to_pylist(), masks) if m.any()], _HITS)
+    return arrow_table([(c, bucket, 1, np.packbits(m).tobytes()) for c, m in zip(rows["chunk"].to_pylist(), masks) if m.any()], _HITS)
 
 
 def _repeat_rows(chunk: int, part: Chunk, answers: pa.Table, buckets: int) -> pa.Table:
@@ -112,7 +112,7 @@ def _repeat_rows(chunk: int, part: Chunk, answers: pa.Table, buckets: int) -> pa
         wide = int(ids[x:y].max()) - base >= 1 << 32
         packed = ids[x:y] if wide else (ids[x:y] - base).astype(np.uint32)
         rows.append((b, chunk, first[x:y].tobytes(), second[x:y].tobytes(), base, wide, packed.tobytes()))
-    return _table(rows, _REPEATS)
+    return arrow_table(rows, _REPEATS)
 
 
 def _earlier_rows(bucket: int, rows: pa.Table) -> pa.Table:
@@ -127,7 +127,7 @@ def _earlier_rows(bucket: int, rows: pa.Table) -> pa.Table:
     lowest = np.full(len(places), NO_ID)
     np.minimum.at(lowest, number, docs)
     masks = np.split(docs > lowest[number], np.cumsum(counts)[:-1])
-    return _table([(c, bucket, 2, np.packbits(m).tobytes()) for c, m in zip(rows["chunk"].to_pylist(), masks) if m.any()], _HITS)
+    return arrow_table([(c, bucket, 2, np.packbits(m).tobytes()) for c, m in zip(rows["chunk"].to_pylist(), masks) if m.any()], _HITS)
 
 
 def _kept_rows(part: Chunk, answers: pa.Table, buckets: int, schema: pa.Schema, verbatim: bool) -> pa.Table:
@@ -173,11 +173,6 @@ def _kept_rows(part: Chunk, answers: pa.Table, buckets: int, schema: pa.Schema,
     )
 
 
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    columns = list(zip(*rows)) or [()] * len(schema)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
 _PROBES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("entries", pa.binary())])
 _HITS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("question", pa.int32()), ("answer", pa.binary())])
 _REPEATS = pa.schema([
@@ -197,10 +192,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     if window < 4 or window % 2:
         raise ValueError("window must be even and at least 4")
-    buckets = exchange.n_chunks(df)
+    chunks, buckets = exchange.chunks_and_buckets(df)
     rest, names = packed_rest(df, [id_col, text_col, *OWN])
     docs = df.select(
-        exchange.chunk_of(id_col, text_col, buckets).alias("chunk"), exact(id_col).cast("long").alias("id"), exact(text_col).cast("string").alias("text"), rest
+        exchange.chunk_of(id_col, text_col, chunks).alias("chunk"), exact(id_col).cast("long").alias("id"), exact(text_col).cast("string").alias("text"), rest
     )
     fields = {"n_words": "bigint", "n_removed": "bigint", "removed": "array<struct<start:bigint,length:bigint>>", "kept_text": "string"}
     out = docs.select("id", "_rest", *(F.lit(None).cast(t).alias(c) for c, t in fields.items())).schema
@@ -213,7 +208,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return _hit_rows(key[0].as_py(), rows)
 
     def repeats(key, rows, answers):
-        return _repeat_rows(key[0].as_py(), Chunk(rows, window), answers, buckets) if rows.num_rows else _table([], _REPEATS)
+        return _repeat_rows(key[0].as_py(), Chunk(rows, window), answers, buckets) if rows.num_rows else arrow_table([], _REPEATS)
 
     def earlier(key, rows):
         return _earlier_rows(key[0].as_py(), rows)

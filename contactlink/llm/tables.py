@@ -41,6 +41,11 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def arrow_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def field_type(df: DataFrame, name: str) -> T.DataType:
     return next(f.dataType for f in df.schema.fields if f.name == name)
 
