@@ -19,7 +19,7 @@ from contactlink.llm.tables import exact, shuffle_partitions
 
 #: Chunks and buckets for each shuffle partition. A chunk's texts and arrays are in memory at once, so chunks are many;
 #: there are at most as many rows as chunks times buckets, so buckets, whose arrays are small, are few.
-CHUNKS_PER_PARTITION, BUCKETS_PER_PARTITION = 4, 1
+CHUNKS_PER_PARTITION, BUCKETS_PER_PARTITION = 2, 1
 
 
 def chunks_and_buckets(df: DataFrame) -> tuple[int, int]:
