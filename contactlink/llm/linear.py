@@ -25,8 +25,8 @@ FOLDED = np.arange(256, dtype=np.uint64)
 FOLDED[65:91] = FOLDED[97:123]
 LONGEST = 24
 BEGINNINGS = (4, 6)
-#: Words that fewer training texts have, or whose log-odds ratio is nearer to 0, tell nothing and get no weight.
-SEEN, TELLING = 3, 0.5
+#: Words that fewer training texts have get no weight.
+SEEN = 3
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +96,21 @@ class Rows:
         return Rows(self.place, self.begins, np.column_stack([self.dense, *columns]))
 
 
+class Sums:
+    """For each group, the sum of a vector's values at the places of its members. Members are given in order of groups."""
+
+    def __init__(self, group: np.ndarray, place: np.ndarray, size: int):
+        self.place, self.size = place, size
+        self.filled = np.flatnonzero(np.bincount(group, minlength=size))
+        self.starts = np.searchsorted(group, self.filled.astype(group.dtype))
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size)
+        if len(self.filled):
+            out[self.filled] = np.add.reduceat(values[self.place], self.starts)
+        return out
+
+
 class Linear:
     """Logistic regression over words, each scaled by its log-odds ratio, and dense columns. A text's words are summed,
     or with ``mean`` averaged.
@@ -117,32 +132,36 @@ class Linear:
         hits = np.bincount(rows.place, weights=y[rows.owner], minlength=self.size)
         seen = np.bincount(rows.place, minlength=self.size)
         odds = np.log((hits + smooth) / (positive + 2 * smooth)) - np.log((seen - hits + smooth) / (negative + 2 * smooth))
-        self.ratio = np.where((seen >= SEEN) & (np.abs(odds) >= TELLING), odds, 0.0)
+        self.ratio = np.where(seen >= SEEN, odds, 0.0)
         self.weights = np.zeros(self.size)
         used = np.flatnonzero(self.ratio)
         number = np.zeros(self.size, np.int64)
         number[used] = np.arange(len(used))
         known = self.ratio[rows.place] != 0
-        place, owner = number[rows.place[known]], rows.owner[known]
-        value = self.ratio[used][place] * self._share(rows)[owner]
+        place, owner = number[rows.place[known]].astype(np.int32), rows.owner[known].astype(np.int32)
+        ratio, share = self.ratio[used], self._share(rows)
         self.centre, self.spread = rows.dense.mean(0), rows.dense.std(0) + 1e-9
         dense = np.column_stack([np.ones(len(y)), (rows.dense - self.centre) / self.spread])
         w, b = np.zeros(len(used)), np.zeros(dense.shape[1])
         w_old, b_old = w, b
         if self.mean:  # as large as the dense columns
             self.gain = 10.0
-            value = value * self.gain
         else:
             self.gain = 1.0
-        norm = np.bincount(owner, weights=value**2, minlength=len(y)).mean() + (dense**2).sum(1).mean()
+        share = share * self.gain
+        # A word's value in a text is ratio x share, so both sums of a step are plain sums of one gathered vector.
+        by_text = Sums(owner, place, len(y))
+        order = np.argsort(place, kind="stable")
+        by_word = Sums(place[order], owner[order], len(used))
+        norm = (by_text(ratio**2) * share**2).mean() + (dense**2).sum(1).mean()
         rate = 4.0 / max(norm, 1e-9)
         for t in range(self.steps):
             pace = t / (t + 3)
             wv, bv = w + pace * (w - w_old), b + pace * (b - b_old)
-            score = np.bincount(owner, weights=value * wv[place], minlength=len(y)) + dense @ bv
+            score = by_text(ratio * wv) * share + dense @ bv
             error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y) / len(y)
             w_old, b_old = w, b
-            w = wv - rate * (np.bincount(place, weights=value * error[owner], minlength=len(used)) + self.penalty * wv)
+            w = wv - rate * (by_word(share * error) * ratio + self.penalty * wv)
             b = bv - rate * (dense.T @ error)
         self.weights[used] = w * self.ratio[used] * self.gain
         self.dense_weights = b

@@ -49,6 +49,29 @@ def test_toxicity_chain_on_held_out_documents(spark):
     assert odd == {400: False, 401: False, 402: True}
 
 
+def test_words_that_tell_a_little_have_weight():
+    # Twelve words each in 60 % of the texts of one class and in 40 % of the other: log-odds 0.4, together they decide.
+    rng = np.random.default_rng(5)
+    y = np.arange(1200) % 2
+    has = rng.random((1200, 24)) < np.where((np.arange(24) < 12) == (y[:, None] == 1), 0.6, 0.4)
+    rows = linear.Rows(np.nonzero(has)[1], np.concatenate([[0], np.cumsum(has.sum(1))]), np.zeros((1200, 1)))
+    model = linear.Linear(bits=5).fit(rows.take(np.arange(1200) < 800), y[:800])
+    told = np.abs(model.ratio[:24])
+    assert told.max() < 0.65 and (model.weights[:24] != 0).all() and (model.weights[24:] == 0).all()
+    assert ((model.predict(rows) >= 0.5) == y)[800:].mean() > 0.8
+    # The same steps on a plain matrix.
+    x = has[:800] * model.ratio[:24]
+    w, b = np.zeros(24), 0.0
+    w_old, b_old = w, b
+    rate = 4.0 / ((x**2).sum(1).mean() + 1)
+    for t in range(150):
+        wv, bv = w + t / (t + 3) * (w - w_old), b + t / (t + 3) * (b - b_old)
+        error = (1 / (1 + np.exp(-(x @ wv + bv))) - y[:800]) / 800
+        w_old, b_old = w, b
+        w, b = wv - rate * (x.T @ error + 1e-4 * wv), bv - rate * error.sum()
+    assert np.allclose(w * model.ratio[:24], model.weights[:24], atol=1e-9)
+
+
 def test_toxicity_without_rows_or_labels(spark):
     docs, labels = labelled(spark, 20)
     assert toxicity(docs.limit(0), labels).count() == 0
