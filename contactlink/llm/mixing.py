@@ -9,6 +9,7 @@ rate follows from its posterior and the totals' residuals of all steps.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from contactlink.operators.storage import materialize
 #: Most labelled rows that train the domain classifier, chosen by a hash of their id.
 TRAINING_ROWS = 6_000
 STEPS, CLOSE = 80, 1e-4
+#: How far over 1 the rates of ``fit_once`` aim: the more, the nearer its budget is to the largest.
+REACH = 8.0
 SLICE_BYTES = 4 << 20
 
 #: Domains of the ``labels`` table and the weights asked for.
@@ -77,6 +80,7 @@ class Fit:
 
     def __init__(self, start: float, rate: float, residuals: list[np.ndarray]):
         self.start, self.rate, self.residuals = start, rate, residuals
+        self.most = np.inf
 
     def points(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates after all steps, and the point at which the next gradient is taken (Nesterov)."""
@@ -85,7 +89,7 @@ class Fit:
         for t, residual in enumerate(self.residuals):
             before, now = now, np.maximum(0.0, ahead - self.rate * (posterior @ residual))
             ahead = now + (t + 1) / (t + 4) * (now - before)
-        return now, ahead
+        return np.minimum(now, self.most), ahead
 
 
 def _totals(table: DataFrame, fit: Fit, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,20 +137,107 @@ def fit_rates(table: DataFrame, weights: np.ndarray, budget: float | None = None
     return fit, reached, targets
 
 
+class Once:
+    """Rates of documents kept once at most: they fall with the posterior's product with ``slope``."""
+
+    def __init__(self, slope: np.ndarray, reach: float = REACH):
+        self.slope, self.reach = slope, reach
+
+    def aims(self, posterior: np.ndarray) -> np.ndarray:
+        return self.reach - posterior @ self.slope
+
+    def points(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        now = np.clip(self.aims(posterior), 0.0, 1.0)
+        return now, now
+
+
+def _moments(table: DataFrame, trials: list[Once], k: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each trial: the dual value (without its constant), tokens of each domain, and second moments of the posteriors
+    of documents with a rate between 0 and 1. One aggregation."""
+    width = 1 + k + k * k
+    schema = ", ".join(f"m{i} double" for i in range(width * len(trials)))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            posterior = np.asarray(batch.column(1).flatten()).reshape(-1, k)
+            tokens = batch.column(0).to_numpy().astype(float)
+            found: list[float] = []
+            for trial in trials:
+                aim, rate = trial.aims(posterior), trial.points(posterior)[0]
+                inner = posterior[(aim > 0) & (aim < 1)]
+                weight = tokens[(aim > 0) & (aim < 1)]
+                found += [tokens @ (rate * aim - rate**2 / 2), *((tokens * rate) @ posterior), *((inner * weight[:, None]).T @ inner).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in found], names=[f"m{i}" for i in range(len(found))])
+
+    row = table.select("n_tokens", "posterior").mapInArrow(sums, schema).agg(*(F.sum(f"m{i}").alias(f"m{i}") for i in range(width * len(trials)))).first()
+    flat = np.array([x or 0.0 for x in row]).reshape(len(trials), width)
+    return [(f[0], f[1 : k + 1], f[k + 1 :].reshape(k, k)) for f in flat]
+
+
+def fit_once(table: DataFrame, weights: np.ndarray, steps: int = STEPS) -> tuple[Fit | Once, np.ndarray, np.ndarray]:
+    """Rates between 0 and 1 for ``n_tokens, posterior`` whose totals have the shares of ``weights``; also the totals
+    reached and the targets, which are the shares of what is reached.
+
+    Of all such rates these are the nearest, in the metric of tokens, to ``REACH`` for every document: as much is kept as
+    the shares allow, and no share is bought by thinning out more than it takes. They are found by Newton's method on the
+    dual, which has one unknown less than there are domains; a step tries several lengths in one aggregation. Shares that
+    no rates reach (a domain without tokens) leave the rates of ``fit_rates``, capped at 1, and a warning.
+    """
+    k = len(weights)
+    wanted = weights / weights.sum()
+    basis = np.linalg.svd(wanted[None, :])[2][1:].T  # orthogonal to the weights: what they leave free
+    slope = np.zeros(k)
+    value, reached, second = _moments(table, [Once(slope)], k)[0]
+    total = reached.sum()
+    if not total:
+        return Once(slope), reached, reached
+    for _ in range(steps):
+        if reached.sum() > 0 and np.abs(reached / reached.sum() - wanted).max() <= CLOSE:
+            return Once(slope), reached, wanted * reached.sum()
+        gradient = basis.T @ reached / total  # of the dual's descent: the value falls along it
+        curve = basis.T @ second @ basis / total
+        best = None
+        for damping in (1e-9, 1e-3):
+            newton = np.linalg.solve(curve + damping * np.eye(k - 1), gradient) if k > 1 else gradient
+            way = basis @ newton
+            way = way * min(1.0, REACH * 4 / max(np.abs(way).max(), 1e-12))
+            trials = [slope + way * 0.5**i for i in range(12)]
+            found = _moments(table, [Once(t) for t in trials], k)
+            at = int(np.argmin([f[0] for f in found]))
+            if found[at][0] < value:
+                best = at
+                break
+        if best is None:
+            break
+        slope, (value, reached, second) = trials[best], found[best]
+    if reached.sum() > 0 and np.abs(reached / reached.sum() - wanted).max() <= CLOSE:
+        return Once(slope), reached, wanted * reached.sum()
+    fit, _, _ = fit_rates(table, weights)
+    fit.most = 1.0
+    reached, _ = _totals(table, fit, k)
+    warnings.warn(f"target weights {wanted.tolist()} cannot be met by keeping documents once; reached tokens {reached.tolist()}", stacklevel=2)
+    return fit, reached, wanted * reached.sum()
+
+
 def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: Column | None = None, id_col: str = "doc_id",
-        text_col: str = "text", keep: list[str] | None = None, rows: int = TRAINING_ROWS, budget: float | None = None) -> DataFrame:
+        text_col: str = "text", keep: list[str] | None = None, rows: int = TRAINING_ROWS, budget: float | None = None,
+        once: bool = False) -> DataFrame:
     """Every row of ``df`` with ``n_tokens``, ``posterior`` (in the order of ``weights``), ``rate`` and ``copies``.
 
     ``copies`` rounds the rate by a hash of the id, so that its expectation is the rate; 0 means the document is left
     out. ``keep`` names the columns to carry, all by default. A null or empty text has no tokens, and the rate of its
-    posterior. Rows that repeat an id get the same rate. Columns with the new names are replaced.
+    posterior. Rows that repeat an id get the same rate. Columns with the new names are replaced. With ``once`` rates are 1
+    at most and the budget is the largest that the weights allow.
     """
+    if once and budget is not None:
+        raise ValueError("a mix of documents kept once finds its budget itself")
     weights, domain = weights or WEIGHTS, label_domain() if domain is None else domain
     domains = list(weights)
     keep = [c for c in keep or df.columns if c.lower() not in OWN]
     models = train(df, labels, domain, domains, id_col, text_col, rows)
     table = materialize(posteriors(df, models, domains, text_col, keep).withColumnsRenamed({c: f"c{i}" for i, c in enumerate(keep)}), "mixing")
-    fit, _, _ = fit_rates(table, np.array([weights[d] for d in domains]), budget)
+    asked = np.array([weights[d] for d in domains])
+    fit, _, _ = fit_once(table, asked) if once else fit_rates(table, asked, budget)
     at = len(keep) + 1
     schema = T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType())])
 

@@ -110,6 +110,43 @@ def test_rates_meet_targets(spark):
     assert np.allclose(now, rates, atol=1e-6)
 
 
+def test_rates_of_documents_kept_once(spark):
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(1, 1000, 2000)
+    hard = np.eye(2)[np.arange(2000) % 2]
+    soft = np.column_stack([x := rng.random(2000), 1 - x])
+    for posterior in (hard, soft):
+        table = spark.createDataFrame([(int(t), p.tolist()) for t, p in zip(tokens, posterior)], "n_tokens long, posterior array<double>")
+        fit, reached, targets = mixing.fit_once(table, np.array([0.9, 0.1]))
+        rates = fit.points(posterior)[0]
+        assert rates.min() >= 0 and rates.max() <= 1 and np.allclose((rates * tokens) @ posterior, reached)
+        assert np.abs(reached / reached.sum() - [0.9, 0.1]).max() < 2e-4
+        # The most that can stay: documents by falling posterior of the scarce domain, until its share is down to 0.9.
+        order = np.argsort(-posterior[:, 0], kind="stable")
+        kept = np.cumsum(tokens[order])
+        share = np.cumsum((tokens * posterior[:, 0])[order]) / kept
+        assert reached.sum() > 0.985 * kept[share >= 0.9].max()
+    three = rng.dirichlet([0.3, 0.3, 0.3], 2000)
+    table = spark.createDataFrame([(int(t), p.tolist()) for t, p in zip(tokens, three)], "n_tokens long, posterior array<double>")
+    fit, reached, _ = mixing.fit_once(table, np.array([0.6, 0.3, 0.1]))
+    assert np.abs(reached / reached.sum() - [0.6, 0.3, 0.1]).max() < 2e-4
+    alike = spark.createDataFrame([(5, [0.5, 0.5])] * 4, "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="cannot be met"):
+        fit, reached, _ = mixing.fit_once(alike, np.array([0.9, 0.1]))
+    assert reached.sum() == pytest.approx(20)
+
+
+def test_documents_kept_once_have_the_weights_on_even_domains(spark):
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choice(WORDS[150 * (i % 2) :][:150]) for _ in range(rng.randint(20, 80)))) for i in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in docs[:800]], "doc_id long, quality int, toxic int")
+    kept = mix(df, labels, weights={"good": 0.9, "poor": 0.1}, once=True).filter("copies > 0").collect()
+    words = {d: sum(len(r["text"].split()) for r in kept if r["doc_id"] % 2 == d) for d in (0, 1)}
+    assert abs(words[1] / sum(words.values()) - 0.9) < 0.02
+    assert words[1] > 0.95 * sum(len(t.split()) for i, t in docs if i % 2)
+
+
 def test_mixing_keeps_rows_and_columns(spark):
     docs, labels = labelled(spark)
     mixed = mix(docs, labels, weights={"good": 0.5, "poor": 0.4, "toxic": 0.1})
