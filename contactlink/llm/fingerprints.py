@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from contactlink.llm.tables import exact
 
 SHINGLE_WORDS = 5
-FRACTION = 1 / 8
+FRACTION = 1 / 2
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 SLICE_BITS = 10
 LOWEST = -(1 << 63)
@@ -68,9 +68,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of ``a`` that is in ``b``, however much longer ``b`` is; 1 for an empty ``a``."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of ``a`` that is in ``b``, however much longer ``b`` is; 1 for an empty ``a`` and for equal sketches.
+    Null where ``a`` has only the hash it keeps for want of a small one: a longer text's sketch cannot hold it, so it tells
+    nothing."""
+    limit = LOWEST + int(fraction * (1 << 64))
+    share = F.size(F.array_intersect(a, b)) / F.size(a)
+    return F.when((F.size(a) == 0) | (a == b), F.lit(1.0)).when(F.element_at(a, 1) < F.lit(limit), share)
 
 
 def as_text(sketch_col: Column) -> Column:
@@ -104,26 +108,26 @@ def with_next(df: DataFrame, id_col: str, value_col: str, derived: dict[str, Col
     """Add ``derived`` columns, and ``value_col`` and them of the next row by descending id under ``prefix``; the last
     row is followed by the first.
 
-    Rows are dealt by slices of 2**SLICE_BITS ids, so no window grows with the table, and the table is shuffled once;
-    besides, only the first row of each slice is, and only for it the derived columns are computed again. Rows without
-    an id come last; rows with equal ids are ordered by value.
+    ``derived`` are expressions of ``value_col`` alone. Rows are dealt by slices of 2**SLICE_BITS ids, so no window grows
+    with the table, and the table is shuffled once; besides, only the first row of each slice is. Derived columns are
+    computed after that, for both values of a row, so none is shuffled. Rows without an id come last; rows with equal ids
+    are ordered by value.
     """
-    payload = [value_col, *derived]
+    following_value = f"{prefix}{value_col}"
     keyed = df.withColumn("_k", F.coalesce(exact(id_col), F.lit(LOWEST))).withColumn("_s", F.shiftright("_k", SLICE_BITS))
     window = Window.partitionBy("_s").orderBy(F.desc("_k"), F.desc(value_col))
-    # One lead for each column: a struct of them would be made before the shuffle and carry every text twice.
-    following = keyed.withColumns(derived).withColumns(
-        {f"{prefix}{c}": F.lead(c).over(window) for c in payload} | {"_more": F.lead(F.lit(True)).over(window)}
-    )
-    heads = keyed.withColumn("_n", F.row_number().over(window)).filter("_n = 1").withColumns(derived)
-    heads = heads.select("_s", F.struct(*payload).alias("_head"))
+    following = keyed.withColumns({following_value: F.lead(value_col).over(window), "_more": F.lead(F.lit(True)).over(window)})
+    heads = keyed.withColumn("_n", F.row_number().over(window)).filter("_n = 1").select("_s", F.col(value_col).alias("_head"))
     slices = keyed.select(F.col("_s").alias("k")).distinct()
     first = slices.agg(F.max("k")).first()[0]
     links = _next_lower(slices, 2).select(F.col("k").alias("_s"), F.coalesce("after", F.lit(first)).alias("_s2"))
     next_heads = links.join(heads.withColumnRenamed("_s", "_s2"), "_s2").select("_s", "_head")
     joined = following.join(next_heads, "_s", "left")
-    joined = joined.withColumns({f"{prefix}{c}": F.when(F.col("_more"), F.col(f"{prefix}{c}")).otherwise(F.col(f"_head.{c}")) for c in payload})
-    return joined.drop("_k", "_s", "_more", "_head")
+    joined = joined.withColumn(following_value, F.when(F.col("_more"), F.col(following_value)).otherwise(F.col("_head")))
+    joined = joined.drop("_k", "_s", "_more", "_head")
+    turned = joined.withColumnRenamed(value_col, "_own").withColumnRenamed(following_value, value_col)
+    turned = turned.withColumns({f"{prefix}{c}": value for c, value in derived.items()})
+    return turned.withColumnRenamed(value_col, following_value).withColumnRenamed("_own", value_col).withColumns(derived)
 
 
 def edited_by_next(text: Column, next_text: Column) -> Column:

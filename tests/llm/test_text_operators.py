@@ -188,6 +188,25 @@ def test_fingerprints_estimate_likeness_and_pair_with_the_next(spark):
     assert union or inside < 1  # the shorter text's sketch is part of the longer one's, but for its last windows
 
 
+def test_fingerprints_of_short_texts(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        long = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        at, n = rng.randrange(380), (6, 8, 12, 20)[i % 4]
+        short = long[:12] + [f"v{rng.randrange(10**6)}" for _ in range(12)]
+        rows.append((" ".join(long[at : at + n]), " ".join(long), " ".join(long[:24]), " ".join(short)))
+    s = {c: fingerprints.sketch(F.col(c)) for c in "abcd"}
+    exact = [fingerprints.sketch(F.col(c), fraction=1 - 2**-20) for c in "cd"]
+    got = spark.createDataFrame(rows, "a string, b string, c string, d string").select(
+        fingerprints.containment(s["a"], s["b"]).alias("inside"), fingerprints.containment(s["a"], s["a"]).alias("itself"),
+        fingerprints.likeness(s["c"], s["d"]).alias("near"), fingerprints.likeness(*exact).alias("truth"),
+    ).collect()
+    assert {r["inside"] for r in got} == {1.0, None} and sum(r["inside"] is None for r in got) < 0.15 * len(got)
+    assert {r["itself"] for r in got} == {1.0}
+    assert sum(abs(r["near"] - r["truth"]) for r in got) / len(got) < 0.1
+
+
 def test_fingerprints_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "one two"), (5, "one two")], "doc_id long, text string")
     rows = fingerprints.fingerprint(df).collect()
