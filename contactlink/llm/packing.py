@@ -10,8 +10,6 @@ are dealt to the patterns' places.
 
 from __future__ import annotations
 
-import functools
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,13 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contactlink.llm.pieces import PieceMemory
-from contactlink.llm.token_counts import byte_symbols
+from contactlink.llm.piece_table import byte_table
 from contactlink.llm.tables import exact, field_type, shuffle_partitions
 from contactlink.operators.storage import materialize
 
 SEQUENCE, GRAIN, END_ID = 1024, 16, 0
-CACHE_WORDS = 250_000
 EPS = 1e-9
 Pattern = dict[int, int]
 
@@ -35,42 +31,6 @@ Pattern = dict[int, int]
 # --- tokens ----------------------------------------------------------------------------
 
 
-@functools.cache
-def _encoder(path: str) -> PieceMemory:
-    """Token ids of texts as little-endian 32-bit values, by the ``tokenizers`` library for each new pre-token."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    tokenizer = Tokenizer.from_file(path)
-    # The same model without the split pattern: pre-tokens are split already, and their bytes written as its symbols.
-    model = Tokenizer.from_file(path)
-    model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-    symbols = {byte: char for char, byte in byte_symbols().items()}
-    mark = symbols[ord("\n")]
-    encode = lambda texts: [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    feed = encode(["\n"])[0]
-    if len(feed) != 1:
-        raise ValueError(f"{path}: a line feed must be one token")
-
-    def learn(words: list[str]) -> list[bytes]:
-        """Many pre-tokens at once, set apart by line feeds, which no pre-token with other characters holds."""
-        out: list[bytes] = [b""] * len(words)
-        plain = [i for i, w in enumerate(words) if not w[-1].isspace()]
-        for at in range(0, len(plain), 500):
-            group = plain[at : at + 500]
-            text = "\n".join(words[i] for i in group).encode().decode("latin-1").translate(symbols).replace(mark, f" {mark} ")
-            ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            for i, part in zip(group, np.split(ids, np.flatnonzero(ids == feed[0]))):
-                out[i] = part[1 if i != group[0] else 0 :].tobytes()
-        spaces = [i for i, w in enumerate(words) if w[-1].isspace()]
-        for i, ids in zip(spaces, encode([words[i] for i in spaces])):
-            out[i] = ids.tobytes()
-        return out
-
-    specials = {t.content: np.array([i], "<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return PieceMemory(learn, b"".join, specials, CACHE_WORDS)
-
-
 def cut(n: int, sequence: int, grain: int) -> list[tuple[int, int]]:
     """Start and length of a document's pieces: whole sequences, the tail's multiple of ``grain``, its end."""
     bounds = [*range(0, n + 1, sequence), n - n % sequence % grain, n]
@@ -80,7 +40,7 @@ def cut(n: int, sequence: int, grain: int) -> list[tuple[int, int]]:
 
 def token_pieces(
     df: DataFrame, tokenizer: str, id_col: str, text_col: str, sequence: int = SEQUENCE, grain: int = GRAIN, end_id: int = END_ID,
-    keep_ids: bool = False, slice_texts: int = 256,
+    keep_ids: bool = False,
 ) -> DataFrame:
     """The pieces of all documents: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens`` and, if asked for, ``ids``
     (little-endian 32-bit). A null text has the end id only."""
@@ -89,23 +49,20 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from contactlink.llm import packing
-
-        encoder = packing._encoder(tokenizer)
+        table = byte_table(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_texts):
-                part = batch.slice(at, slice_texts)
+            for at, ids, bounds in table.in_slices(batch.column(1)):
                 owner, numbers, parts = [], [], []
-                for i, ids in enumerate(encoder.values([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
-                    n = len(ids) // 4
-                    for start, length in packing.cut(n, sequence, grain):
-                        piece = ids[4 * start : 4 * (start + length)]
-                        owner.append(i)
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    document = ids[a:b].tobytes() + end
+                    n = len(document) // 4
+                    for start, length in cut(n, sequence, grain):
+                        piece = document[4 * start : 4 * (start + length)]
+                        owner.append(at + i)
                         numbers.append((start, length, zlib.crc32(piece), n))
                         if keep_ids:
                             parts.append(piece)
-                columns = [part.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, pa.int64()) for c in zip(*numbers))]
+                columns = [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, pa.int64()) for c in zip(*numbers))]
                 names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
                 if keep_ids:
                     columns, names = [*columns, pa.array(parts, pa.binary())], [*names, "ids"]

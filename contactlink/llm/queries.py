@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from contactlink.llm import chat, fingerprints, language_id
 from contactlink.llm.embedding_dedup import embedding_dedup
+from contactlink.llm.filter_audit import audited_documents, filter_audit
+from contactlink.llm.hard_negatives import hard_negatives
 from contactlink.llm.jaccard_join import jaccard_join
 from contactlink.llm.mixing import WEIGHTS, mix
 from contactlink.llm.packing import pack
 from contactlink.llm.substring_dedup import substring_dedup
 from contactlink.llm.tables import table
 from contactlink.llm.token_counts import count_tokens
+from contactlink.llm.token_files import token_files
 from contactlink.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +26,7 @@ REGISTRY: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(fn: Query) -> Query:
@@ -199,3 +203,77 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN d ON d.a = e.vec_id
 """
+
+
+@query
+def op11_filter_audit(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return filter_audit(audited_documents(documents, table(spark, folder, "labels")), "ABCDE")
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), first AS (
+  SELECT text, min(doc_id) AS first_id FROM d GROUP BY text
+), l AS (
+  SELECT doc_id, max(quality) FILTER (quality = 1) AS good, max(toxic) FILTER (toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), t AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, concat(
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END,
+    CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN d.doc_id > first_id THEN 'E' ELSE '' END) AS fails
+  FROM d JOIN first USING (text) LEFT JOIN l ON l.doc_id = d.doc_id
+), orders(o) AS (
+  SELECT '' UNION ALL SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(o) < 5 AND NOT contains(o, x)
+), steps AS (
+  SELECT o AS filter_order, step, o[step] AS f, substr(o, 1, step - 1) AS before FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step) WHERE length(o) = 5
+), kinds AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM t GROUP BY part, fails
+), judged AS (
+  SELECT part, fails, n, good, toxic, filter_order, step, f, contains(fails, f) AS failing, translate(before, fails, '') <> before AS gone FROM kinds, steps
+), sums AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (failing AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (failing AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (failing AND NOT gone), 0) AS toxic_lost
+  FROM judged GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM sums
+"""
+
+
+@query
+def op12_token_files(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return token_files(documents, WORD_BPE, end_id=1)
+
+
+@query
+def op13_hard_negatives(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), n AS (
+  SELECT p.*, s.other AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) AS INT) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
