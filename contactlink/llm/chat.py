@@ -3,7 +3,8 @@
 A turn's content is an array of parts of type text, image, audio or document. A visitor turns each part into text:
 text parts are escaped, the others become placeholders that name kind and place, and what they point to is recorded
 with the number of tokens it will expand to. Control strings start with ``<|``; inside content a backslash is doubled
-and ``<|`` becomes ``<\\|``, so no content can look like a control string and the original comes back exactly.
+and ``<|`` becomes ``<\\|``, so no content can look like a control string and the original comes back exactly. A part that
+ends in ``<`` with another part after it ends in ``<\\.`` instead, so parts cannot form a control string together.
 """
 
 from __future__ import annotations
@@ -25,8 +26,15 @@ def escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
 
+def escaped_part(text: Column, is_last: Column) -> Column:
+    """A text part; one that ends in ``<`` is set apart from the part that follows it."""
+    own = escaped(text)
+    return F.when(~is_last & own.endswith("<"), F.concat(own, F.lit("\\."))).otherwise(own)
+
+
 def unescaped(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+    whole = F.replace(F.replace(text, F.lit("<\\."), F.lit("<")), F.lit("<\\|"), F.lit("<|"))
+    return F.replace(whole, F.lit("\\\\"), F.lit("\\"))
 
 
 def escaped_role(role: Column) -> Column:
@@ -53,10 +61,10 @@ def visit(kind: Column, visitors: dict[str, Column], otherwise: Column) -> Colum
     return out.otherwise(otherwise)
 
 
-def rendered(part: Column, place: Column) -> Column:
+def rendered(part: Column, place: Column, parts: Column) -> Column:
     """A part as text. Unknown types and missing parts leave nothing behind."""
     marks = {kind: F.concat(F.lit(f"<|{kind}:"), place.cast("string"), F.lit("|>")) for kind in ("image", "audio", "document")}
-    return visit(part["type"], {"text": F.coalesce(escaped(part["text"]), F.lit("")), **marks}, F.lit(""))
+    return visit(part["type"], {"text": F.coalesce(escaped_part(part["text"], place == F.size(parts) - 1), F.lit("")), **marks}, F.lit(""))
 
 
 def expanded_tokens(part: Column) -> Column:
@@ -81,7 +89,7 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     rows = turns.select(exact(conv_col).alias("conv"), exact(turn_col).alias("turn"), role.alias("role"), parts.alias("parts"))
     rows = rows.select(
         "conv", "turn", "role", "parts",
-        F.transform("parts", rendered).alias("texts"),
+        F.transform("parts", lambda part, place: rendered(part, place, F.col("parts"))).alias("texts"),
         F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n")).alias("head"),
     )
     rows = rows.select("conv", "turn", "role", "parts", "texts", "head", F.array_join("texts", "").alias("body"))

@@ -5,9 +5,11 @@ n-gram in their prefixes, so only prefix n-grams are joined, and of these only t
 Length, positional and suffix filters reject pairs before their sets meet, and each pair is verified once.
 
 Equal sets are folded first. Of the others a group may still hold thousands of near copies, so pairs are never all
-emitted: in each round every member of a prefix group meets a few pivots of the group, links merge components, and
-pairs inside one component are not looked at again. The first round takes the one pivot a member meets most often, the
-next the eight first pivots of each group, and each after that eight times as many as all before it; rounds end when no group spans two components. What is left out is only what the components say already.
+emitted: in each round every member of a prefix group meets a few pivots of the group, the first by size, links merge
+components, and pairs inside one component are not looked at again. The first round takes the one pivot a member meets
+most often, the next the eight first pivots of each group, and each after that nine times as many; pivots that have met
+all members leave their group, and rounds end when no group spans two components. What is left out is only what the
+components say already.
 """
 
 from __future__ import annotations
@@ -177,45 +179,53 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def _met(members: DataFrame, pivots: DataFrame, threshold: int) -> DataFrame:
     """Members with pivots of their group that pass the length and positional filters: ``a`` (pivot, not larger), ``b``."""
-    pivots = pivots.select("gram", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("rank").alias("a_rank"), F.col("root").alias("a_root"))
-    members = members.select("gram", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("rank").alias("b_rank"), F.col("root").alias("b_root"))
+    side = lambda df, s: df.select("gram", *(F.col(c).alias(f"{s}{n}") for c, n in (("id", ""), ("n", "_n"), ("pos", "_pos"), ("root", "_root"))))
     left = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    return members.join(pivots, "gram").filter(
-        (F.col("b_rank") > F.col("a_rank")) & (F.col("a_root") != F.col("b_root"))
+    return side(members, "b").join(side(pivots, "a"), "gram").filter(
+        (F.struct("b_n", "b") > F.struct("a_n", "a")) & (F.col("a_root") != F.col("b_root"))
         & (100 * F.col("a_n") >= threshold * F.col("b_n")) & (left >= needed(F.col("a_n"), F.col("b_n"), threshold))
     )
 
 
 def linked(sets: DataFrame, threshold: int) -> DataFrame:
-    """``id, root`` for representatives linked to others; the root is the smallest id reached."""
+    """``id, root`` for sets linked to others; the root is the smallest id reached.
+
+    A group of any size stays spread: its pivots are the first few of each task's first few, and it meets them, written,
+    in a join that adaptive execution can split.
+    """
     groups = sets.select("id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("e")).select("e.gram", "id", "n", "e.pos")
-    by_gram = Window.partitionBy("gram").orderBy("n", "id")
-    ranked = groups.withColumn("rank", F.row_number().over(by_gram)).withColumn("other", F.coalesce(F.lead("id").over(by_gram), F.lag("id").over(by_gram)))
-    active = materialize(ranked.filter("other IS NOT NULL").drop("other").withColumn("root", F.col("id")), "jaccard-groups")
+    active = materialize(groups.withColumn("root", F.col("id")), "jaccard-groups")
+    place = F.row_number().over(Window.partitionBy("gram").orderBy("n", "id"))
     roots: DataFrame | None = None
-    low, high = 1, 1
-    first = True
+    met_before: DataFrame | None = None
+    first, width = True, 1
     while True:
-        pivots = active.filter(F.col("rank").between(low, max(low, high - 1)))
+        pivots = materialize(active.withColumn("place", place).filter(F.col("place") <= width).drop("place"), "jaccard-pivots")
         met = _met(active, pivots, threshold)
         if first:
             # One pivot each, the one met most often: most near copies are merged before any other pair is formed.
             counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
             pairs = counted.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
         else:
-            pairs = met.select("a", "b").distinct()
-        links = materialize(verified(materialize(pairs, "jaccard-pairs"), sets, threshold), "jaccard-links")
+            # A pair is verified once, whatever n-grams it meets under later.
+            pairs = met.select("a", "b").distinct().join(met_before, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "jaccard-pairs")
+        met_before = pairs if first else met_before.unionByName(pairs)
+        links = materialize(verified(pairs, sets, threshold), "jaccard-links")
         edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
         if roots is not None:
             edges = edges.unionByName(roots.filter("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
-        roots = materialize(components(edges).select(F.col("node").alias("id"), "root"), "jaccard-roots")
-        low, high = (low if first else high), high * (GROWTH + 1)
-        first = False
-        renewed = active.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        later = renewed.filter(F.col("rank") >= low).groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-        active = materialize(renewed.join(materialize(later.select("gram"), "jaccard-open"), "gram", "left_semi").filter(F.col("rank") >= low), "jaccard-groups")
+        roots = materialize(components(edges, split_hubs=True).select(F.col("node").alias("id"), "root"), "jaccard-roots")
+        left = active.drop("root")
+        if not first:
+            last = materialize(pivots.groupBy("gram").agg(F.max(F.struct("n", "id")).alias("last")), "jaccard-last")
+            left = left.join(last, "gram").filter(F.struct("n", "id") > F.col("last")).drop("last")
+        renewed = materialize(left.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "jaccard-left")
+        spanning = renewed.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+        active = materialize(renewed.join(materialize(spanning.select("gram"), "jaccard-open"), "gram", "left_semi"), "jaccard-groups")
         if active.isEmpty():
             return roots
+        width, first = (GROWTH if first else width * (GROWTH + 1)), False
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: int = THRESHOLD) -> DataFrame:
@@ -223,22 +233,25 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id, ``n_shingles``, ``representative`` (smallest id with the same set) and ``component_id`` (smallest id reached).
 
     Words are runs without white space, A-Z folded. A document with fewer than ``ngram`` words is one n-gram; one
-    without words, or null, has none and links with nothing. Ids are integers and should be unique; repeated rows with
-    one id give a row each, in one component if their sets are equal. A row without an id is given its own row with a
+    without words, or null, has none and links with nothing. Ids are integers; rows that repeat an id
+    are documents of their own, and one id with several texts may be in several components. A row without an id is given its own row with a
     null component. Other columns are ignored.
     """
     if not 50 < threshold <= 100:
         raise ValueError("threshold must be over 50 percent")
     sets = materialize(ngram_sets(df, id_col, text_col, ngram, threshold), "jaccard-sets")
     firsts = sets.filter("copy_of = id").select("id", "digest").distinct()
-    classes = materialize(firsts.groupBy("digest").agg(F.min("id").alias("representative")), "jaccard-classes")
-    firsts = firsts.join(classes, "digest").select(F.col("id").alias("copy_of"), "representative")
-    heads = sets.filter("grams IS NOT NULL").join(classes.select(F.col("representative").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    heads = materialize(heads.select("id", "n_shingles", "prefix", "bins", "grams"), "jaccard-heads")
+    # A class is a set; its number stands for it, so that ids with several texts keep their sets apart.
+    classes = firsts.groupBy("digest").agg(F.min("id").alias("representative")).withColumn("class", F.monotonically_increasing_id())
+    classes = materialize(classes, "jaccard-classes")
+    heads = sets.filter("grams IS NOT NULL").join(classes.withColumnRenamed("representative", "id"), ["digest", "id"]).dropDuplicates(["class"])
+    heads = materialize(heads.select(F.col("class").alias("id"), "n_shingles", "prefix", "bins", "grams"), "jaccard-heads")
     roots = linked(heads, threshold)
-    labels = firsts.join(roots.withColumnRenamed("id", "representative"), "representative", "left")
-    labels = materialize(labels.select("copy_of", "representative", F.coalesce("root", "representative").alias("component_id")), "jaccard-labels")
-    out = sets.select("id", "n_shingles", "copy_of").join(labels, "copy_of", "left")
+    rooted = materialize(classes.join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "jaccard-rooted")
+    smallest = materialize(rooted.groupBy("root").agg(F.min("representative").alias("component_id")), "jaccard-components")
+    labels = rooted.join(smallest, "root").select("digest", "representative", "component_id")
+    labels = materialize(firsts.withColumnRenamed("id", "copy_of").join(labels, "digest"), "jaccard-labels")
+    out = sets.select("id", "n_shingles", "copy_of", "digest").join(labels, ["copy_of", "digest"], "left")
     return out.select(
         F.col("id").alias(id_col), "n_shingles",
         F.coalesce("representative", "id").alias("representative"), F.coalesce("component_id", "id").alias("component_id"),

@@ -21,12 +21,15 @@ from pyspark.sql import types as T
 from contactlink.llm import linear
 from contactlink.llm.hashing import Words
 from contactlink.llm.linear import Linear
+from contactlink.llm.piece_table import byte_table
 from contactlink.llm.tables import bounded_sample, bytes_of, exact
 from contactlink.operators.storage import materialize
 
 #: Most labelled rows that train the domain classifier, chosen by a hash of their id.
 TRAINING_ROWS = 6_000
-STEPS, CLOSE = 80, 1e-4
+#: Steps end when all totals are within ``CLOSE`` of the budget; after ``STEPS``, or ``PATIENCE`` steps that bring
+#: nothing, targets count as out of reach.
+STEPS, CLOSE, PATIENCE = 400, 1e-4, 60
 #: How far over 1 the rates of ``fit_once`` aim: the more, the nearer its budget is to the largest.
 REACH = 8.0
 SLICE_BYTES = 4 << 20
@@ -50,9 +53,9 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
     return [Linear(mean=True).fit(features, y) for y in ys.values()] if len(ids) else []
 
 
-def posteriors(df: DataFrame, models: list[Linear], domains: list[str], text_col: str, keep: list[str]) -> DataFrame:
-    """The columns of ``keep`` with ``n_tokens`` (words) and ``posterior`` over the domains. Without models all domains
-    are equally likely."""
+def posteriors(df: DataFrame, models: list[Linear], domains: list[str], text_col: str, keep: list[str], tokenizer: str | None = None) -> DataFrame:
+    """The columns of ``keep`` with ``n_tokens`` and ``posterior`` over the domains. Tokens are those of the byte-level BPE
+    file ``tokenizer``, or words without one. Without models all domains are equally likely."""
     flat = df.select(*(exact(c).alias(f"c{i}") for i, c in enumerate(keep)), exact(text_col).cast("string").alias("_text"))
     at = len(keep)
     schema = T.StructType([*flat.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
@@ -61,7 +64,7 @@ def posteriors(df: DataFrame, models: list[Linear], domains: list[str], text_col
         for batch in batches:
             for part in linear.in_slices(batch, at, SLICE_BYTES):
                 text = part.column(at)
-                counts = Words(*bytes_of(text)).counts
+                counts = byte_table(tokenizer).counts(text) if tokenizer else Words(*bytes_of(text)).counts
                 if models:
                     rows = linear.rows_of(text, distinct=False)
                     found = np.column_stack([m.predict(rows) for m in models]) + 1e-6
@@ -80,15 +83,16 @@ class Fit:
 
     def __init__(self, start: float, rate: float, residuals: list[np.ndarray]):
         self.start, self.rate, self.residuals = start, rate, residuals
+        self.momenta: list[float] = []
         self.most = np.inf
 
     def points(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates after all steps, and the point at which the next gradient is taken (Nesterov)."""
         now = before = np.full(len(posterior), self.start)
         ahead = now
-        for t, residual in enumerate(self.residuals):
+        for residual, momentum in zip(self.residuals, self.momenta):
             before, now = now, np.maximum(0.0, ahead - self.rate * (posterior @ residual))
-            ahead = now + (t + 1) / (t + 4) * (now - before)
+            ahead = now + momentum * (now - before)
         return np.minimum(now, self.most), ahead
 
 
@@ -112,7 +116,7 @@ def fit_rates(table: DataFrame, weights: np.ndarray, budget: float | None = None
     """Fit rates to ``n_tokens, posterior``; also the totals reached and the targets.
 
     ``budget`` is the tokens asked for in all, by default as many as there are: rates are then 1 on average, and only what
-    a domain has over its target is thinned out. The steps use the metric in which a document weighs as many times as it has tokens; there the fit is the one nearest
+    a domain has over its target is thinned out. Targets that are not met are told by a warning. The steps use the metric in which a document weighs as many times as it has tokens; there the fit is the one nearest
     to equal rates, and long documents are not preferred.
     """
     k = len(weights)
@@ -127,14 +131,25 @@ def fit_rates(table: DataFrame, weights: np.ndarray, budget: float | None = None
     wanted = weights / weights.sum()
     budget = total if budget is None else budget
     targets = wanted * budget
-    fit = Fit(budget / total, 1 / np.linalg.eigvalsh(second)[-1], [])
-    reached = natural
-    for _ in range(steps + 1):
+    # Squares are measured in the metric of the posteriors' second moments, so rare domains converge as fast as common ones.
+    metric = np.linalg.pinv(second, rcond=1e-9, hermitian=True)
+    fit = Fit(budget / total, 1.0, [])
+    reached, best, missed, run, idle = natural, np.inf, np.inf, 0, 0
+    while True:
         reached, ahead = _totals(table, fit, k)
-        if np.abs(reached - targets).max() <= CLOSE * budget or len(fit.residuals) == steps:
-            break
-        fit.residuals.append((ahead - targets) / total)
-    return fit, reached, targets
+        miss = float(np.abs(reached - targets).max())
+        if miss <= CLOSE * budget:
+            return fit, reached, targets
+        idle = 0 if miss < 0.99 * best else idle + 1
+        best = min(best, miss)
+        if len(fit.residuals) == steps or idle == PATIENCE:
+            warnings.warn(f"target tokens {targets.tolist()} are not met; reached {reached.tolist()}", stacklevel=2)
+            return fit, reached, targets
+        far = float((reached - targets) @ metric @ (reached - targets))
+        run = 0 if far > missed else run + 1  # the momentum starts anew where it has gone too far
+        missed = far
+        fit.residuals.append(metric @ (ahead - targets) / total)
+        fit.momenta.append(run / (run + 3))
 
 
 class Once:
@@ -221,13 +236,13 @@ def fit_once(table: DataFrame, weights: np.ndarray, steps: int = STEPS) -> tuple
 
 def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: Column | None = None, id_col: str = "doc_id",
         text_col: str = "text", keep: list[str] | None = None, rows: int = TRAINING_ROWS, budget: float | None = None,
-        once: bool = False) -> DataFrame:
+        once: bool = False, tokenizer: str | None = None) -> DataFrame:
     """Every row of ``df`` with ``n_tokens``, ``posterior`` (in the order of ``weights``), ``rate`` and ``copies``.
 
     ``copies`` rounds the rate by a hash of the id, so that its expectation is the rate; 0 means the document is left
     out. ``keep`` names the columns to carry, all by default. A null or empty text has no tokens, and the rate of its
     posterior. Rows that repeat an id get the same rate. Columns with the new names are replaced. With ``once`` rates are 1
-    at most and the budget is the largest that the weights allow.
+    at most and the budget is the largest that the weights allow. ``tokenizer`` says what a token is; see ``posteriors``.
     """
     if once and budget is not None:
         raise ValueError("a mix of documents kept once finds its budget itself")
@@ -235,7 +250,7 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = Non
     domains = list(weights)
     keep = [c for c in keep or df.columns if c.lower() not in OWN]
     models = train(df, labels, domain, domains, id_col, text_col, rows)
-    table = materialize(posteriors(df, models, domains, text_col, keep).withColumnsRenamed({c: f"c{i}" for i, c in enumerate(keep)}), "mixing")
+    table = materialize(posteriors(df, models, domains, text_col, keep, tokenizer).withColumnsRenamed({c: f"c{i}" for i, c in enumerate(keep)}), "mixing")
     asked = np.array([weights[d] for d in domains])
     fit, _, _ = fit_once(table, asked) if once else fit_rates(table, asked, budget)
     at = len(keep) + 1

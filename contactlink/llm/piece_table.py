@@ -136,7 +136,8 @@ class PieceTable:
         self.met[found] = self.round
         return found
 
-    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _looked_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of all pieces, and where each text's ids begin and end."""
         data, offsets = bytes_of(texts)
         starts = piece_starts(data, offsets)
         self.round += 1
@@ -145,7 +146,15 @@ class PieceTable:
         pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, bounds, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         numbers = self.numbers(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
         ends = np.concatenate([[0], np.cumsum(self.length[numbers])])
-        return self.gathered(numbers), ends[np.searchsorted(starts, offsets)]
+        return numbers, ends[np.searchsorted(starts, offsets)]
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        numbers, bounds = self._looked_up(texts)
+        return self.gathered(numbers), bounds
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has, without the ids. Strings of special tokens count as the text they are."""
+        return np.diff(self._looked_up(texts.fill_null(""))[1])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin and end. Nulls are empty."""

@@ -168,7 +168,7 @@ def op4_toxicity(spark, folder):
 @query
 def op8_mixing(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    mixed = mix(documents, table(spark, folder, "labels"), keep=["doc_id"])
+    mixed = mix(documents, table(spark, folder, "labels"), keep=["doc_id"], tokenizer=BYTE_BPE)
     return mixed.select("doc_id", "n_tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(WEIGHTS)), "rate", "copies")
 
 

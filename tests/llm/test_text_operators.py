@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from contactlink.llm import fingerprints, hashing
+from contactlink.llm import jaccard_join as jaccard
 from contactlink.llm.jaccard_join import jaccard_join
 from contactlink.llm.packing import cut, pack, places, plan
 from contactlink.llm.substring_dedup import substring_dedup
@@ -120,6 +121,26 @@ def test_jaccard_join_matches_brute_force(spark):
     assert got == components_by_brute_force([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_every_pair_is_verified_once(spark, monkeypatch):
+    rng = random.Random(8)
+    chain = [f"c{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        chain[rng.randrange(60)] = f"d{i}"
+        texts.append(" ".join(chain))
+    seen, plain = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: seen.extend(map(tuple, pairs.collect())) or plain(pairs, *rest))
+    jaccard_join(table(spark, texts)).collect()
+    assert len(seen) > 60 and len({frozenset(p) for p in seen}) == len(seen)
+
+
+def test_ids_with_several_texts_keep_all_links(spark):
+    a, b = (" ".join(f"{s}{i}" for i in range(60)) for s in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " z"), (3, b + " z"), (5, b), (5, "other words only here")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard_join(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (5, 5)]
+
+
 def test_jaccard_join_of_empty_table_and_missing_ids(spark):
     df = table(spark, ["a b c d e f", None])
     assert jaccard_join(df.limit(0)).count() == 0
