@@ -46,9 +46,10 @@ WEIGHTS = {"good": 0.9, "poor": 0.1}
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fitted rate rounds to one copy or more. They are kept once: the sequences of the last stage hold
-    every document once, so a rate over one only makes sure of it."""
-    return mix(docs, table(spark, sf_dir, "labels"), weights=WEIGHTS).filter("copies > 0").select(*docs.columns)
+    """Documents as often as their fitted rate says, in expectation: those with a rate under one are thinned out, those
+    with a rate over one come more than once. The budget is all tokens there are, so rates are one on average."""
+    mix_of = mix(docs, table(spark, sf_dir, "labels"), weights=WEIGHTS, tokenizer=BYTE_BPE).filter("copies > 0")
+    return mix_of.withColumn("copies", F.explode(F.expr("array_repeat(1, cast(copies AS int))"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
