@@ -78,10 +78,12 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    """``learn`` gives the ids of new pieces. ``specials`` are strings with ids of their own, cut out before all else."""
+    """``learn`` gives the ids of new pieces. ``specials`` are strings with ids of their own, cut out before all else. All
+    ids are under ``vocabulary``."""
 
     def __init__(self, learn: Callable[[list[str]], list[np.ndarray]], specials: dict[str, int], room: int = ROOM):
         self.learn, self.specials, self.room = learn, specials, room
+        self.vocabulary = 1 << 32
         strings = sorted(specials, key=len, reverse=True)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, strings)) + ")") if strings else None
         self.number: dict[str, int] = {}
@@ -198,7 +200,7 @@ def _library(path: str):
     def encode(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return encode, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    return encode, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}, 1 + max(tokenizer.get_vocab().values())
 
 
 def _in_groups(words: list[str], chosen: list[int], together: Callable[[list[str]], np.ndarray], mark: int, alone: Callable[[list[str]], list[np.ndarray]]) -> list[np.ndarray]:
@@ -223,7 +225,7 @@ def _in_groups(words: list[str], chosen: list[int], together: Callable[[list[str
 @functools.cache
 def byte_table(path: str, room: int = ROOM) -> PieceTable:
     """The table of a byte-level BPE file; special strings as the library's default has it."""
-    encode, specials = _library(path)
+    encode, specials, vocabulary = _library(path)
     from tokenizers import Tokenizer, pre_tokenizers
 
     # The same model without the split pattern: words of letters are pre-tokens, and their bytes are written as its symbols.
@@ -242,13 +244,15 @@ def byte_table(path: str, room: int = ROOM) -> PieceTable:
         letters = [i for i, w in enumerate(words) if (w[1:] if w[0] == " " else w).isalpha()]
         return _in_groups(words, letters, together, int(feed[0]), encode)
 
-    return PieceTable(learn, specials, room)
+    table = PieceTable(learn, specials, room)
+    table.vocabulary = vocabulary
+    return table
 
 
 @functools.cache
 def word_table(path: str, room: int = ROOM) -> PieceTable:
     """The table of a file that drops white space; special strings as the library's default has it."""
-    encode, specials = _library(path)
+    encode, specials, vocabulary = _library(path)
     mark = encode(["|"])[0]
     if len(mark) != 1 or not np.array_equal(np.concatenate(encode(["a", "|", "a"])), encode([" a | a"])[0]):
         raise ValueError(f"{path}: white space must set words apart and be dropped")
@@ -257,4 +261,6 @@ def word_table(path: str, room: int = ROOM) -> PieceTable:
         chosen = [i for i, w in enumerate(words) if "|" not in w]
         return _in_groups(words, chosen, lambda group: encode([" | ".join(group)])[0], int(mark[0]), encode)
 
-    return PieceTable(learn, specials, room)
+    table = PieceTable(learn, specials, room)
+    table.vocabulary = vocabulary
+    return table

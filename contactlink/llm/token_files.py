@@ -1,8 +1,8 @@
 """Token ids as Arrow files of equal-length sequences with masks.
 
 Each shard is one Arrow file: the stream format with a footer that gives the place of every batch. A batch holds two
-fixed-size-list columns, ``ids`` (32-bit) and ``mask`` (1 for an id, 0 for padding), whose values are one flat buffer, so
-the place of any sequence, and of any id, follows from its number alone and a mapped file is read without copying. The
+fixed-size-list columns, ``ids`` (16-bit if the vocabulary allows, else 32-bit) and ``mask`` (1 for an id, 0 for padding),
+whose values are one flat buffer, so the place of any sequence, and of any id, follows from its number alone and a mapped file is read without copying. The
 documents of a shard follow each other without gaps, so a document is a stretch of the flat values; only the end of a
 shard is padded. Shards follow the order of ids, and a table of shards says where each begins.
 """
@@ -30,8 +30,9 @@ from contactlink.operators.storage import materialize, scratch_path
 SEQUENCE, BATCH_ROWS, END_ID, PAD_ID = 1024, 256, 1, 0
 
 
-def file_schema(sequence: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.field("item", pa.uint32(), nullable=False), sequence)), ("mask", pa.list_(pa.field("item", pa.uint8(), nullable=False), sequence))])
+def file_schema(sequence: int, vocabulary: int) -> pa.Schema:
+    kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    return pa.schema([("ids", pa.list_(pa.field("item", kind, nullable=False), sequence)), ("mask", pa.list_(pa.field("item", pa.uint8(), nullable=False), sequence))])
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -43,11 +44,12 @@ class TokenFileWriter:
     """Writes ids one after the other. The file appears under its name when it is whole, so a task that is run again, or
     twice at once, leaves one whole file."""
 
-    def __init__(self, path: str, sequence: int = SEQUENCE, batch_rows: int = BATCH_ROWS, pad_id: int = PAD_ID):
+    def __init__(self, path: str, sequence: int = SEQUENCE, batch_rows: int = BATCH_ROWS, pad_id: int = PAD_ID, vocabulary: int = 1 << 32):
         self.sequence, self.batch_rows, self.pad_id = sequence, batch_rows, pad_id
         self.fs, self.path = _filesystem(path)
         self.written, self.waiting, self.held = 0, [], 0
-        self.schema = file_schema(sequence)
+        self.schema = file_schema(sequence, vocabulary)
+        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
         self.draft = f"{self.path}.{uuid.uuid4().hex}.draft"
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         self.sink = self.fs.open_output_stream(self.draft)
@@ -64,14 +66,14 @@ class TokenFileWriter:
 
     def _flush(self, whole: bool) -> None:
         step = self.sequence * self.batch_rows
-        values = np.concatenate([*self.waiting, np.zeros(0, "<u4")]).astype("<u4", copy=False)
+        values = np.concatenate([*self.waiting, np.zeros(0, self.kind)]).astype(self.kind, copy=False)
         for at in range(0, len(values), step):
             part = values[at : at + step]
             if len(part) < step and not whole:
                 self.waiting, self.held = [part], len(part)
                 return
             real = len(part)
-            part = np.append(part, np.full(-real % self.sequence, self.pad_id, "<u4"))
+            part = np.append(part, np.full(-real % self.sequence, self.pad_id, self.kind))
             mask = np.zeros(len(part), np.uint8)
             mask[:real] = 1
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), type=t) for v, t in zip((part, mask), self.schema.types)]
@@ -119,7 +121,7 @@ class TokenFile:
         """Any stretch of ids; a view if it lies in one batch."""
         first, last = start // self.step, max(start, start + length - 1) // self.step
         parts = [self._values(b, "ids")[max(0, start - b * self.step) : start + length - b * self.step] for b in range(first, last + 1)] if length else []
-        return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, "<u4")])
+        return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint16)])
 
 
 INDEX = "shard int, path string, place long, n_tokens long"
@@ -144,7 +146,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, id_col: str =
         end = np.array([end_id], "<u4")
         for batch in batches:
             for at, ids, bounds in table.in_slices(batch.column(1)):
-                writer = writer or TokenFileWriter(path, sequence, batch_rows)
+                writer = writer or TokenFileWriter(path, sequence, batch_rows, vocabulary=max(table.vocabulary, end_id + 1))
                 places, sizes = [], []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     places.append(writer.append(ids[a:b]))

@@ -158,9 +158,10 @@ def test_files_give_back_every_id(spark, tmp_path):
         start += n
 
 
-def test_random_access_is_by_views(tmp_path):
+@pytest.mark.parametrize("vocabulary", [1 << 16, (1 << 16) + 1])
+def test_random_access_is_by_views(tmp_path, vocabulary):
     path = str(tmp_path / "one.arrow")
-    writer = files.TokenFileWriter(path, sequence=8, batch_rows=4, pad_id=9)
+    writer = files.TokenFileWriter(path, sequence=8, batch_rows=4, pad_id=9, vocabulary=vocabulary)
     places = [writer.append(np.arange(a, b, dtype="<u4")) for a, b in ((0, 5), (5, 5), (5, 70), (70, 101))]
     assert not (tmp_path / "one.arrow").exists()  # not there before it is whole
     assert (places, writer.close()) == ([0, 5, 5, 70], 101)
@@ -170,6 +171,7 @@ def test_random_access_is_by_views(tmp_path):
     assert ids.tolist() == [96, 97, 98, 99, 100, 9, 9, 9] and mask.tolist() == [1] * 5 + [0] * 3
     assert not ids.flags.owndata and not ids.flags.writeable and not file.ids(33, 20).flags.owndata
     assert file.ids(30, 60).tolist() == list(range(30, 90)) and file.ids(7, 0).tolist() == []
+    assert ids.dtype == (np.uint16 if vocabulary == 1 << 16 else np.uint32)
     batch = pa.ipc.open_file(path).get_batch(0)
     assert pa.types.is_fixed_size_list(batch.schema.field("ids").type) and batch.schema.field("mask").type.list_size == 8
 
