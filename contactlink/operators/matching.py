@@ -6,13 +6,12 @@ comparison columns of a ``RuleSet``; a ``given_key`` column is carried along if
 Blocks of up to ``direct_rows`` rows are joined with themselves on the block key. Larger
 blocks never are: each rule adds its equality conditions to the key, records are
 numbered inside the resulting group, and a record looks at a bounded stretch of
-followers at a time. Found records leave the search, so a large group of copies costs one
-short look per row; the stretch grows for the rest until the group is exhausted, which
-keeps the result exact. Exact copies bound the work further: a record never looks past its
-next copy, which matches anyway, nor at a copy of something it has met before. Bag
-signatures of the characters reject most other pairs inside the join. The join
-key holds the bucket of the follower's number, so a group of any size spreads over many
-tasks.
+followers first. Found records leave the search, so a large group of copies costs one
+short look per row; what is left after ``LOOKS`` looks goes through the rest of its group
+tile by tile (``tiles``), which keeps the result exact. Exact copies bound the work further:
+a record never looks past its next copy, which matches anyway, nor at a copy of something
+it has met before. The join key holds the bucket of the follower's number, so a group of
+any size spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlink.functions import keys
+from contactlink.operators import tiles
 from contactlink.operators.rules import Rule, RuleSet
 from contactlink.operators.skew import SLICE_BITS, with_followers, with_last_before, with_position
 from contactlink.operators.storage import materialize
@@ -31,6 +31,7 @@ from contactlink.operators.storage import materialize
 DIRECT_ROWS = 128
 LOOK_AHEAD = 32
 GROWTH = 8
+LOOKS = 2
 BUCKET_ROWS = 1024
 
 
@@ -140,10 +141,20 @@ def _look(
     return _first_per_record(_verdicts(left.join(right, test), rules, [(place, rule)]))
 
 
+def _by_tiles(
+    todo: DataFrame, everyone: DataFrame, on: list[str], rules: RuleSet, place: int, rule: Rule, start: int, backward: bool, tile_rows: int
+) -> DataFrame:
+    """First partner among all neighbours more than ``start`` places away."""
+    found = materialize(tiles.search(todo, everyone, on, rules, rule, start, backward, tile_rows), "tiles")
+    left = _side(todo.join(found, "ord"), "l_")
+    pairs = left.join(_side(everyone, "r_"), F.col("l_match_ord") == F.col("r_ord"))
+    return _first_per_record(_verdicts(pairs, rules, [(place, rule)]))
+
+
 def _search(
-    rows: DataFrame, rules: RuleSet, look_ahead: int, bits: int, backward: bool = False
+    rows: DataFrame, rules: RuleSet, look_ahead: int, bits: int, backward: bool = False, tile_rows: int = tiles.TILE_ROWS
 ) -> list[DataFrame]:
-    """Best matches inside oversized blocks, rule by rule, a stretch at a time."""
+    """Best matches inside oversized blocks, rule by rule: a few short looks, then the rest by tiles."""
     found: list[DataFrame] = []
     for place, rule in enumerate(rules.rules):
         on = ["block_key", *rules.equal_columns(rule)]
@@ -153,7 +164,7 @@ def _search(
         for earlier in found:
             todo = todo.join(earlier.select("ord"), "ord", "left_anti")
         start, width = 0, look_ahead
-        while True:
+        for _ in range(LOOKS):
             hits = materialize(_look(todo, everyone, on, rules, place, rule, start, width, backward), "hits")
             found.append(hits)
             start, width = start + width, width * GROWTH
@@ -161,6 +172,8 @@ def _search(
             todo = materialize(todo.join(hits.select("ord"), "ord", "left_anti").filter(left_over > start), "todo")
             if todo.isEmpty():
                 break
+        else:
+            found.append(materialize(_by_tiles(todo, everyone, on, rules, place, rule, start, backward, tile_rows), "hits"))
     return found
 
 
@@ -181,13 +194,14 @@ def best_match(
     direct_rows: int = DIRECT_ROWS,
     look_ahead: int = LOOK_AHEAD,
     slice_bits: int = SLICE_BITS,
+    tile_rows: int = tiles.TILE_ROWS,
 ) -> DataFrame:
     """``ord, rule_rank, match_ord, [match_given_key], score_0..`` for records with a match."""
     able = records.filter(F.col("block_key").isNotNull() & rules.any_eligible())
     small, large = _split(able, direct_rows)
     best = _first_per_record(_direct_pairs(small, rules, labelled=False))
     if large is not None:
-        for part in _search(large, rules, look_ahead, slice_bits):
+        for part in _search(large, rules, look_ahead, slice_bits, tile_rows=tile_rows):
             best = best.unionByName(part)
     return best
 
@@ -198,6 +212,7 @@ def linking_edges(
     direct_rows: int = DIRECT_ROWS,
     look_ahead: int = LOOK_AHEAD,
     slice_bits: int = SLICE_BITS,
+    tile_rows: int = tiles.TILE_ROWS,
 ) -> DataFrame:
     """``src, dst``: for every record one partner before and one after it, where it has any
     with another ``label``. At most two edges per record, however large the block."""
@@ -213,7 +228,7 @@ def linking_edges(
     edges = edges.select(F.col("ord").alias("src"), F.explode(F.array_distinct(F.array("a", "b"))).alias("dst"))
     if large is not None:
         for backward in (False, True):
-            for part in _search(large, rules, look_ahead, slice_bits, backward):
+            for part in _search(large, rules, look_ahead, slice_bits, backward, tile_rows):
                 edges = edges.unionByName(part.select(F.col("ord").alias("src"), F.col("match_ord").alias("dst")))
     return edges
 

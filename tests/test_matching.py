@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import model
-from contactlink.operators import clusters, linking, matching, reports, skew
+from contactlink.operators import clusters, linking, matching, reports, skew, tiles
 from contactlink.operators.rules import RuleSet, active_rules, comparator, default_rules, parse_rules
 from contactlink.operators.standardize import standardize
 from contactlink.plans.contacts import contacts
@@ -12,7 +15,7 @@ from contactlink.sources.keystore import KeyState, empty_state
 
 FIELDS = ["SOURCE_TYPE", "SOURCE_ID", "COMPANY_NAME", "ADDRESS_LINE_1", "ADDRESS_LINE_2", "ZIP_CODE", "PHONE_NUMBER", "DEDUP_KEY"]
 SCHEMA = "RID long, " + ", ".join(f"{c} string" for c in FIELDS)
-TINY = {"direct_rows": 2, "look_ahead": 3, "slice_bits": 3}
+TINY = {"direct_rows": 2, "look_ahead": 1, "slice_bits": 3, "tile_rows": 5}
 
 
 def people(seed: int, n: int, hot: bool = False) -> list[dict]:
@@ -88,6 +91,46 @@ def test_group_of_copies_is_resolved_at_once(spark):
     assert got == {i: m[0] for i, m in model.matches(records, active_rules(default_rules())).items()}
 
 
+ALPHABET = "abcdefgh é"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0, 30, 60, 67, 70, 80, 90, 100]), st.booleans(), st.sampled_from([12, 90]))
+def test_first_matches_of_tiles_equal_brute_force(seed, percentage, include, longest):
+    rng = random.Random(seed)
+    say = lambda: rng.choice([None, "", *("".join(rng.choices(ALPHABET, k=rng.randint(1, longest))) for _ in range(4))])
+    base = [say() for _ in range(5)]
+    near = lambda: (v := rng.choice(base)) and "".join(c if rng.random() < 0.85 else rng.choice(ALPHABET) for c in v)
+    left, right = ({"a": [near() for _ in range(n)], "b": [rng.choice(["x", "y", "", None]) for _ in range(n)]} for n in (9, 14))
+    checks = [tiles.Test("b", "equal", 100.0, True, True), tiles.Test("a", "fuzzy", percentage, include, rng.random() < 0.5)]
+    allowed = np.array([[rng.random() < 0.8 for _ in range(14)] for _ in range(9)])
+
+    def passes(i, j):
+        x, y = left["b"][i], right["b"][j]
+        if not (x is None or y is None or (x == y and x != "")):
+            return False
+        x, y = left["a"][i], right["a"][j]
+        if x is None or y is None:
+            return checks[1].blank_allowed
+        return (model.indel(x, y) >= percentage) == include
+
+    want = [next((j for j in range(14) if allowed[i, j] and passes(i, j)), -1) for i in range(9)]
+    assert tiles.first_matches(left, right, checks, allowed.copy()).tolist() == want
+
+
+def test_distinct_records_of_a_large_block_are_compared_by_tiles(spark):
+    rng = random.Random(12)
+    name = lambda: "acme " + "".join(rng.choices("abcdefghijklmnop", k=14))
+    records = [dict(r, COMPANY_NAME=name(), ADDRESS_LINE_1="1 Main St", ADDRESS_LINE_2="", ZIP_CODE="94105", PHONE_NUMBER="4155551234") for r in people(5, 350)]
+    for i, j in ((0, 340), (3, 349), (100, 330)):  # partners beyond the short looks
+        records[j]["COMPANY_NAME"] = records[i]["COMPANY_NAME"][:-2] + "zz"
+    rule_set = RuleSet(default_rules())
+    best = matching.best_match(narrow(frame(spark, records), rule_set), rule_set, direct_rows=50, look_ahead=4, tile_rows=64)
+    got = {r.ord // 10: r.match_ord // 10 for r in best.collect()}
+    want = {i: m[0] for i, m in model.matches(records, active_rules(default_rules())).items()}
+    assert got == want and {(0, 340), (3, 349), (100, 330)} <= set(got.items())
+
+
 @pytest.mark.parametrize("with_keys", [True, False])
 def test_run_equals_sequential_model(spark, with_keys):
     records = people(11, 60)
