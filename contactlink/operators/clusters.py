@@ -104,7 +104,7 @@ def cluster_keys(records: DataFrame, labels: DataFrame, state: KeyState) -> Data
     """``ord, cluster, cluster_size, dedup_key`` for all ``ord, data_hash``.
 
     The key of a cluster is the stored key of its first member that has one, else the key
-    minted from the smallest data hash in it.
+    minted from the smallest data hash in it. See ``merged_keys`` for clusters with several.
     """
     members = with_stored_key(
         records.join(labels, "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord")), state
@@ -116,3 +116,14 @@ def cluster_keys(records: DataFrame, labels: DataFrame, state: KeyState) -> Data
     )
     keys = materialize(keys.select("cluster", "cluster_size", F.coalesce("_stored", minted_key(F.col("_hash"))).alias("dedup_key")), "cluster-keys")
     return members.select("ord", "cluster").join(keys, "cluster").select("ord", "cluster", "cluster_size", "dedup_key")
+
+
+def merged_keys(records: DataFrame, labels: DataFrame, state: KeyState) -> DataFrame:
+    """``alias, dedup_key`` for stored keys that clusters of this run bring together, directly or by way of each other:
+    all become the smallest of them. ``records`` are ``ord, data_hash``."""
+    members = with_stored_key(records.join(labels, "ord"), state).filter("stored_key IS NOT NULL").select("cluster", "stored_key").distinct()
+    first = members.groupBy("cluster").agg(F.min("stored_key").alias("low"), F.max("stored_key").alias("high")).filter("low < high")
+    first = materialize(first.select("cluster", "low"), "merged-first")
+    pairs = members.join(first, "cluster").filter("stored_key <> low").select(F.col("stored_key").alias("src"), F.col("low").alias("dst"))
+    return components(pairs, split_hubs=True).filter("node <> root").select(F.col("node").alias("alias"), F.col("root").alias("dedup_key"))
+

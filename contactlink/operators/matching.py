@@ -16,6 +16,7 @@ any size spreads over many tasks.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from functools import reduce
 
@@ -164,7 +165,8 @@ def _search(
         for earlier in found:
             todo = todo.join(earlier.select("ord"), "ord", "left_anti")
         start, width = 0, look_ahead
-        for _ in range(LOOKS):
+        # Tiles know the ratio of rules; a rule that counts edits goes on with longer and longer looks.
+        for _ in itertools.count() if any(rules.by_edits(c) for c in rule.conditions) else range(LOOKS):
             hits = materialize(_look(todo, everyone, on, rules, place, rule, start, width, backward), "hits")
             found.append(hits)
             start, width = start + width, width * GROWTH

@@ -14,16 +14,16 @@ def block_sizes(df: DataFrame, key: str = "block_key") -> DataFrame:
     return df.groupBy(key).agg(n.alias("rows"), (n * (n - 1) / 2).cast("long").alias("pairs"))
 
 
-def run_statistics(result: DataFrame, errors: int = 0) -> DataFrame:
-    """Counts of a run: all records, matched ones, keys minted for unmatched ones, and errors: results marked so and
-    the bad input records that the run counted."""
+def run_statistics(result: DataFrame) -> DataFrame:
+    """Counts of a run: all records, matched ones, keys minted for unmatched ones, and errors: bad input records, which
+    are results marked so."""
     reason = F.col("MATCH_REASON")
     matched = ~reason.isin("NEW", "ERROR")
     return result.agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(matched).alias("matched_existing"),
         F.count_if((reason == "NEW") & F.col("is_new")).alias("new_dedup_keys"),
-        (F.count_if(reason == "ERROR") + F.lit(errors)).cast("long").alias("errors"),
+        F.count_if(reason == "ERROR").alias("errors"),
     )
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from contactlink.functions import keys, similarity, text
 
 DEFAULT_PRIORITY = 999
+LEVENSHTEIN = "levenshtein"
+METHODS = ("", "token_sort", LEVENSHTEIN)
 
 
 @dataclass(frozen=True)
@@ -24,6 +26,8 @@ class Condition:
     include: bool = True
     blank: bool = False
     blank_allowed: bool = False
+    #: How texts are compared: by token sort ratio, or LEVENSHTEIN.
+    method: str = ""
 
 
 @dataclass(frozen=True)
@@ -113,8 +117,10 @@ def parse_rules(
                 percentage = float(raw or 0)
             except ValueError as error:
                 raise ValueError(f"rule {rule_id}, field {name}: percentage {raw!r} is no number") from error
+            if (method := entry.get("method") or "") not in METHODS:
+                raise ValueError(f"rule {rule_id}, field {name}: unknown method {method!r}")
             conditions.append(
-                Condition(name, percentage, bool(entry.get("include", True)), bool(entry.get("blank", False)), blank_allowed)
+                Condition(name, percentage, bool(entry.get("include", True)), bool(entry.get("blank", False)), blank_allowed, method)
             )
         rules.append(
             Rule(
@@ -294,10 +300,16 @@ class RuleSet:
 
     def needs_lcs(self, rule: Rule, c: Condition, for_score: bool = False) -> bool:
         """Whether the exact similarity of the condition must be computed."""
+        if self.by_edits(c, for_score):
+            return False
         if c.blank or self.kind(c.field, for_score) not in FUZZY:
             return False
         return not (c.include and c.percentage >= 100 and self.kind(c.field, True) == self.kind(c.field))
 
+    def by_edits(self, c: Condition, for_score: bool = False) -> bool:
+        """Whether the condition compares texts by Levenshtein distance, which Spark has itself."""
+        return c.method == LEVENSHTEIN and self.kind(c.field, for_score) in FUZZY
+
     def lcs_columns(self, rules: Iterable[Rule]) -> list[str]:
         return list(
             dict.fromkeys(
@@ -311,8 +323,8 @@ class RuleSet:
         if c.blank:
             return a.isNull() & b.isNull()
         both = a.isNotNull() & b.isNotNull()
-        if self.kind(c.field) not in FUZZY:
-            score = similarity.exact_score(a, b)
+        if self.by_edits(c) or self.kind(c.field) not in FUZZY:
+            score = similarity.levenshtein_similarity(a, b) if self.by_edits(c) else similarity.exact_score(a, b)
             test = (score >= c.percentage) if c.include else (score < c.percentage)
         elif c.include and c.percentage >= 100:
             test = (a == b) & (a != "") if c.percentage == 100 else F.lit(False)
@@ -372,7 +384,9 @@ class RuleSet:
         for c in rule.conditions:
             name = self.name(c, for_score=True)
             a, b = F.col(left + name), F.col(right + name)
-            if self.kind(c.field, True) not in FUZZY:
+            if self.by_edits(c, for_score=True):
+                score = F.lit(None).cast("double") if c.blank else similarity.levenshtein_similarity(a, b)
+            elif self.kind(c.field, True) not in FUZZY:
                 score = similarity.exact_score(a, b)
             elif c.blank or self.needs_lcs(rule, c, for_score=True):
                 # A condition that demands blanks has no values to score.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contactlink.functions import keys, quality, similarity, text
+from contactlink.functions.keys import field
 from contactlink.operators import blocking, clusters, linking, mapping, matching, reports, standardize
 from contactlink.operators.rules import (
-    DEFAULT_RULES, FIELD_THRESHOLDS, Condition, Rule, RuleSet, active_rules, comparable, default_rules, parse_rules,
+    DEFAULT_RULES, FIELD_THRESHOLDS, Condition, Rule, RuleSet, active_rules, comparable, default_rules, load_json, load_rules,
+    parse_rules,
 )
 from contactlink.operators.skew import with_followers
 from contactlink.operators.storage import materialize, scratch_path
@@ -19,7 +22,9 @@ from contactlink.plans import run as plan
 from contactlink.plans.contacts import contacts, table
 from contactlink.sources import catalog as cat
 from contactlink.sources import files
-from contactlink.sources.keystore import KeyState, KeyStore, empty_state, hashes_per_key, identifiers_per_key, import_mappings
+from contactlink.sources.keystore import (
+    KeyState, KeyStore, LevelledKeyStore, empty_state, hashes_per_key, identifiers_per_key, import_mappings, with_current_key,
+)
 from contactlink.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +59,46 @@ CONDITIONS = {
 
 BLOCKS = [matching.record_block_key, blocking.phone_block, blocking.address_block]
 
+LARGE_BLOCK_RULES = {
+    "rules": {
+        "NAME": {"priority": 1, "conditions": [{"field": "COMPANY_NAME", "percentage": 88}]},
+        "NAME_ADDRESS": {"priority": 2, "conditions": [{"field": "COMPANY_NAME", "percentage": 75}, {"field": "ADDRESS_LINE_1", "percentage": 90}]},
+    }
+}
+
+RULES_FILE = {
+    "rules": {
+        "R90": {
+            "match_reason": "NAME_90",
+            "conditions": [
+                {"field": "COMPANY_NAME", "percentage": "90"},
+                {"field": "ADDRESS_LINE_1", "percentage": "80"},
+                {"field": "ZIP_CODE", "percentage": "100"},
+            ],
+        },
+        "OFF": {"enabled": False, "conditions": [{"field": "ZIP_CODE", "percentage": ""}]},
+    }
+}
+EDIT_RULES = {
+    "rules": {
+        "EDITS": {"conditions": [{"field": "COMPANY_NAME", "percentage": 80, "method": "levenshtein"}, {"field": "ZIP_CODE", "percentage": 100}]}
+    }
+}
+SETTINGS_FILE = {
+    "quality_scores": {
+        "email": {"criteria": {"valid_format": {"max_points": 50}, "non_personal": {"max_points": 7}}},
+        "phone": {"criteria": {"has_10_digits": {"max_points": 30}}},
+    }
+}
+COLUMNS_FILE = {
+    "company": [
+        {"column_name": "ZIP_CODE", "default_selected": True, "sequence": 3},
+        {"column_name": "COMPANY_NAME", "default_selected": True, "sequence": 2},
+        {"column_name": "PHONE_NUMBER", "default_selected": False, "sequence": 1},
+    ],
+    "source": [{"column_name": "RID", "default_selected": True, "sequence": 1}, {"column_name": "NOT_THERE", "default_selected": True, "sequence": 9}],
+}
+
 THRESHOLD_RULES = {
     "rules": {
         "T1": {
@@ -138,6 +183,13 @@ def _stored(spark: SparkSession, folder: str) -> KeyState:
     return store.state()
 
 
+def _json_file(spark: SparkSession, name: str, document: dict) -> str:
+    """A configuration document as a file."""
+    path = scratch_path(spark, name)
+    spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
 # --- scans, sources, sinks -------------------------------------------------------------
 
 
@@ -184,6 +236,42 @@ def a4_file_inventory(spark, folder):
     return files.inventory(spark, path)
 
 
+@query
+def a4_inventory_order(spark, folder):
+    """The inventory of a folder with contacts in seven files, and files of other kinds, by its order."""
+    path = scratch_path(spark, "csv")
+    files.write_csv(contacts(spark, folder).repartitionByRange(7, "RID"), path)
+    listed = files.inventory(spark, path).withColumn("place", F.monotonically_increasing_id())
+    newer = F.lag("modified").over(Window.orderBy("place"))  # a row per file
+    listed = listed.withColumn("in_order", F.coalesce(newer >= F.col("modified"), F.lit(True)))
+    return listed.agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("filename").endswith(".csv") & (F.col("size") > 0)).alias("filled_csv"),
+        F.bool_and("in_order").alias("newest_first"),
+    )
+
+
+@query
+def a6_rules_source(spark, folder):
+    """Best matches by the rules of a file."""
+    rules = load_rules(spark, _json_file(spark, "rules", RULES_FILE))
+    return _best(spark, folder, rules).select(F.col("ord").alias("RID"), F.col("match_ord").alias("match_rid"), "rule_id", "match_reason")
+
+
+@query
+def a7_settings(spark, folder):
+    """Quality totals by the points of a settings file."""
+    points = standardize.quality_points(load_json(spark, _json_file(spark, "settings", SETTINGS_FILE)))
+    return standardize.with_quality(contacts(spark, folder), points).select("RID", "email_quality_total", "phone_quality_total")
+
+
+@query
+def a9_column_config(spark, folder):
+    """Contacts with the columns that a file selects, in its order."""
+    table = cat.column_config_table(spark, _json_file(spark, "columns", COLUMNS_FILE))
+    chosen = [r["column_name"] for r in table.filter("default_selected").orderBy("sequence", "section").collect()]
+    return files.select_output(contacts(spark, folder), chosen)
+
+
 @query
 def a8_column_catalog(spark, folder):
     catalog = cat.default_catalog()
@@ -238,6 +326,23 @@ def a11_two_runs(spark, folder):
     )
 
 
+@query
+def a11_many_runs(spark, folder):
+    """Six runs add their records' hashes, and some of the run before, to a levelled store, each asking it first."""
+    store = LevelledKeyStore(spark, scratch_path(spark, "store")).hash_key
+    clean = materialize(_clean(spark, folder).select("RID", "data_hash"), "hashes")
+    told = None
+    for run in range(6):
+        mine = clean.filter((F.floor(F.col("RID") / 4) % 6 == run) | ((F.floor(F.col("RID") / 4) % 6 == run - 1) & (F.col("RID") % 4 == 2)))
+        hashes = mine.select("data_hash").distinct()
+        known = store.ask(hashes)
+        new = materialize(hashes.join(known.rows, "data_hash", "left_anti").withColumn("dedup_key", keys.minted_key(F.col("data_hash"))), "new-hashes")
+        row = new.agg(F.lit(run).alias("run"), F.count(F.lit(1)).alias("new_hashes")).crossJoin(known.rows.agg(F.count(F.lit(1)).alias("known_hashes")))
+        told = row if told is None else told.unionByName(row)
+        store.add(new, f"run-{run}")
+    return told.select("run", "new_hashes", "known_hashes", F.lit(store.rows().count()).alias("stored"))
+
+
 @query
 def a12_sink_roundtrip(spark, folder):
     path = scratch_path(spark, "csv")
@@ -344,14 +449,30 @@ def b11_required_report(spark, folder):
     return mapping.required_report(contacts(spark, folder).drop("SOURCE_ID"), cat.default_catalog())
 
 
-@query
-def b13_bad_rows(spark, folder):
-    # Unquoted company names: a comma in one makes a row with a surplus field.
+def _unquoted(spark: SparkSession, folder: str) -> str:
+    """Contacts with unquoted company names: a comma in one makes a row with a surplus field."""
     line = F.concat_ws(",", F.col("RID").cast("string"), "COMPANY_NAME", "ZIP_CODE")
     path = scratch_path(spark, "csv")
     lines = contacts(spark, folder).select(line.alias("RID,COMPANY_NAME,ZIP_CODE"))
     lines.write.options(header=True, quote="", escapeQuotes=False, sep="\u0001").csv(path)
-    return files.count_bad_rows(files.read_csv(spark, path, order=None, keep_corrupt=True))
+    return path
+
+
+@query
+def b13_bad_rows(spark, folder):
+    return files.count_bad_rows(files.read_csv(spark, _unquoted(spark, folder), order=None, keep_corrupt=True))
+
+
+@query
+def b13_error_rows(spark, folder):
+    """A run over records of which some do not fit their header."""
+    run = plan.run_match(files.read_csv(spark, _unquoted(spark, folder), keep_corrupt=True))
+    stats = reports.run_statistics(run.result).select("total_records", "errors")
+    told = run.result.select(
+        F.col("RID").cast("bigint").alias("RID"), (F.col("MATCH_REASON") == "ERROR").alias("is_error"),
+        F.col("ERROR").contains(F.col("RID")).alias("has_text"), F.col("DEDUP_KEY").isNull().alias("no_key"),
+    )
+    return told.crossJoin(stats)  # one row
 
 
 # --- joins -----------------------------------------------------------------------------
@@ -456,6 +577,44 @@ def e1_best_match(spark, folder):
     )
 
 
+def _first_of_zip(df: DataFrame):
+    return F.substring(F.coalesce(field(df, "ZIP_CODE"), F.lit("")), 1, 1)
+
+
+@query
+def e1_large_block(spark, folder):
+    """Best matches in eleven blocks, by the first digit of the zip, under rules without equal columns."""
+    rule_set = RuleSet(parse_rules(LARGE_BLOCK_RULES))
+    best = matching.best_match(_narrow(contacts(spark, folder), rule_set, _first_of_zip), rule_set)
+    named = matching.named_matches(best, rule_set)
+    return named.select(F.col("ord").alias("RID"), F.col("match_ord").alias("match_rid"), "rule_id", F.round("company_name_score", 6).alias("score"))
+
+
+@query
+def e2_hot_hash(spark, folder):
+    """Keys where a third of all records share a data hash and many bring keys along."""
+    hot = F.col("RID") % 3 == 0
+    same = {"SOURCE_TYPE": "CRM", "SOURCE_ID": "1", "COMPANY_NAME": "Hot Works", "ADDRESS_LINE_1": "1 Main St", "ADDRESS_LINE_2": "", "PHONE_NUMBER": "4155550000"}
+    df = contacts(spark, folder).withColumns({name: F.when(hot, F.lit(value)).otherwise(F.col(name)) for name, value in same.items()})
+    zip_code = F.lpad((F.floor(F.col("RID") / 6) % 100000).cast("string"), 5, "0")
+    df = df.withColumn("ZIP_CODE", F.when(hot, zip_code).otherwise(F.col("ZIP_CODE")))
+    given = F.when(hot & (F.col("RID") % 6 == 3), F.concat(F.lit("G"), (F.col("RID") % 7).cast("string"))).otherwise("")
+    return plan.run_match(df.withColumn("DEDUP_KEY", given), order="RID").result.select("RID", "DEDUP_KEY", "is_new")
+
+
+@query
+def e3_hot_key(spark, folder):
+    """Identifier lists by pointers, where a third of all records get one key."""
+    company = F.floor(F.col("RID") / 4)
+    hot = (F.col("RID") % 4 == 1) | ((F.col("RID") % 4 == 2) & (company % 3 == 0))
+    run = plan.run_match(contacts(spark, folder).withColumn("DEDUP_KEY", F.when(hot, "HOT").otherwise("")), order="RID", id_lists=False)
+    last = F.col("MATCHED_RECORD_COUNT") - 1
+    asked = run.result.select("RID", "DEDUP_KEY", F.col("MATCHED_RECORD_COUNT").alias("n_ids"), F.floor(last / linking.CHUNK_IDS).alias("chunk"), (last % linking.CHUNK_IDS).cast("int").alias("place"))
+    chunks = run.identifiers.withColumnRenamed("dedup_key", "DEDUP_KEY")
+    found = asked.join(chunks, ["DEDUP_KEY", "chunk"], "left")
+    return found.select("RID", "DEDUP_KEY", "n_ids", F.when(F.col("n_ids") > 0, F.get("identifiers", "place")).alias("last_id"))
+
+
 @query
 def e2_resolve_keys(spark, folder):
     state = _crm_state(spark, folder)
@@ -626,6 +785,21 @@ def k1_clusters(spark, folder):
     return keyed.withColumnRenamed("ord", "RID")
 
 
+@query
+def k1_merge_runs(spark, folder):
+    """Stored keys that a later run brings together: the first run knows every fourth record less and links nothing."""
+    store = KeyStore(spark, scratch_path(spark, "store"))
+    df = contacts(spark, folder)
+    outputs = [
+        plan.run_with_store(rows, store, scratch_path(spark, name), name, RUN_TIME, order="RID", mode="cluster", rules=rules)
+        for name, rows, rules in (("first", df.filter("RID % 4 <> 1"), []), ("second", df, None))
+    ]
+    first, second = (o.select("RID", "DEDUP_KEY") for o in outputs)
+    now = with_current_key(first, store.aliases()).withColumnRenamed("DEDUP_KEY", "first_key_now")
+    stored = store.state().hash_key.select("dedup_key").distinct().count()
+    return second.withColumnRenamed("DEDUP_KEY", "second_key").join(now, "RID", "left").withColumn("stored_keys", F.lit(stored).cast("bigint"))
+
+
 def _over_blocks(spark, folder, blocks) -> DataFrame:
     rule_set = RuleSet(default_rules())
     clean = standardize.standardize(contacts(spark, folder))
@@ -658,6 +832,19 @@ def k4_levenshtein(spark, folder):
     return pairs.select("RID", "other", F.round(score, 6).alias("score"))
 
 
+@query
+def k4_rule_levenshtein(spark, folder):
+    """A rule's condition that compares by edits."""
+    best = _best(spark, folder, parse_rules(EDIT_RULES))
+    return best.select(F.col("ord").alias("RID"), F.col("match_ord").alias("match_rid"), F.round("company_name_score", 6).alias("score"))
+
+
+@query
+def k_engine_version(spark, folder):
+    result = _run(spark, folder, engine_version=True).result
+    return result.select("RID", "MATCHING_ENGINE_VERSION", "MATCH_TIMESTAMP")
+
+
 @query
 def k5_threshold_fallback(spark, folder):
     rules = parse_rules(THRESHOLD_RULES, FIELD_THRESHOLDS)

@@ -70,7 +70,7 @@ def read_csv(
         part = reader.option("columnNameOfCorruptRecord", CORRUPT).csv(group)
         # Found now, before later steps can leave columns out: a record is only checked as far as it is asked for.
         rest = [F.col(f"`{c}`") for c in header]
-        bad = F.when((F.length(F.concat_ws("", *rest)) >= 0) | F.lit(True), F.col(CORRUPT))
+        bad = F.when(F.length(F.concat_ws("", *rest)) >= 0, F.col(CORRUPT))  # never null, but it asks for all columns
         part = part.withColumn(CORRUPT, bad)
         parts.append(_placed(part) if order else part)
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -319,6 +319,34 @@ SELECT p.a AS RID, p.b AS other, {tests},
 FROM pairs p JOIN emails l ON l.RID = p.a JOIN emails r ON r.RID = p.b"""
 
 
+# Contacts of which a third share a data hash; zips differ, so blocks stay small.
+HOT_CONTACTS = f"""SELECT RID, CASE WHEN RID % 3 = 0 THEN 'CRM' ELSE SOURCE_TYPE END AS SOURCE_TYPE, CASE WHEN RID % 3 = 0 THEN '1' ELSE SOURCE_ID END AS SOURCE_ID,
+  CASE WHEN RID % 3 = 0 THEN 'Hot Works' ELSE COMPANY_NAME END AS COMPANY_NAME, CASE WHEN RID % 3 = 0 THEN '1 Main St' ELSE ADDRESS_LINE_1 END AS ADDRESS_LINE_1,
+  CASE WHEN RID % 3 = 0 THEN '' ELSE ADDRESS_LINE_2 END AS ADDRESS_LINE_2, CASE WHEN RID % 3 = 0 THEN lpad(CAST(RID // 6 % 100000 AS STRING), 5, '0') ELSE ZIP_CODE END AS ZIP_CODE,
+  CASE WHEN RID % 3 = 0 THEN '4155550000' ELSE PHONE_NUMBER END AS PHONE_NUMBER, PHONE_EXTENSION, EMAIL_ADDRESS FROM ({CONTACTS})"""
+HOT_GIVEN = "given AS (SELECT RID, CASE WHEN RID % 6 = 3 THEN concat('G', CAST(RID % 7 AS STRING)) END AS key FROM keyed)"
+HOT_KEY = "given AS (SELECT RID, CASE WHEN RID % 4 = 1 OR (RID % 4 = 2 AND RID // 4 % 3 = 0) THEN 'HOT' END AS key FROM keyed)"
+
+
+def large_block() -> str:
+    """Edits bound the ratio from above cheaply, so the subsequence is only computed for few pairs."""
+    near = lambda a, b, p: f"levenshtein({a}, {b}) <= {1 - p / 100:.2f} * (length({a}) + length({b})) AND {ratio(a, b)} >= {p}"
+    return f"""WITH {CLEAN},
+rows AS (SELECT RID, substr(coalesce(ZIP_CODE, ''), 1, 1) AS block, has_company, has_address1, company_t, address1_t FROM keyed),
+near AS (
+  SELECT l.RID AS a, r.RID AS b, l.company_t AS x, r.company_t AS y, l.address1_t AS ax, r.address1_t AS ay, l.has_address1 AND r.has_address1 AS addressed
+  FROM rows l JOIN rows r ON l.block = r.block AND r.RID > l.RID AND l.has_company AND r.has_company
+  WHERE abs(length(l.company_t) - length(r.company_t)) <= 0.25 * (length(l.company_t) + length(r.company_t))
+    AND levenshtein(l.company_t, r.company_t) <= 0.25 * (length(l.company_t) + length(r.company_t))
+),
+matched AS (
+  SELECT a, b, 1 AS rank, 'NAME' AS rule_id, x, y FROM near WHERE {near('x', 'y', 88)}
+  UNION ALL SELECT a, b, 2, 'NAME_ADDRESS', x, y FROM near WHERE addressed AND {near('ax', 'ay', 90)} AND {ratio('x', 'y')} >= 75
+)
+SELECT a AS RID, b AS match_rid, rule_id, round({ratio('x', 'y')}, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY rank, b) AS place FROM matched) WHERE place = 1"""
+
+
 def build() -> dict[str, str]:
     text_columns = ", ".join(f"coalesce({c}, '') AS {c}" for c in COLUMNS)
     total = "(SELECT count(*) FROM contacts) AS total_records"
@@ -345,6 +373,18 @@ def build() -> dict[str, str]:
             row_number() OVER (PARTITION BY RID % 10 ORDER BY RID DESC) AS place FROM contacts""",
         "a2_input_profile": f"{of_contacts} SELECT RID, COMPANY_NAME, CAST(10 AS BIGINT) AS n_columns, {total} FROM contacts ORDER BY RID LIMIT 10",
         "a3_preview": f"{of_contacts} SELECT *, {total} FROM contacts ORDER BY RID LIMIT 100",
+        "a4_inventory_order": "SELECT CAST(7 AS BIGINT) AS files, CAST(7 AS BIGINT) AS filled_csv, true AS newest_first",
+        "a6_rules_source": f"""WITH {CLEAN}, {scored(BLOCK_PAIRS)} SELECT a AS RID, min(b) AS match_rid, 'R90' AS rule_id, 'NAME_90' AS match_reason
+            FROM sims WHERE company_both AND company_sim >= 90 AND address1_both AND address1_sim >= 80 AND zip_both AND zip_sim >= 100 GROUP BY a""",
+        "a7_settings": f"""{quality_table()} SELECT RID,
+            email_quality_total + CASE WHEN email_quality_valid_format > 0 THEN 30 ELSE 0 END - CASE WHEN email_quality_non_personal > 0 THEN 13 ELSE 0 END AS email_quality_total,
+            phone_quality_total + CASE WHEN phone_quality_has_10_digits > 0 THEN 19 ELSE 0 END AS phone_quality_total FROM quality""",
+        "a9_column_config": f"{of_contacts} SELECT RID, COMPANY_NAME, ZIP_CODE, CAST(NULL AS STRING) AS NOT_THERE FROM contacts",
+        "a11_many_runs": f"""WITH {CLEAN}, runs AS (SELECT unnest(range(0, 6)) AS run),
+            mine AS (SELECT DISTINCT run, data_hash FROM keyed, runs WHERE RID // 4 % 6 = run OR (RID // 4 % 6 = run - 1 AND RID % 4 = 2)),
+            first AS (SELECT data_hash, min(run) AS first_run FROM mine GROUP BY data_hash)
+            SELECT CAST(run AS INT) AS run, count(*) FILTER (run = first_run) AS new_hashes, count(*) FILTER (run > first_run) AS known_hashes,
+              (SELECT count(*) FROM first) AS stored FROM mine JOIN first USING (data_hash) GROUP BY run""",
         "a8_column_catalog": f"""{of_contacts}, {CATALOG_TABLE}, {FILLED}
             SELECT c.name, grp AS column_group, required, CAST(len(alternates) AS BIGINT) AS n_alternates, present, filled
             FROM catalog c JOIN filled f ON f.name = c.name""",
@@ -385,6 +425,8 @@ def build() -> dict[str, str]:
               FROM catalog c JOIN filled f ON f.name = c.name WHERE required)
             SELECT name AS required_column, present, filled, (SELECT count(*) FROM contacts) - filled AS blank FROM seen""",
         "b13_bad_rows": f"""{of_contacts} SELECT count(*) AS records, count(*) FILTER (contains(COMPANY_NAME, ',')) AS errors FROM contacts""",
+        "b13_error_rows": f"""{of_contacts} SELECT RID, contains(COMPANY_NAME, ',') AS is_error, CASE WHEN contains(COMPANY_NAME, ',') THEN true END AS has_text,
+            contains(COMPANY_NAME, ',') AS no_key, {total}, (SELECT count(*) FROM contacts WHERE contains(COMPANY_NAME, ',')) AS errors FROM contacts""",
         "c1_candidate_pairs": f"""WITH {CLEAN}, pairs AS ({BLOCK_PAIRS})
             SELECT k.RID, k.block_key, count(p.b) AS n_candidates, min(p.b) AS first_candidate, max(p.b) AS last_candidate
             FROM keyed k LEFT JOIN pairs p ON p.a = k.RID GROUP BY k.RID, k.block_key""",
@@ -415,6 +457,12 @@ def build() -> dict[str, str]:
         ),
         "d9_reason_counts": f"{run} SELECT reason AS MATCH_REASON, count(*) AS records FROM resolved GROUP BY reason",
         "e1_best_match": f"{BEST} SELECT a AS RID, b AS match_rid, rule_id, match_reason FROM best",
+        "e1_large_block": large_block(),
+        "e2_hot_hash": f"{resolved(HOT_GIVEN, best=BEST.replace(CONTACTS, HOT_CONTACTS))} SELECT RID, dedup_key AS DEDUP_KEY, is_new FROM resolved",
+        "e3_hot_key": f"""{resolved(HOT_KEY)}, counted AS (
+              SELECT r.RID, r.dedup_key, r.b, count(l.first_at) AS n, arg_max(l.identifier, l.first_at) AS last
+              FROM resolved r LEFT JOIN links l ON l.dedup_key = r.dedup_key AND l.first_at <= r.RID GROUP BY r.RID, r.dedup_key, r.b)
+            SELECT RID, dedup_key AS DEDUP_KEY, CASE WHEN b IS NULL THEN 0 ELSE n END AS n_ids, CASE WHEN b IS NOT NULL THEN last END AS last_id FROM counted""",
         "e2_resolve_keys": f"{resolved(GIVEN, CRM_STORE)} SELECT RID, dedup_key AS DEDUP_KEY, is_new FROM resolved",
         "e3_matched_ids": f"{given_run} SELECT RID, ids AS MATCHED_RECORD_IDS FROM outcome",
         "f1_result_union": f"""{run} SELECT r.RID, dedup_key AS DEDUP_KEY, reason AS MATCH_REASON, round(company_sim, 2) AS company_name_score
@@ -454,12 +502,26 @@ def build() -> dict[str, str]:
             member AS (SELECT node AS RID, min(root) AS cluster FROM reach GROUP BY node),
             keys AS (SELECT cluster, count(*) AS cluster_size, min(data_hash) AS h FROM member m JOIN keyed k ON k.RID = m.RID GROUP BY cluster)
             SELECT RID, m.cluster, cluster_size, {minted('h')} AS dedup_key FROM member m JOIN keys ON keys.cluster = m.cluster""",
+        "k1_merge_runs": f"""{BEST}, edges AS (SELECT a, b FROM matched UNION SELECT b, a FROM matched),
+            reach AS (SELECT RID AS node, RID AS root FROM keyed UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node),
+            member AS (SELECT node AS RID, min(root) AS cluster FROM reach GROUP BY node),
+            hashes AS (SELECT DISTINCT cluster, data_hash AS h FROM member JOIN keyed USING (RID)),
+            together AS (SELECT DISTINCT x.h AS a, y.h AS b FROM hashes x JOIN hashes y USING (cluster)),
+            merged(h, key) AS (SELECT DISTINCT h, {minted('h')} FROM hashes UNION SELECT t.b, m.key FROM merged m JOIN together t ON t.a = m.h),
+            keys AS (SELECT h, min(key) AS key FROM merged GROUP BY h)
+            SELECT RID, key AS second_key, CASE WHEN RID % 4 <> 1 THEN key END AS first_key_now, (SELECT count(DISTINCT key) FROM keys) AS stored_keys
+            FROM keyed JOIN keys ON h = data_hash""",
         "k2_multi_block": f"WITH {CLEAN}, {scored(many)}, {MATCHED} SELECT a AS RID, b AS match_rid, rule_id FROM best",
         "k2_run": f"""{resolved(best=f"WITH RECURSIVE {CLEAN}, {scored(many)}, {MATCHED}")}
             SELECT RID, reason AS MATCH_REASON, is_new FROM resolved""",
         "k4_levenshtein": f"""{NEIGHBOURS} SELECT p.a AS RID, p.b AS other, round(CASE WHEN l.company_std <> '' AND r.company_std <> '' THEN
             (1.0::DOUBLE - levenshtein(l.company_std, r.company_std)::DOUBLE / greatest(length(l.company_std), length(r.company_std))::DOUBLE) * 100.0::DOUBLE
             ELSE 0.0 END, 6) AS score {PAIR_SIDES}""",
+        "k4_rule_levenshtein": f"""WITH {CLEAN}, pairs AS ({BLOCK_PAIRS}), scores AS (
+              SELECT p.a, p.b, (1.0::DOUBLE - levenshtein(l.company_t, r.company_t)::DOUBLE / greatest(length(l.company_t), length(r.company_t))::DOUBLE) * 100.0::DOUBLE AS score
+              {PAIR_SIDES} WHERE l.has_company AND r.has_company AND l.has_zip AND r.has_zip AND l.zip_t = r.zip_t AND l.company_t <> '' AND r.company_t <> '')
+            SELECT a AS RID, min(b) AS match_rid, round(arg_min(score, b), 6) AS score FROM scores WHERE score >= 80 GROUP BY a""",
+        "k_engine_version": f"{of_contacts} SELECT RID, '1.0' AS MATCHING_ENGINE_VERSION, '2024-01-01T00:00:00.000000' AS MATCH_TIMESTAMP FROM contacts",
         "k5_threshold_fallback": f"""WITH {CLEAN}, {scored(BLOCK_PAIRS)} SELECT a AS RID, min(b) AS match_rid, 'BY_THRESHOLD' AS match_reason
             FROM sims WHERE company_both AND company_sim >= 80 AND address1_both AND address1_sim >= 80
             AND (NOT address2_both OR address2_sim >= 90) AND zip_both AND zip_sim >= 100 GROUP BY a""",

@@ -118,6 +118,37 @@ def test_first_matches_of_tiles_equal_brute_force(seed, percentage, include, lon
     assert tiles.first_matches(left, right, checks, allowed.copy()).tolist() == want
 
 
+@pytest.mark.parametrize("search", [{}, TINY], ids=["direct", "search"])
+def test_a_condition_may_count_edits(spark, search):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _step(row, i, x, b)
+        return row[-1]
+
+    def _step(row, i, x, b):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        return new
+
+    rules = parse_rules({"rules": {"E": {"conditions": [{"field": "COMPANY_NAME", "percentage": 70, "method": "levenshtein"}]}}})
+    records = people(31, 40, hot=True)
+    names = [model.words_sorted(model.company(r["COMPANY_NAME"])) for r in records]
+    score = lambda a, b: 100 * (1 - edits(a, b) / max(len(a), len(b))) if a and b else 0
+    want = {}
+    for i, r in enumerate(records):
+        later = [j for j in range(i + 1, 40) if model.block(records[j]) == model.block(r) and (r["COMPANY_NAME"] or "").strip() and (records[j]["COMPANY_NAME"] or "").strip()]
+        hit = next((j for j in later if score(names[i], names[j]) >= 70), None)
+        if hit is not None:
+            want[i] = hit
+    rule_set = RuleSet(rules)
+    best = matching.best_match(narrow(frame(spark, records), rule_set), rule_set, **search)
+    assert {r.ord // 10: r.match_ord // 10 for r in best.collect()} == want
+    with pytest.raises(ValueError, match="unknown method"):
+        parse_rules({"rules": {"E": {"conditions": [{"field": "CITY", "method": "guess"}]}}})
+
+
 def test_distinct_records_of_a_large_block_are_compared_by_tiles(spark):
     rng = random.Random(12)
     name = lambda: "acme " + "".join(rng.choices("abcdefghijklmnop", k=14))

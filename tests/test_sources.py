@@ -1,14 +1,21 @@
 import gzip
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from contactlink.operators import mapping
+from contactlink.operators import linking, mapping, reports
+from contactlink.operators.rules import parse_rules
+from contactlink.plans.contacts import contacts
 from contactlink.plans.run import run_match, run_with_store
 from contactlink.sources import catalog as cat
 from contactlink.sources import files
-from contactlink.sources.keystore import HASH_KEY, KeyState, KeyStore, empty_state, identifiers_per_key, import_mappings
+from contactlink.sources.keystore import (
+    HASH_KEY, KEY_IDENTIFIER, KeyState, KeyStore, LevelledKeyStore, empty_state, followed, identifiers_per_key, import_mappings,
+    with_current_key,
+)
+from contactlink.sources.levels import LevelledTable
 from contactlink.streaming import incremental
 
 CATALOG = cat.default_catalog()
@@ -181,6 +188,19 @@ def test_bad_records_reach_the_run(spark, tmp_path):
     df = files.read_csv(spark, write(tmp_path / "in", "a.csv", b"COMPANY_NAME,ZIP_CODE\nA,1\nB,2,3,4\nC\n"), keep_corrupt=True)
     run = run_match(df)
     assert run.errors == 2 and run.result.count() == 3
+    rows = {r["COMPANY_NAME"]: r for r in run.result.collect()}
+    assert [rows[c]["MATCH_REASON"] for c in "ABC"] == ["NEW", "ERROR", "ERROR"]
+    assert rows["B"]["ERROR"].endswith("B,2,3,4") and rows["B"]["DEDUP_KEY"] is None and rows["A"]["ERROR"] is None
+    assert reports.run_statistics(run.result).first()["errors"] == 2
+    # Without an order column the scan itself tells them apart, also where only their number is asked for.
+    plain = files.read_csv(spark, str(tmp_path / "in"), order=None, keep_corrupt=True)
+    assert tuple(files.count_bad_rows(plain).first()) == (3, 2) and run_match(plain).errors == 2
+
+
+def test_a_bad_record_may_be_a_partner(spark, tmp_path):
+    lines = b"COMPANY_NAME,ADDRESS_LINE_1,ZIP_CODE,PHONE_NUMBER\nAcme,1 Main St,94105,1\nAcme,1 Main St,94105,1,surplus\n"
+    run = run_match(files.read_csv(spark, write(tmp_path / "in", "a.csv", lines), keep_corrupt=True))
+    assert sorted(r["MATCH_REASON"] for r in run.result.collect()) == ["CMP_ADDR", "ERROR"]
 
 
 def test_replay_reads_the_first_result_and_writers_do_not_clash(spark, tmp_path):
@@ -199,3 +219,85 @@ def test_stream_refuses_exchanged_columns(spark, tmp_path):
     stream = incremental.read_folder(spark, folder, ["id", "name"])
     with pytest.raises(Exception):
         stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_a_levelled_table_reads_what_it_is_asked_for(spark, tmp_path):
+    table = LevelledTable(spark, str(tmp_path / "t"), HASH_KEY, "data_hash", fan=2, ranges=3)
+    assert table.ask(spark.createDataFrame([("a",)], "data_hash string")).rows.count() == 0
+    want, rng = {}, random.Random(1)
+    for run in range(5):
+        rows = {f"h{rng.randrange(60) + 40 * run}": f"k{run}" for _ in range(40)}
+        asked = table.ask(spark.createDataFrame([(h,) for h in rows], "data_hash string"))
+        assert {r["data_hash"]: r["dedup_key"] for r in asked.rows.collect()} == {h: want[h] for h in rows if h in want}
+        assert asked.ranges_read <= asked.ranges <= 3 * 2 * 3
+        table.add(spark.createDataFrame(list(rows.items()), "data_hash string, dedup_key string"), f"run-{run}")
+        want |= rows
+    assert sorted((s.level, s.run) for s in table.sheets()) == [(0, 5), (2, 4)]
+    assert {r["data_hash"]: r["dedup_key"] for r in table.rows().collect()} == want
+    last = table.ask(spark.createDataFrame([(h,) for h in list(want)[-3:]], "data_hash string"))
+    assert last.rows.count() == 3 and last.ranges_read < last.ranges
+    nothing = table.ask(spark.createDataFrame([("unknown",)], "data_hash string"))
+    assert nothing.rows.count() == 0 and nothing.ranges_read == 0
+    assert table.add(spark.createDataFrame([("x", "y")], "data_hash string, dedup_key string"), "run-3") == 4 and len(table.runs()) == 5
+    table.add(spark.createDataFrame([], "data_hash string, dedup_key string"), "empty")
+    assert table.rows().count() == len(want)
+    first = LevelledTable(spark, str(tmp_path / "f"), "k string, v string, run_no bigint, ord bigint", "k", identity=["k", "v"], keep_first=True, fan=2)
+    for run in range(2):
+        first.add(spark.createDataFrame([("a", "x", 5 - run), ("a", f"y{run}", 1)], "k string, v string, ord long"), str(run))
+    assert sorted(map(tuple, first.rows().select("v", "run_no", "ord").collect())) == [("x", 1, 5), ("y0", 1, 1), ("y1", 2, 1)]
+
+
+def test_a_levelled_store_gives_the_keys_of_a_plain_one(spark, sf_dir, tmp_path):
+    df = contacts(spark, sf_dir).filter("RID < 120")
+    plain, levelled = KeyStore(spark, str(tmp_path / "plain")), LevelledKeyStore(spark, str(tmp_path / "levelled"), fan=2, ranges=1)
+    outputs = []
+    for store in (plain, levelled):
+        for run, part in enumerate((df.filter("RID % 3 <> 1"), df)):
+            run_with_store(part, store, str(tmp_path / f"{type(store).__name__}-{run}"), f"run-{run}", order="RID")
+        last = run_with_store(df, store, str(tmp_path / f"{type(store).__name__}-1"), "run-1", order="RID")  # a replay
+        state = store.state() if store is plain else store.whole_state()
+        outputs.append([sorted(map(tuple, t.collect())) for t in (last.select("RID", "DEDUP_KEY", "is_new", "MATCHED_RECORD_IDS"), state.hash_key.select("data_hash", "dedup_key"),
+                        state.key_identifier.select("dedup_key", "identifier"), state.key_hash.select("dedup_key", "data_hash"))])
+        assert store.total_runs() == 2
+    assert outputs[0] == outputs[1]
+
+
+def test_aliases_lead_to_the_last_key(spark):
+    chain = [(f"k{i}", f"k{i + 1}", i) for i in range(9)] + [("x", "k3", 0), ("y", "z", 1), ("y", "k9", 2)]
+    got = {r["alias"]: r["dedup_key"] for r in followed(spark.createDataFrame(chain, "alias string, dedup_key string, run_no long")).collect()}
+    assert got == {**{f"k{i}": "k9" for i in range(9)}, "x": "k9", "y": "k9"}
+
+
+def test_clusters_that_meet_later_share_one_key(spark, tmp_path):
+    store = KeyStore(spark, str(tmp_path / "store"))
+    rows = [(i, str(i), name, "1 Main St", "94105", "4155551234") for i, name in enumerate(["acme works co", "acme wxxks", "zebra", "acme wxrks"])]
+    df = spark.createDataFrame(rows, "RID long, SOURCE_ID string, COMPANY_NAME string, ADDRESS_LINE_1 string, ZIP_CODE string, PHONE_NUMBER string")
+    rules = parse_rules({"rules": {"R": {"conditions": [{"field": "COMPANY_NAME", "percentage": 85}]}}})
+    first = run_with_store(df.filter("RID < 3"), store, str(tmp_path / "one"), "one", order="RID", mode="cluster", rules=rules)
+    before = {r["RID"]: r["DEDUP_KEY"] for r in first.collect()}
+    assert len(set(before.values())) == 3
+    loose = parse_rules({"rules": {"R": {"conditions": [{"field": "COMPANY_NAME", "percentage": 75}]}}})
+    second = run_with_store(df, store, str(tmp_path / "two"), "two", order="RID", mode="cluster", rules=loose)
+    after = {r["RID"]: r["DEDUP_KEY"] for r in second.collect()}
+    assert after[0] == after[1] == after[3] == min(before[0], before[1]) and after[2] == before[2]
+    assert {r["RID"]: r["DEDUP_KEY"] for r in with_current_key(first, store.aliases()).collect()} == {i: after[i] for i in range(3)}
+    assert {r["dedup_key"] for r in store.state().hash_key.collect()} == {after[0], after[2]}
+    assert {r["dedup_key"] for r in identifiers_per_key(store.state()).collect()} == {after[0], after[2]}
+
+
+def test_identifier_pointers_equal_the_lists(spark, sf_dir):
+    df = contacts(spark, sf_dir).filter("RID < 200").withColumn("DEDUP_KEY", F.when(F.col("RID") % 4 == 1, "HOT").when(F.col("RID") % 7 == 2, "B").otherwise(""))
+    known = spark.createDataFrame([("HOT", f"OLD:{i}", i % 3, i) for i in range(40)] + [("HOT", "CRM:10", 9, 1), ("HOT", "OLD:1", 8, 8)], KEY_IDENTIFIER)
+    state = KeyState(empty_state(spark).hash_key, known, empty_state(spark).key_hash)
+    listed = {r["RID"]: r["MATCHED_RECORD_IDS"] for r in run_match(df, order="RID", state=state).result.collect()}
+    run = run_match(df, order="RID", state=state, id_lists=False)
+    records = run.result.select(F.col("RID").alias("ord"), F.col("DEDUP_KEY").alias("dedup_key"), F.col("MATCHED_RECORD_COUNT").alias("n_ids"))
+    texts = {r["ord"]: r["matched_ids"] for r in linking.ids_text(records, run.identifiers).collect()}
+    assert texts == listed and max(map(len, listed.values())) > 400
+    resolved = spark.createDataFrame([(i, "K", f"id{i // 2}", True, False) for i in range(50)], "ord long, dedup_key string, identifier string, is_match boolean, is_new boolean")
+    ranked, entries = linking.with_id_ranks(resolved, empty_state(spark), slice_bits=2)
+    chunks = linking.id_chunks(entries, size=4)
+    assert {r["ord"]: r["n_ids"] for r in ranked.collect()} == {i: i // 2 + 1 for i in range(50)}
+    assert max(len(r["identifiers"]) for r in chunks.collect()) == 4
+    texts = {r["ord"]: r["matched_ids"] for r in linking.ids_text(ranked, chunks, size=4).collect()}
+    assert texts == {i: "|".join(f"id{k}" for k in range(i // 2 + 1)) for i in range(50)}
