@@ -1,8 +1,8 @@
 """Token ids as Arrow files of equal-length sequences with masks.
 
 Each shard is one Arrow file: the stream format with a footer that gives the place of every batch. A batch holds two
-fixed-size-list columns, ``ids`` (16-bit if the vocabulary allows, else 32-bit) and ``mask`` (1 for an id, 0 for padding),
-whose values are one flat buffer, so the place of any sequence, and of any id, follows from its number alone and a mapped file is read without copying. The
+fixed-size-list columns, ``ids`` (16-bit if the vocabulary allows, else 32-bit) and ``mask`` (a bit each, set for ids and
+not for padding), whose values are one flat buffer, so the place of any sequence, and of any id, follows from its number alone and a mapped file is read without copying. The
 documents of a shard follow each other without gaps, so a document is a stretch of the flat values; only the end of a
 shard is padded. Shards follow the order of ids, and a table of shards says where each begins.
 """
@@ -32,7 +32,7 @@ SEQUENCE, BATCH_ROWS, END_ID, PAD_ID = 1024, 256, 1, 0
 
 def file_schema(sequence: int, vocabulary: int) -> pa.Schema:
     kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
-    return pa.schema([("ids", pa.list_(pa.field("item", kind, nullable=False), sequence)), ("mask", pa.list_(pa.field("item", pa.uint8(), nullable=False), sequence))])
+    return pa.schema([("ids", pa.list_(pa.field("item", kind, nullable=False), sequence)), ("mask", pa.list_(pa.field("item", pa.bool_(), nullable=False), sequence))])
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -74,8 +74,7 @@ class TokenFileWriter:
                 return
             real = len(part)
             part = np.append(part, np.full(-real % self.sequence, self.pad_id, self.kind))
-            mask = np.zeros(len(part), np.uint8)
-            mask[:real] = 1
+            mask = np.arange(len(part)) < real
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), type=t) for v, t in zip((part, mask), self.schema.types)]
             self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
             self.written += real
@@ -112,10 +111,11 @@ class TokenFile:
         n = self.reader.num_record_batches
         return 0 if not n else ((n - 1) * self.step + self._values(n - 1, "ids").size) // self.sequence
 
-    def __getitem__(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of a sequence."""
+    def __getitem__(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of a sequence, both views of the file."""
         batch, at = divmod(number * self.sequence, self.step)
-        return tuple(self._values(batch, c)[at : at + self.sequence] for c in ("ids", "mask"))
+        mask = self._batch(batch).column("mask").flatten()
+        return self._values(batch, "ids")[at : at + self.sequence], mask.slice(at, self.sequence)
 
     def ids(self, start: int, length: int) -> np.ndarray:
         """Any stretch of ids; a view if it lies in one batch."""
