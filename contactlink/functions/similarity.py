@@ -185,36 +185,81 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     )
 
 
-_WINDOW_CHARS = 1 << 20
+_STRANDS = 1 << 19  # strands followed at once
 
 
-def _partial(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Best Indel ratio of the shorter string against any substring window of the longer."""
-    best = np.zeros(len(left))
-    rows, short, window, held = [], [], [], 0
+def _strand_starts(short: list[str], long: list[str]) -> np.ndarray:
+    """Semi-local comparison of each pair by a braid of strands (Tiskin): for every column of the longer string, a row
+    each, the column where the strand that leaves the grid there came in; negative if it came in from the side.
+
+    Strands enter a grid of the characters from the top and the left, and two that meet cross unless the characters
+    are equal or they have crossed before. The window ``[l, r)`` then has a common subsequence of its width less the
+    strands that enter at ``l`` or later and leave before ``r``, for all windows out of one pass. The cells of a
+    diagonal do not depend on each other, so a step is one diagonal of all pairs.
+    """
+    m, n = max(map(len, short)), max(map(len, long))
+    a = np.ascontiguousarray(_codes(short, m, 0xFFFFFFFE).T[::-1])  # last character first: a diagonal is a slice of both
+    b = np.ascontiguousarray(_codes(long, n, 0xFFFFFFFF).T)
+    side = np.repeat(np.arange(-m, 0, dtype=np.int32)[:, None], len(short), axis=1)
+    down = np.repeat(np.arange(n, dtype=np.int32)[:, None], len(short), axis=1)
+    for shift in range(1 - m, n):
+        rows = slice(max(0, -shift), min(m, n - shift))
+        columns = slice(rows.start + shift, rows.stop + shift)
+        h, v = side[rows], down[columns]
+        # Padding never matches, and its strands are below all others, so nothing turns there.
+        turn = (a[rows] == b[columns]) | (h > v)
+        side[rows], down[columns] = np.where(turn, v, h), np.where(turn, h, v)
+    return down
+
+
+def _best_windows(short: list[str], long: list[str]) -> np.ndarray:
+    """Best Indel ratio of each short string against the windows of its width in the long one, cut off at both ends."""
+    starts = _strand_starts(short, long)
+    m = np.fromiter(map(len, short), np.int64, len(short))
+    n = np.fromiter(map(len, long), np.int64, len(long))
+    column = np.arange(len(starts))[:, None]
+    leaves = np.full(starts.shape, len(starts))
+    rows, pairs = np.nonzero((starts >= 0) & (column < n))
+    leaves[starts[rows, pairs], pairs] = rows
+
+    def ratios(width: np.ndarray, crossing: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        total = np.maximum(m + width, 1).astype(np.float64)
+        score = (1.0 - (total - 2 * (width - crossing)) / total) * 100.0
+        return np.where(valid, score, 0.0).max(axis=0)
+
+    # Windows by their last column: one strand may come in with it, one may fall out with the column left behind.
+    behind = np.take_along_axis(leaves, np.maximum(column - m, 0), axis=0)
+    gained = starts >= np.maximum(column + 1 - m, 0)
+    crossing = np.cumsum(gained.astype(np.int64) - ((column >= m) & (behind < column)), axis=0)
+    ending = ratios(np.minimum(column + 1, m), crossing, column < n)
+    # Windows cut off by the end, by their first column.
+    inside = (leaves < len(starts)) & (column < n)
+    crossing = np.cumsum(inside[::-1], axis=0)[::-1]
+    return np.maximum(ending, ratios(n - column, crossing, (column > n - m) & (column < n)))
 
-    def settle() -> None:
-        nonlocal held
-        lengths = np.array([len(s) + len(w) for s, w in zip(short, window)], dtype=np.float64)
-        common = lcs_lengths(pd.Series(short), pd.Series(window))
-        np.maximum.at(best, np.array(rows), (1.0 - (lengths - 2 * common) / np.maximum(lengths, 1)) * 100.0)
-        held = 0
-        for held_list in (rows, short, window):
-            held_list.clear()
 
+def _partial(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Best Indel ratio of the shorter string against any window of its width in the longer; strings of one length are
+    tried both ways."""
+    best = np.zeros(len(left))
+    tries = []
     for i, (x, y) in enumerate(zip(left.fillna(""), right.fillna(""))):
-        both_ways = [(x, y), (y, x)] if len(x) == len(y) and x != y else [(x, y) if len(x) <= len(y) else (y, x)]
-        for s, t in both_ways:
-            for start in range(1 - len(s), len(t)):
-                piece = t[max(start, 0) : start + len(s)]
-                rows.append(i)
-                short.append(s)
-                window.append(piece)
-                held += len(piece)
-                if held > _WINDOW_CHARS:  # a bounded number of characters at a time, whatever the texts
-                    settle()
-    if rows:
-        settle()
+        s, t = (x, y) if len(x) <= len(y) else (y, x)
+        if s == t:
+            best[i] = 100.0 if s else 0.0
+        elif s:
+            tries.append((i, s, t))
+            if len(s) == len(t):
+                tries.append((i, t, s))
+    tries.sort(key=lambda one: (len(one[2]), len(one[1])))  # similar lengths share a chunk
+    start = 0
+    while start < len(tries):
+        stop = start + 1
+        while stop < len(tries) and (stop + 1 - start) * 2 * len(tries[stop][2]) <= _STRANDS:
+            stop += 1
+        rows, short, long = zip(*tries[start:stop])
+        np.maximum.at(best, np.array(rows), _best_windows(list(short), list(long)))
+        start = stop
     return pd.Series(best)
 
 

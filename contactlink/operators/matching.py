@@ -58,6 +58,15 @@ def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def _not_met(records: DataFrame) -> Column:
+    """The pair shares no key of an earlier blocking, where it is compared already; see ``by_block``.
+
+    The bounds by copies stay exact: the pair of a record and its copy has its verdict in one table or another.
+    """
+    shared = [F.coalesce(F.col(f"l_{c}") == F.col(f"r_{c}"), F.lit(False)) for c in records.columns if c.startswith(tiles.MET)]
+    return ~_any(shared)
+
+
 def _verdicts(pairs: DataFrame, rules: RuleSet, ranked: list[tuple[int, Rule]]) -> DataFrame:
     """Matched pairs with the rank of their best rule and its scores."""
     used = [rule for _, rule in ranked]
@@ -93,6 +102,7 @@ def _direct_pairs(records: DataFrame, rules: RuleSet, labelled: bool) -> DataFra
     on = (F.col("l_block_key") == F.col("r_block_key")) & (F.col("r_ord") > F.col("l_ord"))
     if labelled:
         on = on & (F.col("l_label") != F.col("r_label"))
+    on = on & _not_met(records)
     possible = _any([rules.eligible(r, "l_") & rules.eligible(r, "r_") & rules.possible(r, "l_", "r_") for r in rules.rules])
     return _verdicts(left.join(right, on & possible), rules, ranked)
 
@@ -131,7 +141,7 @@ def _look(
         todo.withColumns({"low": low, "high": high}).filter("low <= high").withColumn("bucket", F.explode(buckets)), "l_"
     )
     right = _side(everyone.withColumn("bucket", F.floor(F.col("pos") / rows)), "r_")
-    test = F.col("r_pos").between(F.col("l_low"), F.col("l_high")) & rules.possible(rule, "l_", "r_", bags=True)
+    test = F.col("r_pos").between(F.col("l_low"), F.col("l_high")) & _not_met(todo) & rules.possible(rule, "l_", "r_", bags=True)
     for c in ["bucket", *on]:
         test = test & (F.col(f"l_{c}") == F.col(f"r_{c}"))
     if "label" in todo.columns:
@@ -241,9 +251,17 @@ def block_columns(df: DataFrame, blocks: list[Callable[[DataFrame], Column]]) ->
 
 
 def by_block(narrow: DataFrame, n: int) -> list[DataFrame]:
-    """The narrow table once for each of ``n`` blockings; all read the same written table."""
-    names = [f"_block_{i}" for i in range(1, n)]
-    return [(narrow if i == 0 else narrow.withColumn("block_key", F.col(f"_block_{i}"))).drop(*names) for i in range(n)]
+    """The narrow table once for each of ``n`` blockings; all read the same written table.
+
+    A table carries the keys of the blockings before its own, and a pair is compared in the first one where it shares
+    a key, so a pair with several keys in common is compared once.
+    """
+    blocks = ["block_key", *(f"_block_{i}" for i in range(1, n))]
+    rest = [c for c in narrow.columns if c not in blocks]
+    return [
+        narrow.select(*rest, F.col(key).alias("block_key"), *(F.col(c).alias(f"{tiles.MET}{j}") for j, c in enumerate(blocks[:i])))
+        for i, key in enumerate(blocks)
+    ]
 
 
 def best_of_blocks(tables: list[DataFrame]) -> DataFrame:

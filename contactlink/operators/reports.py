@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,28 @@ def block_sizes(df: DataFrame, key: str = "block_key") -> DataFrame:
     return df.groupBy(key).agg(n.alias("rows"), (n * (n - 1) / 2).cast("long").alias("pairs"))
 
 
+def block_gains(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``blocking, pairs, compared``: pairs of records that share the key, and those of them that share none of the
+    keys before it, which is what adding the blocking costs (see ``matching.by_block``).
+
+    No pair is made: pairs that share a set of keys are counted from group sizes, and sets are added and subtracted by
+    inclusion and exclusion. There are 2^n - 1 sets for n blockings, each a narrow aggregate.
+    """
+    n = F.count(F.lit(1))
+    parts = []
+    for i, key in enumerate(keys):
+        for earlier in (c for k in range(i + 1) for c in combinations(keys[:i], k)):
+            both = [key, *earlier]
+            sizes = df.dropna(subset=both).groupBy(*both).agg((n * (n - 1) / 2).cast("long").alias("shared"))
+            sign = -1 if len(earlier) % 2 else 1
+            parts.append(sizes.select(
+                F.lit(i).alias("blocking"), (F.lit(0).cast("long") if earlier else F.col("shared")).alias("pairs"), (F.col("shared") * sign).alias("compared")
+            ))
+    empty = df.sparkSession.createDataFrame([(i, 0, 0) for i in range(len(keys))], "blocking int, pairs long, compared long")
+    rows = reduce(DataFrame.unionByName, parts, empty)
+    return rows.groupBy("blocking").agg(F.sum("pairs").alias("pairs"), F.sum("compared").alias("compared"))
+
+
 def run_statistics(result: DataFrame) -> DataFrame:
     """Counts of a run: all records, matched ones, keys minted for unmatched ones, and errors: bad input records, which
     are results marked so."""

@@ -27,6 +27,8 @@ CHAR_SLOTS, PAIR_SLOTS = 256, 1024
 #: Pairs compared at a time, and survivors of a record looked at first.
 PAIRS_AT_ONCE, FIRST_TRIES = 1 << 18, 4
 _WORD = 64
+#: How columns with the keys of earlier blockings begin; see ``matching.by_block``.
+MET = "met_"
 
 
 @dataclass(frozen=True)
@@ -138,9 +140,7 @@ def first_matches(left: dict[str, list], right: dict[str, list], tests: list[Tes
             ok &= none_a[:, None] & none_b[None, :]
             continue
         if test.kind == "equal":
-            codes = {v: i for i, v in enumerate(dict.fromkeys([*a, *b]))}
-            same = np.array([codes[v] for v in a])[:, None] == np.array([codes[v] for v in b])[None, :]
-            score = np.where(same & (np.array([v != "" for v in a])[:, None]), 100.0, 0.0)
+            score = np.where(_equal(a, b) & (np.array([v != "" for v in a])[:, None]), 100.0, 0.0)
             verdict = _verdict(score, test)
         else:
             strings = Strings(a), Strings(b)
@@ -174,6 +174,13 @@ def first_matches(left: dict[str, list], right: dict[str, list], tests: list[Tes
     return found
 
 
+def _equal(left: list, right: list) -> np.ndarray:
+    """Pairs of equal values; null equals nothing."""
+    codes = {v: i for i, v in enumerate(dict.fromkeys([*left, *right]))}
+    known = np.array([v is not None for v in left])
+    return (np.array([codes[v] for v in left])[:, None] == np.array([codes[v] for v in right])[None, :]) & known[:, None]
+
+
 def search(
     todo: DataFrame, everyone: DataFrame, on: list[str], rules: RuleSet, rule: Rule, start: int, backward: bool, tile_rows: int = TILE_ROWS
 ) -> DataFrame:
@@ -188,7 +195,8 @@ def search(
     high = F.col("pos") - start - 1 if backward else F.col("last")
     tile = lambda c: F.floor(c / tile_rows).cast("long")
     label = F.col("label") if labelled else F.lit(None).cast("long")
-    values = [F.col(c).alias(f"v{i}") for i, c in enumerate(names)]
+    met = [c for c in todo.columns if c.startswith(MET)]
+    values = [*(F.col(c).alias(f"v{i}") for i, c in enumerate(names)), *met]
     left = todo.select(*keys, "ord", "pos", low.alias("low"), high.alias("high"), label.alias("label"), *values).filter("low <= high")
     left = left.withColumn("mine", tile(F.col("pos")))
     spans = left.groupBy(*group, "mine").agg(F.min(tile(F.col("low"))).alias("from"), F.max(tile(F.col("high"))).alias("upto"))
@@ -210,6 +218,8 @@ def search(
             allowed &= these["label"].to_numpy()[:, None] != those["label"].to_numpy()[None, :]
         else:
             allowed &= those["copy"].to_numpy()[None, :] <= pos[:, None]  # an earlier copy after the record had the same verdict
+        for c in met:
+            allowed &= ~_equal(these[c].to_pylist(), those[c].to_pylist())
         used = dict.fromkeys(columns)
         found = first_matches({c: these[c].to_pylist() for c in used}, {c: those[c].to_pylist() for c in used}, renamed, allowed)
         hit = np.flatnonzero(found >= 0)

@@ -820,6 +820,15 @@ def k2_run(spark, folder):
     return _run(spark, folder, blocks=BLOCKS).result.select("RID", "MATCH_REASON", "is_new")
 
 
+@query
+def k2_block_gains(spark, folder):
+    """What each further block key adds in comparisons."""
+    clean = standardize.standardize(contacts(spark, folder))
+    names = [f"key_{i}" for i in range(len(BLOCKS))]
+    keyed = materialize(clean.select(*(block(clean).alias(n) for n, block in zip(names, BLOCKS))), "block-keys")
+    return reports.block_gains(keyed, names)
+
+
 @query
 def k3_soundex_block(spark, folder):
     return _over_blocks(spark, folder, [blocking.soundex_block])

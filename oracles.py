@@ -69,6 +69,17 @@ def lcs(a: str, b: str) -> str:
     return f"(length({a}) - bit_count(list_reduce(list_prepend({full}, {masks}), lambda v, m: {step})))"
 
 
+def soundex(x: str) -> str:
+    """First letter and three digits of the sounds after it; h and w do not part equal sounds, vowels do."""
+    sound = f"translate(upper({x}), 'AEIOUYBFPVCGJKQSXZDTLMNR', '000000111122222222334556')"
+    rest = f"regexp_replace(regexp_replace(substr({sound}, 2), '[HW]', '', 'g'), '[^0-6]', '0', 'g')"
+    digits = f"concat(replace(replace({sound}[1], 'H', '0'), 'W', '0'), {rest})"
+    for d in "123456":
+        digits = f"regexp_replace({digits}, '{d}+', '{d}', 'g')"
+    code = f"concat(upper({x})[1], rpad(substr(replace(substr({digits}, 2), '0', ''), 1, 3), 3, '0'))"
+    return f"CASE WHEN regexp_matches({x}, '^[A-Za-z]') THEN {code} ELSE {x} END"
+
+
 def ratio(a: str, b: str) -> str:
     total = f"(length({a}) + length({b}))"
     return (
@@ -484,6 +495,14 @@ def build() -> dict[str, str]:
             SELECT p.a AS RID, p.b AS other, round({ratio('l.t', 'r.t')}, 6) AS score
             FROM pairs p JOIN stripped l ON l.RID = p.a JOIN stripped r ON r.RID = p.b""",
         "h9_token_set": token_set(),
+        "h10_partial": f"""{NEIGHBOURS}, stripped AS (SELECT RID, {strip('COMPANY_NAME')} AS t FROM keyed),
+            sides AS (SELECT p.a, p.b, l.t AS x, r.t AS y FROM pairs p JOIN stripped l ON l.RID = p.a JOIN stripped r ON r.RID = p.b),
+            ways AS (SELECT a, b, x AS s, y AS t FROM sides WHERE length(x) <= length(y) UNION SELECT a, b, y, x FROM sides WHERE length(y) <= length(x)),
+            spans AS (SELECT a, b, s, t, unnest(range(1 - length(s), length(t))) AS i FROM ways WHERE s <> ''),
+            windows AS (SELECT a, b, s, substr(t, greatest(i, 0) + 1, i + length(s) - greatest(i, 0)) AS w FROM spans),
+            scores AS (SELECT s, w, {ratio('s', 'w')} AS score FROM (SELECT DISTINCT s, w FROM windows))
+            SELECT sides.a AS RID, sides.b AS other, coalesce(best, 0.0::DOUBLE) AS score FROM sides LEFT JOIN (
+              SELECT a, b, round(max(score), 6) AS best FROM windows JOIN scores USING (s, w) GROUP BY a, b) USING (a, b)""",
         "h11_compare": f"""{NEIGHBOURS} SELECT p.a AS RID, p.b AS other, round({ratio('l.company_t', 'r.company_t')}, 6) AS company,
             round({ratio('l.address1_t', 'r.address1_t')}, 6) AS address {PAIR_SIDES}""",
         "h12_exact_compare": f"""{NEIGHBOURS} SELECT p.a AS RID, p.b AS other, {exact('l.phone_std', 'r.phone_std')} AS phone,
@@ -512,8 +531,18 @@ def build() -> dict[str, str]:
             SELECT RID, key AS second_key, CASE WHEN RID % 4 <> 1 THEN key END AS first_key_now, (SELECT count(DISTINCT key) FROM keys) AS stored_keys
             FROM keyed JOIN keys ON h = data_hash""",
         "k2_multi_block": f"WITH {CLEAN}, {scored(many)}, {MATCHED} SELECT a AS RID, b AS match_rid, rule_id FROM best",
+        "k2_block_gains": f"""WITH {CLEAN}, shared AS (
+              SELECT coalesce(k.block_key = o.block_key, false) AS in_0, k.phone_std <> '' AND k.phone_std = o.phone_std AS in_1, {address_key} AS in_2
+              FROM keyed k JOIN (SELECT a, b FROM ({many})) ON a = k.RID JOIN keyed o ON o.RID = b)
+            SELECT CAST(0 AS INT) AS blocking, count(*) FILTER (in_0) AS pairs, count(*) FILTER (in_0) AS compared FROM shared
+            UNION ALL SELECT 1, count(*) FILTER (in_1), count(*) FILTER (in_1 AND NOT in_0) FROM shared
+            UNION ALL SELECT 2, count(*) FILTER (in_2), count(*) FILTER (in_2 AND NOT in_0 AND NOT in_1) FROM shared""",
         "k2_run": f"""{resolved(best=f"WITH RECURSIVE {CLEAN}, {scored(many)}, {MATCHED}")}
             SELECT RID, reason AS MATCH_REASON, is_new FROM resolved""",
+        "k3_soundex_block": f"""WITH {CLEAN}, sounds AS (
+              SELECT *, {soundex("split_part(company_std, ' ', 1)")} AS sound, substr(coalesce(ZIP_CODE, ''), 1, 5) AS zip FROM keyed),
+            {scored("SELECT l.RID AS a, r.RID AS b FROM sounds l JOIN sounds r ON l.sound = r.sound AND l.zip = r.zip AND l.company_std <> '' AND r.RID > l.RID")},
+            {MATCHED} SELECT a AS RID, b AS match_rid, rule_id FROM best""",
         "k4_levenshtein": f"""{NEIGHBOURS} SELECT p.a AS RID, p.b AS other, round(CASE WHEN l.company_std <> '' AND r.company_std <> '' THEN
             (1.0::DOUBLE - levenshtein(l.company_std, r.company_std)::DOUBLE / greatest(length(l.company_std), length(r.company_std))::DOUBLE) * 100.0::DOUBLE
             ELSE 0.0 END, 6) AS score {PAIR_SIDES}""",

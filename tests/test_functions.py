@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,22 @@ def test_lcs_against_dynamic_programming(spark):
     assert got == {i: model.lcs(a, b) for i, (a, b) in rows}
 
 
+def best_window(a, b):
+    short, long_ = sorted((a, b), key=len)
+    ways = [(short, long_), (long_, short)] if len(a) == len(b) else [(short, long_)]
+    return max(model.indel(s, t[max(i, 0): i + len(s)]) for s, t in ways for i in range(1 - len(s), len(t)))
+
+
+@pytest.mark.parametrize("alphabet, longest", [("a", 9), ("ab", 9), ("abc ", 30), ("ae\u0301\U0001f600b", 12)])
+def test_windows_by_strands_equal_brute_force(monkeypatch, alphabet, longest):
+    monkeypatch.setattr(similarity, "_STRANDS", 500)  # several chunks
+    left, right = ([s.strip() or "b" for s in random_strings(seed, 300, longest, alphabet)] for seed in (21, 22))
+    left[0], right[0] = alphabet * 10, alphabet * 60  # much longer than the rest
+    got = similarity._partial(pd.Series(left), pd.Series(right))
+    assert got.tolist() == pytest.approx([best_window(a, b) for a, b in zip(left, right)])
+    assert similarity._partial(pd.Series([None, "", "x"]), pd.Series(["a", "", "x"])).tolist() == [0, 0, 100]
+
+
 def test_similarity_properties(spark):
     left, right = random_strings(5, 80, 12, "ab c"), random_strings(6, 80, 12, "ab c")
     df = spark.createDataFrame(list(zip(left, right)), "a string, b string")
@@ -65,10 +82,7 @@ def test_similarity_properties(spark):
             elif method == "ratio":
                 assert r.x == pytest.approx(model.indel(r.a.strip(), r.b.strip()))
             elif method == "partial":
-                short, long_ = sorted((r.a.strip(), r.b.strip()), key=len)
-                windows = {long_[max(s, 0): s + len(short)] for s in range(1 - len(short), len(long_))}
-                if len(short) != len(long_):
-                    assert r.x == pytest.approx(max(model.indel(short, w) for w in windows))
+                assert r.x == pytest.approx(best_window(r.a.strip(), r.b.strip()))
             else:
                 x, y = set(r.a.split()), set(r.b.split())
                 join = lambda s: " ".join(sorted(s))

@@ -6,9 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import model
-from contactlink.operators import clusters, linking, matching, reports, skew, tiles
+from contactlink.operators import blocking, clusters, linking, matching, reports, skew, tiles
 from contactlink.operators.rules import RuleSet, active_rules, comparator, default_rules, parse_rules
 from contactlink.operators.standardize import standardize
+from contactlink.operators.storage import materialize
 from contactlink.plans.contacts import contacts
 from contactlink.plans.run import run_match
 from contactlink.sources.keystore import KeyState, empty_state
@@ -162,6 +163,65 @@ def test_distinct_records_of_a_large_block_are_compared_by_tiles(spark):
     assert got == want and {(0, 340), (3, 349), (100, 330)} <= set(got.items())
 
 
+def _many_blocks(spark, records):
+    """The narrow table under three blockings, and the pairs that share any of their keys, first blocking first."""
+    blocks = [matching.record_block_key, blocking.phone_block, blocking.address_block]
+    clean = standardize(frame(spark, records))
+    rule_set = RuleSet(default_rules())
+    table = matching.match_columns(clean, rule_set, "RID", blocks[0](clean), extra=matching.block_columns(clean, blocks))
+    table = materialize(table, "narrow")
+    keys = {r.ord // 10: (r.block_key, r._block_1, r._block_2) for r in table.collect()}
+    shared = {
+        (i, j): [k for k in range(3) if keys[i][k] is not None and keys[i][k] == keys[j][k]]
+        for i in keys for j in keys if i < j
+    }
+    return table, rule_set, {pair: same for pair, same in shared.items() if same}
+
+
+@pytest.mark.parametrize("search", [{}, TINY], ids=["direct", "search"])
+def test_several_blockings_equal_brute_force(spark, search):
+    records = people(41, 45, hot=True)
+    table, rule_set, shared = _many_blocks(spark, records)
+    assert any(len(same) > 1 for same in shared.values()) and any(same[0] > 0 for same in shared.values())
+    rules = active_rules(default_rules())
+    links = {}
+    for i, j in sorted(shared):
+        rank = next((n for n, rule in enumerate(rules) if all(model.holds(c, records[i], records[j]) for c in rule.conditions)), None)
+        if rank is not None:
+            links.setdefault(i, []).append((rank, j))
+    tables = matching.by_block(table, 3)
+    best = matching.best_of_blocks([matching.best_match(t, rule_set, **search) for t in tables])
+    assert {r.ord // 10: (r.rule_rank, r.match_ord // 10) for r in best.collect()} == {i: min(found) for i, found in links.items()}
+    if search:  # clusters by short looks are compared elsewhere
+        return
+    root = list(range(len(records)))
+    for i, found in links.items():
+        for _, j in found:
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    got = {r.ord // 10: r.cluster // 10 for r in clusters.cluster_labels(tables, rule_set, **search).collect()}
+    assert got == {i: r for i, r in enumerate(root) if root.count(r) > 1}
+
+
+def test_a_pair_with_several_keys_is_compared_once(spark, monkeypatch):
+    table, rule_set, shared = _many_blocks(spark, people(42, 40, hot=True))
+    seen = []
+    verdicts = matching._verdicts
+
+    def counted(pairs, *rest):
+        seen.extend((r.l_ord // 10, r.r_ord // 10) for r in pairs.select("l_ord", "r_ord").collect())
+        return verdicts(pairs, *rest)
+
+    monkeypatch.setattr(matching, "_verdicts", counted)
+    for t in matching.by_block(table, 3):
+        matching.best_match(t, rule_set).count()
+    assert len(seen) == len(set(seen)) and set(seen) <= set(shared)
+    gains = {r.blocking: (r.pairs, r.compared) for r in reports.block_gains(table, ["block_key", "_block_1", "_block_2"]).collect()}
+    assert gains == {k: (sum(k in s for s in shared.values()), sum(s[0] == k for s in shared.values())) for k in range(3)}
+    nothing = table.limit(0)
+    assert {tuple(r) for r in reports.block_gains(nothing, ["block_key", "_block_1"]).collect()} == {(0, 0, 0), (1, 0, 0)}
+
+
 @pytest.mark.parametrize("with_keys", [True, False])
 def test_run_equals_sequential_model(spark, with_keys):
     records = people(11, 60)
