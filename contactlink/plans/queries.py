@@ -66,6 +66,15 @@ LARGE_BLOCK_RULES = {
     }
 }
 
+PLAN_RULES = {
+    "rules": {
+        "PLACE": {"priority": 1, "conditions": [
+            {"field": "COMPANY_NAME", "percentage": 70}, {"field": "ZIP_CODE", "percentage": 100}, {"field": "PHONE_NUMBER", "percentage": 100}]},
+        "ADDRESS": {"priority": 2, "conditions": [{"field": "COMPANY_NAME", "percentage": 60}, {"field": "ADDRESS_LINE_1", "percentage": 100}]},
+        "NAME": {"priority": 3, "conditions": [{"field": "COMPANY_NAME", "percentage": 88}]},
+    }
+}
+
 RULES_FILE = {
     "rules": {
         "R90": {
@@ -528,6 +537,13 @@ def d1_block_stats(spark, folder):
     return reports.block_sizes(_clean(spark, folder))
 
 
+@query
+def d1_block_plan(spark, folder):
+    """Comparisons of blocks by the first digit of the zip, rule by rule, and the extra key that saves most."""
+    rule_set = RuleSet(parse_rules(PLAN_RULES))
+    return blocking.plan(_narrow(contacts(spark, folder), rule_set, _first_of_zip), rule_set)
+
+
 @query
 def d2_run_stats(spark, folder):
     return reports.run_statistics(_run(spark, folder).result)

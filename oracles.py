@@ -453,6 +453,23 @@ def build() -> dict[str, str]:
         "c9_master_key": f"{given_run} SELECT RID, dedup_key AS DEDUP_KEY, reason AS MATCH_REASON FROM outcome",
         "d1_block_stats": f"""WITH {CLEAN} SELECT block_key, count(*) AS rows, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS pairs
             FROM keyed GROUP BY block_key""",
+        "d1_block_plan": f"""WITH {CLEAN},
+            able AS (SELECT *, substr(coalesce(ZIP_CODE, ''), 1, 1) AS block FROM keyed WHERE company_t <> ''),
+            large AS (SELECT * FROM able WHERE block IN (SELECT block FROM able GROUP BY block HAVING count(*) > 128)),
+            ruled AS (
+              SELECT 'PLACE' AS rule_id, block, concat(zip_t, '/', phone_std) AS everything, zip_t AS first, phone_std AS second FROM large WHERE zip_t <> '' AND phone_std <> ''
+              UNION ALL SELECT 'ADDRESS', block, address1_t, address1_t, NULL FROM large WHERE address1_t <> ''
+              UNION ALL SELECT 'NAME', block, '', NULL, NULL FROM large),
+            whole AS (SELECT rule_id, block, count(*) AS rows FROM ruled GROUP BY ALL),
+            remain AS (SELECT rule_id, block, sum(n * (n - 1) // 2) AS remaining FROM (SELECT rule_id, block, everything, count(*) AS n FROM ruled GROUP BY ALL) GROUP BY ALL),
+            valued AS (SELECT rule_id, block, CASE rule_id WHEN 'PLACE' THEN 'ZIP_CODE' ELSE 'ADDRESS_LINE_1' END AS key, 1 AS place, first AS value FROM ruled WHERE first IS NOT NULL
+              UNION ALL SELECT rule_id, block, 'PHONE_NUMBER', 2, second FROM ruled WHERE second IS NOT NULL),
+            costs AS (SELECT rule_id, block, key, place, sum(n * (n - 1) // 2) AS cost
+              FROM (SELECT rule_id, block, key, place, value, count(*) AS n FROM valued GROUP BY ALL) GROUP BY ALL),
+            chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, block ORDER BY cost, place) AS r FROM costs) WHERE r = 1)
+            SELECT block AS block_key, rule_id, rows, CAST(rows * (rows - 1) // 2 AS BIGINT) AS pairs, key AS extra_key,
+              CAST(coalesce(cost, rows * (rows - 1) // 2) AS BIGINT) AS pairs_with_key, CAST(remaining AS BIGINT) AS pairs_left
+            FROM whole JOIN remain USING (rule_id, block) LEFT JOIN chosen USING (rule_id, block)""",
         "d2_run_stats": f"""{run} SELECT count(*) AS total_records, count(*) FILTER (b IS NOT NULL) AS matched_existing,
             count(*) FILTER (b IS NULL AND is_new) AS new_dedup_keys, CAST(0 AS BIGINT) AS errors FROM resolved""",
         "d3_key_identifiers": f"{run} SELECT dedup_key, string_agg(identifier, '|' ORDER BY first_at) AS identifiers FROM links GROUP BY dedup_key",

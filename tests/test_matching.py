@@ -222,6 +222,32 @@ def test_a_pair_with_several_keys_is_compared_once(spark, monkeypatch):
     assert {tuple(r) for r in reports.block_gains(nothing, ["block_key", "_block_1"]).collect()} == {(0, 0, 0), (1, 0, 0)}
 
 
+def test_block_plan_counts_what_rules_leave(spark):
+    rules = RuleSet(parse_rules({"rules": {
+        "KEYS": {"priority": 1, "conditions": [{"field": "COMPANY_NAME", "percentage": 50}, {"field": "ZIP_CODE", "percentage": 100}, {"field": "SOURCE_ID", "percentage": 100}]},
+        "NONE": {"priority": 2, "conditions": [{"field": "COMPANY_NAME", "percentage": 50}]},
+        "NOBODY": {"priority": 3, "conditions": [{"field": "COMPANY_NAME", "percentage": 50}, {"field": "CITY", "percentage": 100}]},
+    }}))
+    records = people(51, 60)
+    table = materialize(narrow(frame(spark, records), rules), "narrow")
+    name, zip_code, source = (rules.name(c) for c in rules.rules[0].conditions)
+    rows = [r.asDict() for r in table.collect()]
+    pairs = lambda some, *on: sum(all(a[c] == b[c] for c in on) for i, a in enumerate(some) for b in some[:i])
+    want = set()
+    for block in {r["block_key"] for r in rows}:
+        able = [r for r in rows if r["block_key"] == block and r[name]]
+        if len(able) <= 3:
+            continue
+        keyed = [r for r in able if r[zip_code] and r[source]]
+        if keyed:
+            cost, key = min((pairs(keyed, c), i) for i, c in enumerate((zip_code, source)))
+            want.add((block, "KEYS", len(keyed), pairs(keyed), ("ZIP_CODE", "SOURCE_ID")[key], cost, pairs(keyed, zip_code, source)))
+        want.add((block, "NONE", len(able), pairs(able), None, pairs(able), pairs(able)))
+    got = blocking.plan(table, rules, limit=3)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 3
+    assert blocking.plan(table, rules).isEmpty() and blocking.plan(table.limit(0), RuleSet([])).isEmpty()
+
+
 @pytest.mark.parametrize("with_keys", [True, False])
 def test_run_equals_sequential_model(spark, with_keys):
     records = people(11, 60)
