@@ -224,6 +224,17 @@ def a1_multi_file(spark, folder):
     return read.withColumn("place", F.row_number().over(Window.partitionBy(F.col("RID").cast("long") % 10).orderBy(files.ORDER)).cast("long")).drop(files.ORDER)
 
 
+@query
+def a1_many_files(spark, folder):
+    """Contacts in some 2,000 files under three headers."""
+    path = scratch_path(spark, "csv")
+    df = contacts(spark, folder)
+    size = max(1, df.count() // 2000)
+    for share, columns in enumerate((df.columns, df.columns[::-1], sorted(df.columns))):
+        files.write_csv(df.filter(F.col("RID") % 3 == share).select(columns), f"{path}/{share}", max_records=size)
+    return files.read_csv(spark, [f"{path}/{share}" for share in range(3)], order=None).na.fill("")
+
+
 @query
 def a2_input_profile(spark, folder):
     names, first, total = files.profile(contacts(spark, folder), "RID", 10)

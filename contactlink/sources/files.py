@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactlink.operators.mapping import check_names
-from contactlink.operators.storage import materialize
+from contactlink.operators.storage import materialize, scratch_path
 
 ORDER = "_ord"
 CORRUPT = "_corrupt_record"
@@ -22,25 +24,92 @@ CSV_NAME = re.compile(r"\.csv(\.(gz|bz2|zst|lz4|snappy|deflate))?$", re.IGNORECA
 CSV_GLOB = "*.[cC][sS][vV]*"
 #: Bits of a record number that count the records of one split of a file.
 PLACE_BITS = 40
+#: Bytes up to which a file is read whole to find its first record, what opening one counts as, and a task size that no file reaches.
+SMALL_FILE, SMALL_COST, ONE_TASK = 1 << 22, 1 << 16, 1 << 60
 
 
 def csv_options(multi_line: bool = True) -> dict[str, object]:
     return {**_FORMAT, "multiLine": multi_line, "mode": "PERMISSIVE"}
 
 
-def csv_files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """The files to read, by path: those named, whatever their name, and of a folder its CSV files. Lists metadata only."""
-    found: list[str] = []
-    for one in [path] if isinstance(path, str) else path:
-        listed = [r[0] for r in spark.read.format("binaryFile").load(one).select("path").collect()]
-        named = one.rstrip("/").rsplit("/", 1)[-1]
-        found += [f for f in listed if CSV_NAME.search(f) or f.rsplit("/", 1)[-1] == named]
-    return sorted(set(found))
+def _plain(path: str) -> str:
+    """A path without the differences between how files are listed, named and reported by a scan."""
+    return re.sub(r"^([A-Za-z][\w+.-]*):/+", r"\1:/", path).rstrip("/")
 
 
-def _header(spark: SparkSession, path: str, multi_line: bool) -> tuple[str, ...]:
-    """The names in a file's first record; reads no further."""
-    return tuple(spark.read.options(**csv_options(multi_line)).csv(path).columns)
+def _with_sizes(spark: SparkSession, open_cost: int, task_bytes: int | None = None) -> SparkSession:
+    """A session with its own settings of how files are dealt to tasks."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.openCostInBytes", open_cost)
+    if task_bytes:
+        session.conf.set("spark.sql.files.maxPartitionBytes", task_bytes)
+    return session
+
+
+def csv_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, length`` of the files to read: those named, whatever their name, and of a folder its CSV files. One job
+    over the listing, whatever the number of paths; no content is read."""
+    paths = [path] if isinstance(path, str) else list(path)
+    # Named files are told from those of a folder by their whole path, of which a relative one is the end.
+    named = F.array(*(F.lit("/" + re.sub(r"^[A-Za-z][\w+.-]*:/+[^/]*/|^(\./|/)+", "", _plain(p))) for p in paths))
+    session = _with_sizes(spark, SMALL_COST, ONE_TASK)
+    listed = session.read.format("binaryFile").load(paths).select("path", "length").distinct()
+    return listed.filter(F.col("path").rlike(f"(?i){CSV_NAME.pattern}") | F.exists(named, lambda n: F.endswith("path", n)))
+
+
+def _first_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first record of a task's file; what is left of it is not read."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
+
+
+def first_records(spark: SparkSession, listed: DataFrame, multi_line: bool) -> DataFrame:
+    """``file, one_field, record``: the first record of every file that has one, as two jobs whatever the number of files.
+
+    Files up to ``SMALL_FILE`` bytes are read whole, many to a task. Of a larger one a task of its own reads the first
+    record and stops. ``file`` is the path as a scan reports it.
+    """
+    parts = []
+    for small in (True, False):
+        paths = [r.path for r in listed.filter((F.col("length") <= SMALL_FILE) == small).select("path").collect()]
+        if not paths:
+            continue
+        # Many small files to a task; or a task for each file, which is given its records one by one.
+        session = _with_sizes(spark, SMALL_COST) if small else _with_sizes(spark, ONE_TASK, ONE_TASK)
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+        # Records of more than one field do not fit this schema, so their text is kept as it is.
+        reader = session.read.schema(f"_first string, {CORRUPT} string").options(**csv_options(multi_line) | {"header": False})
+        scan = reader.option("columnNameOfCorruptRecord", CORRUPT).csv(paths)
+        text = F.coalesce(CORRUPT, "_first", F.lit("")).alias("record")
+        rows = scan.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.col(CORRUPT).isNull().alias("one_field"), text)
+        if small:
+            rows = rows.withColumn("_place", F.monotonically_increasing_id()).filter("_start = 0").groupBy("file").agg(
+                F.min_by(F.struct("one_field", "record"), "_place").alias("first")).select("file", "first.*")
+        else:
+            rows = rows.drop("_start").mapInArrow(_first_only, "file string, one_field boolean, record string")
+        path = scratch_path(spark, "first-records")
+        rows.write.parquet(path)
+        parts.append(path)
+    return spark.read.schema("file string, one_field boolean, record string").parquet(*parts)
+
+
+def _by_header(spark: SparkSession, path: str | list[str], multi_line: bool) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header, by path. Files whose first records are equal have one header, so only one of them is
+    asked for its names. Paths reach the driver, as they do in any read; empty files are left out."""
+    listed = materialize(csv_files(spark, path), "files")
+    names = {_plain(r.path): r.path for r in listed.collect()}
+    if not names:
+        raise FileNotFoundError(f"no CSV file in {path}")
+    groups = first_records(spark, listed, multi_line).groupBy("one_field", "record").agg(F.sort_array(F.collect_list("file")).alias("files")).select("files").collect()
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for group in sorted(r.files for r in groups):
+        members = [names[_plain(unquote(f))] for f in group]
+        header = tuple(spark.read.options(**csv_options(multi_line)).csv(members[0]).columns)
+        check_names(list(header))
+        by_header.setdefault(header, []).extend(members)
+    return by_header or {(): sorted(names.values())}
 
 
 def read_csv(
@@ -54,17 +123,8 @@ def read_csv(
     path, then place in the file); the numbered table is written once. ``keep_corrupt`` adds the text of records that
     do not fit their header, found in the same scan; ``run_match`` counts them.
     """
-    names = csv_files(spark, path)
-    if not names:
-        raise FileNotFoundError(f"no CSV file in {path}")
-    with ThreadPoolExecutor(16) as pool:
-        headers = list(pool.map(lambda f: _header(spark, f, multi_line), names))
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for name, header in zip(names, headers):
-        check_names(list(header))
-        by_header.setdefault(header, []).append(name)
     parts = []
-    for header, group in by_header.items():
+    for header, group in _by_header(spark, path, multi_line).items():
         fields = [T.StructField(c, T.StringType()) for c in (*header, CORRUPT)]
         reader = spark.read.schema(T.StructType(fields)).options(**csv_options(multi_line), enforceSchema=False)
         part = reader.option("columnNameOfCorruptRecord", CORRUPT).csv(group)
@@ -156,13 +216,14 @@ def select_output(df: DataFrame, columns: list[str] | None) -> DataFrame:
     )
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV part files with a header; blanks are empty, white space is kept as it is."""
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", max_records: int = 0) -> None:
+    """CSV part files with a header, of at most ``max_records`` records if that is given; blanks are empty, white space is
+    kept as it is."""
     # Unquoted blanks, and no trimming of values, are not the writer's defaults.
     (
         df.write.mode(mode)
         .options(header=True, quote='"', escape='"', emptyValue="", nullValue="",
-                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxRecordsPerFile=max_records)
         .csv(path)
     )
 

@@ -380,6 +380,7 @@ def build() -> dict[str, str]:
     )
     out = {
         "a1_csv_scan": f"{of_contacts} SELECT CAST(RID AS STRING) AS RID, {text_columns} FROM contacts",
+        "a1_many_files": f"{of_contacts} SELECT CAST(RID AS STRING) AS RID, {text_columns} FROM contacts",
         "a1_multi_file": f"""{of_contacts} SELECT CAST(RID AS STRING) AS RID, {text_columns},
             row_number() OVER (PARTITION BY RID % 10 ORDER BY RID DESC) AS place FROM contacts""",
         "a2_input_profile": f"{of_contacts} SELECT RID, COMPANY_NAME, CAST(10 AS BIGINT) AS n_columns, {total} FROM contacts ORDER BY RID LIMIT 10",

@@ -184,6 +184,49 @@ def test_files_are_read_by_header_and_in_order(spark, tmp_path):
     assert sorted(r["id"] for r in named.collect()) == ["1", "2", "9"]
 
 
+def jobs_of(spark, name, action):
+    """What the action gives, and the number of Spark jobs it starts."""
+    spark.sparkContext.setJobGroup(name, name)
+    result = action()
+    started = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setJobGroup("other", "other")
+    return result, started
+
+
+def test_headers_of_many_files_take_as_many_jobs_as_those_of_few(spark, tmp_path, monkeypatch):
+    headers = [b"id,name\n", b"name,id\n", b'"id","na\nme"\n']
+    started, rows = {}, {}
+    for count in (102, 204):  # Spark lists over 32 paths in a job of its own
+        folder = tmp_path / f"in {count}+%41"
+        folder.mkdir()
+        for i in range(count):
+            (folder / f"f {i:03d}%20+é.csv").write_bytes(headers[i % 3] + (b"x%d,%d\n" % (i, i) if i % 3 == 1 else b"%d,x%d\n" % (i, i)))
+        (folder / "empty.csv").write_bytes(b"")
+        df, started[count] = jobs_of(spark, f"read-{count}", lambda: files.read_csv(spark, str(folder), order=None))
+        rows[count] = {r["id"]: r["name"] or r["na\nme"] for r in df.collect()}
+        assert sorted(df.columns) == ["id", "na\nme", "name"] and rows[count] == {str(i): f"x{i}" for i in range(count)}
+    assert started[102] == started[204]
+    # The same where no file is small enough to be read whole.
+    monkeypatch.setattr(files, "SMALL_FILE", 0)
+    for multi_line in (True, False):
+        df = files.read_csv(spark, str(write(tmp_path / "large", "a.csv", b"\nid,name\n" + b"1,x\n" * 9000)), multi_line, order=None)
+        assert df.columns == ["id", "name"] and df.count() == 9000
+    few = [str(tmp_path / "in 204+%41" / f"f {i:03d}%20+é.csv") for i in range(9)]
+    large = files.read_csv(spark, few, order=None)
+    assert {r["id"]: r["name"] or r["na\nme"] for r in large.collect()} == {str(i): f"x{i}" for i in range(9)}
+
+
+def test_first_records_tell_fields_from_quoted_text(spark, tmp_path):
+    write(tmp_path / "in", "a.csv", b'"A,B"\n1\n')
+    write(tmp_path / "in", "b.csv", b"A,B\n2,3\n")
+    df = files.read_csv(spark, str(tmp_path / "in"), order=None)
+    assert df.columns == ["A,B", "A", "B"] and sorted((r[0] or "", r[1] or "") for r in df.collect()) == [("", "2"), ("1", "")]
+    write(tmp_path / "none", "a.csv", b"\n\n")
+    assert files.read_csv(spark, str(tmp_path / "none"), order=None).count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.read_csv(spark, write(tmp_path / "other", "notes.txt", b"x"))
+
+
 def test_bad_records_reach_the_run(spark, tmp_path):
     df = files.read_csv(spark, write(tmp_path / "in", "a.csv", b"COMPANY_NAME,ZIP_CODE\nA,1\nB,2,3,4\nC\n"), keep_corrupt=True)
     run = run_match(df)
