@@ -784,6 +784,37 @@ def i1_incremental(spark, folder):
     return spark.read.parquet(output).select("RID", "DEDUP_KEY")
 
 
+@query
+def i1_levelled(spark, folder):
+    """Three micro-batches against a levelled store; the last has records of the others once more."""
+    drop, output, store = (scratch_path(spark, n) for n in ("drop", "output", "store"))
+    df = contacts(spark, folder)
+    files.write_csv(df.repartitionByRange(4, "RID"), drop)
+    stream = incremental.read_folder(spark, drop, df.columns, max_files=2).withColumn("RID", F.col("RID").cast("bigint"))
+    progress = scratch_path(spark, "progress")
+    incremental.incremental_dedup(stream, store, output, progress, order="RID", levelled=True).awaitTermination()
+    files.write_csv(df.filter(F.col("RID") % 7 == 0).coalesce(1), drop, mode="append")
+    incremental.incremental_dedup(stream, store, output, progress, order="RID", levelled=True).awaitTermination()
+    result = spark.read.parquet(output)
+    return result.groupBy("RID", "DEDUP_KEY").agg(F.count(F.lit(1)).alias("times"), F.count_if((F.col("batch") == 2) & F.col("is_new")).alias("new_again"))
+
+
+@query
+def i1_stateful(spark, folder):
+    """Keys as the state of a stream that starts with the old keys of source CRM; some records arrive a second time."""
+    drop, output, progress = (scratch_path(spark, n) for n in ("drop", "output", "progress"))
+    df = contacts(spark, folder)
+    files.write_csv(df.repartitionByRange(4, "RID"), drop)
+    stream = incremental.read_folder(spark, drop, df.columns, max_files=2)
+    known = _crm_state(spark, folder)
+    incremental.stateful_keys(stream, output, progress, "RID", known).awaitTermination()
+    files.write_csv(df.filter(F.col("RID") % 3 == 0), drop, mode="append")
+    incremental.stateful_keys(stream, output, progress, "RID", known).awaitTermination()
+    keyed = spark.read.schema(incremental.HASH_KEYS).parquet(output)
+    return keyed.groupBy("data_hash", "dedup_key").agg(
+        F.min("first_ord").alias("first_rid"), F.sum("n_records").alias("n_records"), F.count_if("is_new").alias("times_new"))
+
+
 @query
 def i2_stream_quality(spark, folder):
     drop, output = (scratch_path(spark, n) for n in ("drop", "output"))

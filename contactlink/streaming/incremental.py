@@ -1,15 +1,25 @@
-"""Incremental runs over arriving files, and stateless enrichment of a stream."""
+"""Incremental runs over arriving files, keys held as state of a stream, and stateless enrichment of a stream."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from contactlink.operators.standardize import standardize, with_quality
+from contactlink.functions.keys import minted_key
+from contactlink.operators.standardize import standardize, with_data_hash, with_quality
+from contactlink.operators.storage import work_dir
 from contactlink.plans.run import run_with_store
 from contactlink.sources.files import CSV_GLOB, csv_options
-from contactlink.sources.keystore import KeyStore
+from contactlink.sources.keystore import KeyState, KeyStore, LevelledKeyStore
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def text_schema(columns: list[str]) -> T.StructType:
@@ -27,9 +37,11 @@ def read_folder(spark: SparkSession, path: str, columns: list[str], max_files: i
 
 
 def incremental_dedup(
-    stream: DataFrame, store_path: str, output: str, checkpoint: str, name: str = "dedup", order: str | None = None, **options
+    stream: DataFrame, store_path: str, output: str, checkpoint: str, name: str = "dedup", order: str | None = None,
+    levelled: bool = False, **options
 ) -> StreamingQuery:
-    """Match every micro-batch against the key store and add its keys to it.
+    """Match every micro-batch against the key store and add its keys to it. With ``levelled`` the store is a
+    ``LevelledKeyStore``: a batch reads the ranges that may hold its hashes instead of aggregating the whole log.
 
     A batch writes its own folder under ``output`` and commits under its batch id. After a
     failure the batch is repeated: an uncommitted one overwrites its folder, a committed
@@ -37,7 +49,7 @@ def incremental_dedup(
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        store = KeyStore(batch.sparkSession, store_path)
+        store = (LevelledKeyStore if levelled else KeyStore)(batch.sparkSession, store_path)
         run_id = f"{name}-{batch_id}"
         if not store.has_run(run_id):
             run_with_store(batch, store, f"{output}/batch={batch_id}", run_id, order=order, **options)
@@ -50,6 +62,79 @@ def incremental_dedup(
     )
 
 
+#: What a batch adds to a hash: its records, the first of them, and whether the hash was unknown before.
+HASH_KEYS = "data_hash string, dedup_key string, first_ord long, n_records long, is_new boolean"
+_SUMS = "data_hash string, minted string, first_ord long, n_records long"
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per hash of each batch, so the records of a popular hash do not all go to its task."""
+    for batch in batches:
+        sums = pa.Table.from_batches([batch]).group_by(["data_hash", "minted"]).aggregate([("ord", "min"), ([], "count_all")])
+        sums = sums.select(["data_hash", "minted", "ord_min", "count_all"]).rename_columns(["data_hash", "minted", "first_ord", "n_records"])
+        yield from sums.to_batches()
+
+
+class _HashKeys(StatefulProcessor):
+    """The key of a hash is its state: the one it had at the start, or the one minted when it was first seen."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.key = handle.getValueState("dedup_key", "dedup_key string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.key.update((initialState["dedup_key"].iloc[0],))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        minted, first, count = None, None, 0
+        for part in rows:
+            minted = part["minted"].iloc[0]
+            firsts = part["first_ord"].dropna()
+            if len(firsts):
+                first = int(firsts.min()) if first is None else min(first, int(firsts.min()))
+            count += int(part["n_records"].sum())
+        is_new = not self.key.exists()
+        if is_new:
+            self.key.update((minted,))
+        yield pd.DataFrame({"data_hash": [key[0]], "dedup_key": [self.key.get()[0]], "first_ord": pd.array([first], "Int64"), "n_records": [count], "is_new": [is_new]})
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_keys(stream: DataFrame, output: str, checkpoint: str, order: str, known: KeyState | None = None) -> StreamingQuery:
+    """Write ``data_hash, dedup_key, first_ord, n_records, is_new`` for every hash of every micro-batch.
+
+    Keys are the keyed state of the stream, so a batch reads and writes only what it has itself, however many came before.
+    ``known`` gives the hashes that have keys already, when the stream starts for the first time; after a failure the
+    checkpoint has them, and a batch that is repeated gives the rows it gave before. Records that arrive again have the
+    key they had and are not new. Records without an order number count as their hash's, and not as its first; a hash has
+    no first if all are. Partners are not looked for and keys that records bring along are not read:
+    ``incremental_dedup`` does that.
+    """
+    spark = stream.sparkSession
+    hashes = with_data_hash(standardize(stream)).select(
+        "data_hash", minted_key(F.col("data_hash")).alias("minted"), F.col(f"`{order}`").cast("long").alias("ord"))
+    seeds = None
+    if known:
+        latest = known.hash_key.groupBy("data_hash").agg(F.max_by("dedup_key", "run_no").alias("dedup_key"))
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(work_dir(spark))
+        # A plan over files cannot be sent to the tasks that start the state; a checkpoint can.
+        seeds = latest.checkpoint().groupBy("data_hash")
+    keyed = hashes.mapInArrow(_summed, _SUMS).groupBy("data_hash").transformWithStateInPandas(
+        _HashKeys(), outputStructType=HASH_KEYS, outputMode="Append", timeMode="None", initialState=seeds)
+    # A query copies the settings it is started under; state of this kind needs this store.
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return (
+            keyed.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
 def enrich_stream(stream: DataFrame) -> DataFrame:
     """Standardised and quality columns on a stream; row by row, without state."""
     return with_quality(standardize(stream))

@@ -533,6 +533,12 @@ def build() -> dict[str, str]:
         "h18_block_key": f"WITH {CLEAN} SELECT RID, block_key FROM keyed",
         "h19_data_hash": f"WITH {CLEAN} SELECT RID, data_hash FROM keyed",
         "i1_incremental": f"WITH {CLEAN} SELECT RID, {minted('data_hash')} AS DEDUP_KEY FROM keyed",
+        "i1_levelled": f"""WITH {CLEAN} SELECT RID, {minted('data_hash')} AS DEDUP_KEY, CASE WHEN RID % 7 = 0 THEN 2 ELSE 1 END AS times,
+            CAST(0 AS BIGINT) AS new_again FROM keyed""",
+        "i1_stateful": f"""WITH {CLEAN}, old AS (SELECT DISTINCT data_hash AS h FROM keyed WHERE upper(trim(SOURCE_TYPE)) = 'CRM')
+            SELECT data_hash, CASE WHEN h IS NULL THEN {minted('data_hash')} ELSE concat('OLD-', data_hash) END AS dedup_key, min(RID) AS first_rid,
+              count(*) + count(*) FILTER (RID % 3 = 0) AS n_records, CASE WHEN h IS NULL THEN 1 ELSE 0 END AS times_new
+            FROM keyed LEFT JOIN old ON h = data_hash GROUP BY data_hash, h""",
         "i2_stream_quality": f"{quality_table()} SELECT RID, email_quality_total, phone_quality_total FROM quality",
         "k1_clusters": f"""{BEST}, edges AS (SELECT a, b FROM matched UNION SELECT b, a FROM matched),
             reach AS (SELECT RID AS node, RID AS root FROM keyed UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node),

@@ -1,5 +1,6 @@
 import gzip
 import random
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -163,6 +164,49 @@ def test_batches_of_a_stream_agree_with_one_run(spark, tmp_path):
     assert KeyStore(spark, arguments[0]).total_runs() == 2
 
 
+def test_keys_as_state_of_a_stream(spark, tmp_path):
+    names = ["Acme", "Zeta", "Acme", "Eta"]
+    df = people(spark, names).drop("RID")
+    drop, out, progress = (str(tmp_path / n) for n in ("drop", "out", "progress"))
+    hashes = run_match(people(spark, names), order="RID").changes.hash_key.select("data_hash", "dedup_key").collect()
+    minted = {r.data_hash: r.dedup_key for r in hashes}
+    old = sorted(minted)[0]
+    known = replace(empty_state(spark), hash_key=spark.createDataFrame([(old, "older", 1), (old, "old", 2), ("unseen", "x", 1)], HASH_KEY))
+    known.hash_key.write.parquet(str(tmp_path / "known"))
+    known = replace(known, hash_key=spark.read.parquet(str(tmp_path / "known")))
+    read, batches = [], [([1, 2, 3, 4], 4), ([5, None, 7, 8], 4), ([], 0), ([1, 2, 3, 4] * 500, 2000)]
+    for numbers, _ in batches:  # batches of equal contacts; the second has a record without a number, the last one many copies
+        rows = [(n, *r) for n, r in zip(numbers, df.collect() * 500)]
+        part = spark.createDataFrame(rows, f"RID long, {', '.join(f'`{c}` string' for c in df.columns)}")
+        files.write_csv(part.coalesce(1), drop, mode="append")
+        stream = incremental.read_folder(spark, drop, part.columns)
+        query = incremental.stateful_keys(stream, out, progress, "RID", known)
+        query.awaitTermination()
+        read.append(sum(p["numInputRows"] for p in query.recentProgress))
+    assert read == [n for _, n in batches]  # earlier batches are not read again
+    assert spark.conf.get(incremental.STATE_STORE, None) is None or "RocksDB" not in spark.conf.get(incremental.STATE_STORE)
+    got = spark.read.schema(incremental.HASH_KEYS).parquet(out).collect()
+    want = minted | {old: "old"}
+    assert {r.data_hash: r.dedup_key for r in got} == want and len({(r.data_hash, r.dedup_key) for r in got}) == len(want)
+    for h in want:
+        mine = [r for r in got if r.data_hash == h]
+        assert sum(r.is_new for r in mine) == (h != old) and [r.first_ord for r in mine].count(None) <= 1
+    assert sum(r.n_records for r in got) == 2008
+
+
+def test_a_stream_on_a_levelled_store(spark, tmp_path):
+    df = people(spark, ["Acme", "Acme Inc", "Zeta", "Acme Co", "Eta"]).withColumn("RID", F.col("RID").cast("string"))
+    drop, arguments = str(tmp_path / "drop"), [str(tmp_path / n) for n in ("store", "out", "progress")]
+    for part in (df.filter("RID < 3"), df.filter("RID >= 3"), df.filter("RID = 1")):
+        files.write_csv(part.coalesce(1), drop, mode="append")
+    stream = incremental.read_folder(spark, drop, df.columns, max_files=1).withColumn("RID", F.col("RID").cast("long"))
+    incremental.incremental_dedup(stream, *arguments, order="RID", levelled=True).awaitTermination()
+    got = spark.read.parquet(arguments[1]).collect()
+    once = run_match(df.withColumn("RID", F.col("RID").cast("long")), order="RID").result
+    assert {r.RID: r.DEDUP_KEY for r in got} == {r.RID: r.DEDUP_KEY for r in once.collect()} and len(got) == 6
+    assert LevelledKeyStore(spark, arguments[0]).total_runs() == 3 and not any(r.is_new for r in got if r.batch == 2)
+
+
 def test_required_report(spark):
     df = spark.createDataFrame([("CRM", " "), ("CRM", "x")], "SOURCE_TYPE string, COMPANY_NAME string")
     rows = {r.required_column: (r.present, r.filled, r.blank) for r in mapping.required_report(df, CATALOG).collect()}
