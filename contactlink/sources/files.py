@@ -38,8 +38,12 @@ def _plain(path: str) -> str:
 
 
 def _with_sizes(spark: SparkSession, open_cost: int, task_bytes: int | None = None) -> SparkSession:
-    """A session with its own settings of how files are dealt to tasks."""
+    """A session with its own settings of how files are dealt to tasks, and the other settings of ``spark``, such as those
+    by which a store is reached."""
     session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if not key.startswith("spark.") or spark.conf.isModifiable(key):
+            session.conf.set(key, value)
     session.conf.set("spark.sql.files.openCostInBytes", open_cost)
     if task_bytes:
         session.conf.set("spark.sql.files.maxPartitionBytes", task_bytes)

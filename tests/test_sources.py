@@ -260,6 +260,18 @@ def test_headers_of_many_files_take_as_many_jobs_as_those_of_few(spark, tmp_path
     assert {r["id"]: r["name"] or r["na\nme"] for r in large.collect()} == {str(i): f"x{i}" for i in range(9)}
 
 
+def test_files_are_dealt_by_a_session_with_the_same_settings(spark):
+    spark.conf.set("fs.some.key", "value")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        session = files._with_sizes(spark, 77)
+        assert [session.conf.get(k) for k in ("fs.some.key", "spark.sql.caseSensitive", "spark.sql.files.openCostInBytes")] == ["value", "true", "77"]
+        assert spark.conf.get("spark.sql.files.openCostInBytes") != "77"
+    finally:
+        spark.conf.unset("fs.some.key")
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
 def test_first_records_tell_fields_from_quoted_text(spark, tmp_path):
     write(tmp_path / "in", "a.csv", b'"A,B"\n1\n')
     write(tmp_path / "in", "b.csv", b"A,B\n2,3\n")
