@@ -9,6 +9,7 @@ pandas UDF; everything around it is native.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -160,29 +161,47 @@ def ratio(a: Column, b: Column) -> Column:
     return indel_ratio(text.strip(a), text.strip(b))
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Best of the shared tokens against each side, and of the sides without them."""
-    tokens = [F.sort_array(F.array_distinct(F.split(text.strip(x), f"[{text.SPACE}]+"))) for x in (a, b)]
-    both = F.array_join(F.array_intersect(*tokens), " ")
-    only_a = F.array_join(F.array_except(tokens[0], tokens[1]), " ")
-    only_b = F.array_join(F.array_except(tokens[1], tokens[0]), " ")
-    gap = F.when(both != "", 1).otherwise(0)
-    n_both, n_a, n_b = F.length(both), F.length(only_a), F.length(only_b)
-    with_a, with_b = n_both + gap + n_a, n_both + gap + n_b
-
-    def score(distance: Column, total: Column) -> Column:
-        return F.when(total > 0, F.lit(100.0) - distance * 100.0 / total).otherwise(0.0)
+_SPACES = re.compile("[" + "".join(map(re.escape, text.SPACE_CHARACTERS)) + "]+")
+
+
+def _token_set(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Scores of stripped texts that are not empty; nulls and empty texts score 0."""
+    n = len(left)
+    both, only_a, only_b, blank = np.zeros(n), [""] * n, [""] * n, np.zeros(n, bool)
+    for i, (x, y) in enumerate(zip(left.fillna(""), right.fillna(""))):
+        if not x or not y:
+            blank[i] = True
+            continue
+        a, b = set(_SPACES.split(x)), set(_SPACES.split(y))
+        both[i] = len(" ".join(a & b))
+        only_a[i], only_b[i] = " ".join(sorted(a - b)), " ".join(sorted(b - a))
+    lcs = lcs_lengths(pd.Series(only_a, dtype=object), pd.Series(only_b, dtype=object))
+    n_a, n_b = (np.fromiter(map(len, side), np.float64, n) for side in (only_a, only_b))
+    shared = both > 0
+    with_a, with_b = both + shared + n_a, both + shared + n_b
+
+    def score(distance: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.where(total > 0, 100.0 - distance * 100.0 / np.maximum(total, 1), 0.0)
 
     # With a common prefix the Indel distance is that of the remainders.
-    rest = score(n_a + n_b - 2 * lcs_length(only_a, only_b), with_a + with_b)
-    side_a = F.when(both != "", score(gap + n_a, n_both + with_a)).otherwise(0.0)
-    side_b = F.when(both != "", score(gap + n_b, n_both + with_b)).otherwise(0.0)
-    blank = text.is_blank(a) | text.is_blank(b)
-    return (
-        F.when(blank, 0.0)
-        .when((both != "") & ((only_a == "") | (only_b == "")), 100.0)
-        .otherwise(F.greatest(rest, side_a, side_b))
-    )
+    best = score(n_a + n_b - 2 * lcs, with_a + with_b)
+    for rest, side in ((n_a, with_a), (n_b, with_b)):
+        best = np.where(shared, np.maximum(best, score(1 + rest, both + side)), best)
+    best[shared & ((n_a == 0) | (n_b == 0))] = 100.0
+    return pd.Series(np.where(blank, 0.0, best))
+
+
+@F.pandas_udf(T.DoubleType())
+def _token_set_udf(left: pd.Series, right: pd.Series) -> pd.Series:
+    return _token_set(left, right)
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Best of the shared tokens against each side, and of the sides without them.
+
+    In one call: as column expressions each use of a token list repeats what it is made of.
+    """
+    return _token_set_udf(text.strip(a), text.strip(b))
 
 
 _STRANDS = 1 << 19  # strands followed at once

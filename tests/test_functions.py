@@ -152,3 +152,18 @@ def test_bag_bound_never_rejects(spark):
     bound = similarity.bag_bound(a, b, [(F.col("a0"), F.col("b0")), (F.col("a1"), F.col("b1"))])
     for r in df.select("a", "b", bound.alias("bound")).collect():
         assert r.bound >= model.indel(r.a, r.b) - 1e-9
+
+
+def test_token_set_cleans_each_text_once(spark):
+    """Scores of hand-made pairs, and a plan that has each text's cleaning once."""
+    pairs = [("a b", "b a", 100.0), ("new  york mets", "york", 100.0), ("", "x", 0.0), (None, "x", 0.0), ("ab", "cd", 0.0), ("x ab", "x ac", 75.0), ("b\u2003a\u00a0", "a c", 66.666667)]
+    df = spark.createDataFrame(pairs, "a string, b string, want double")
+    scored = df.withColumn("got", similarity.token_set_ratio(F.col("a"), F.col("b")))
+    assert [round(r.got, 6) for r in scored.collect()] == [p[2] for p in pairs]
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("btrim") <= 2
+
+
+def test_address_words_are_shortened_whole(spark):
+    words = " ".join(text.ADDRESS_SHORT) + " streets lane north northern"
+    row = spark.range(1).select(text.address_std(F.lit(words)).alias("x"), text.company_std(F.lit("The Inc an Incan co.")).alias("c")).first()
+    assert row.x == " ".join(text.ADDRESS_SHORT.values()) + " streets ln n northern" and row.c == "incan"
