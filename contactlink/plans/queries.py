@@ -16,7 +16,7 @@ from contactlink.operators.rules import (
     DEFAULT_RULES, FIELD_THRESHOLDS, Condition, Rule, RuleSet, active_rules, comparable, default_rules, load_json, load_rules,
     parse_rules,
 )
-from contactlink.operators.skew import with_followers
+from contactlink.operators.skew import with_followers, with_position
 from contactlink.operators.storage import materialize, scratch_path
 from contactlink.plans import run as plan
 from contactlink.plans.contacts import contacts, table
@@ -57,6 +57,9 @@ CONDITIONS = {
     "source_any": Condition("SOURCE_TYPE"),
 }
 
+#: Records of a file up to which one task writes and reads it.
+FILE_RECORDS = 500_000
+
 BLOCKS = [matching.record_block_key, blocking.phone_block, blocking.address_block]
 
 LARGE_BLOCK_RULES = {
@@ -215,13 +218,16 @@ def a1_multi_file(spark, folder):
     path = scratch_path(spark, "csv")
     df = contacts(spark, folder)
     share = F.col("RID") % 10
+    n_files = 1 + df.count() // FILE_RECORDS
     parts = {"a": (share == 0, df.columns), "b": ((share > 0) & (share < 8), df.columns[::-1]), "c": (share >= 8, sorted(df.columns))}
     for name, (chosen, columns) in parts.items():
-        rows = df.filter(chosen).repartition(1).sortWithinPartitions(F.desc("RID")).select(*columns)
+        # Ranges in falling order, so the files of a folder, by name, hold the records in falling order.
+        rows = df.filter(chosen).repartitionByRange(n_files, F.desc("RID")).sortWithinPartitions(F.desc("RID")).select(*columns)
         rows.write.options(header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, compression="gzip" if name == "c" else "none").csv(f"{path}/{name}")
     listed = [f"{path}/{name}" for name in parts]
     read = files.read_csv(spark, listed).na.fill("")
-    return read.withColumn("place", F.row_number().over(Window.partitionBy(F.col("RID").cast("long") % 10).orderBy(files.ORDER)).cast("long")).drop(files.ORDER)
+    placed = with_position(read.withColumn("_share", F.col("RID").cast("long") % 10), ["_share"], files.ORDER)
+    return placed.withColumn("place", F.col("pos") + 1).drop(files.ORDER, "_share", "pos", "n")
 
 
 @query
