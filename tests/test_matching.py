@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import model
-from contactlink.operators import blocking, clusters, linking, matching, reports, skew, tiles
+from contactlink.operators import blocking, clusters, linking, matching, neighbours, reports, skew, tiles
 from contactlink.operators.rules import RuleSet, active_rules, comparator, default_rules, parse_rules
 from contactlink.operators.standardize import standardize
 from contactlink.operators.storage import materialize
@@ -367,3 +368,38 @@ def test_seen_and_unseen_hashes(spark):
     hashes = spark.createDataFrame([("h1",), ("h2",)], "data_hash string")
     assert [r[0] for r in linking.seen_hashes(hashes, state).collect()] == ["h1"]
     assert [r[0] for r in linking.unseen_hashes(hashes, state).collect()] == ["h2"]
+
+
+def test_blocks_in_a_task_keep_blocks_whole():
+    batches = [pa.record_batch({"block_key": list(keys), "ord": list(range(len(keys)))}) for keys in ("aab", "bb", "bbc", "dd")]
+    tables = [t["block_key"].to_pylist() for t in neighbours._whole_blocks(iter(batches), 3)]
+    assert tables == [["a", "a"], ["b"] * 5, ["c"], ["d", "d"]]
+
+
+def test_similar_records_of_a_block_are_not_all_compared(spark, monkeypatch):
+    """Every record has a partner among its next two, so comparisons grow with the records, not with their pairs."""
+    rules = RuleSet(default_rules())
+    records = [
+        {"RID": i, "SOURCE_TYPE": "A", "SOURCE_ID": str(i), "COMPANY_NAME": f"long company name {i:04d}", "ADDRESS_LINE_1": "1 Main St",
+         "ADDRESS_LINE_2": "", "ZIP_CODE": "12345", "PHONE_NUMBER": "4155550000", "DEDUP_KEY": ""}
+        for i in range(400)
+    ]
+    seen = []
+    compared = neighbours.Column.ratio
+    monkeypatch.setattr(neighbours.Column, "ratio", lambda self, a, b: seen.append(len(a)) or compared(self, a, b))
+    rows = narrow(frame(spark, records), rules).orderBy("ord").toArrow()
+    a, b = neighbours.Block(rows, rules).search(rules.rules[0], np.ones(400, bool))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(i, i + 1) for i in range(399)]
+    assert sum(seen) < 400 * 8
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_tiles_in_rounds_find_what_one_round_finds(spark, monkeypatch, backward):
+    """Two records match over several tiles; rounds of one tile each reach them and stop."""
+    monkeypatch.setattr(matching, "ROUND_ROWS", 1)
+    rules = RuleSet(parse_rules({"rules": {"N": {"conditions": [{"field": "COMPANY_NAME", "percentage": 95}]}}}))
+    names = ["same partner far away", *(f"{chr(97 + i) * 12}" for i in range(20)), "same partner far awaz"]
+    rows = [{"block_key": "b", "ord": i, "pos": i, "first": 0, "last": 21, "last_copy": None, "c0": n} for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "block_key string, ord long, pos long, first long, last long, last_copy long, c0 string")
+    found = matching._by_tiles(materialize(df, "todo"), materialize(df, "everyone"), ["block_key"], rules, 0, rules.rules[0], 0, backward, 4)
+    assert [(r.ord, r.match_ord) for r in found.collect()] == ([(21, 0)] if backward else [(0, 21)])
