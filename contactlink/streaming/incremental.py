@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from contactlink.functions.keys import minted_key
 from contactlink.operators.standardize import standardize, with_data_hash, with_quality
-from contactlink.operators.storage import work_dir
+from contactlink.operators.storage import materialize, work_dir
 from contactlink.plans.run import run_with_store
 from contactlink.sources.files import CSV_GLOB, csv_options
 from contactlink.sources.keystore import KeyState, KeyStore, LevelledKeyStore
@@ -52,6 +52,10 @@ def incremental_dedup(
         store = (LevelledKeyStore if levelled else KeyStore)(batch.sparkSession, store_path)
         run_id = f"{name}-{batch_id}"
         if not store.has_run(run_id):
+            if order is not None:
+                # A batch of a few large files would be cleaned by a task for each, at every use. Without an order the
+                # place in its file is a record's number, so then it stays where it is.
+                batch = materialize(batch.repartition(max(1, batch.sparkSession.sparkContext.defaultParallelism)), "batch")
             run_with_store(batch, store, f"{output}/batch={batch_id}", run_id, order=order, **options)
 
     return (
