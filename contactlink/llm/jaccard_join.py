@@ -114,22 +114,28 @@ def _set_rows(docs: pa.Table, answers: pa.Table, ngram: int, threshold: int, buc
     bins = np.zeros((n, BINS), np.int32)
     np.add.at(bins, (sets.owner, (sets.grams >> np.uint64(60)).astype(np.int64)), 1)
     seen: dict[bytes, int] = {}
-    rows = []
+    rows, listed = [], np.zeros(n, bool)
     for i, doc in enumerate(sets.ids.to_pylist()):
         size = int(sets.sizes[i])
         if not size:
-            rows.append((doc, 0, None, None, None, None, None))
+            rows.append((doc, 0, None, None, None, None))
             continue
         digest = digests[i].tobytes()
         known = digest in seen and doc is not None
         copy_of = seen.setdefault(digest, doc) if doc is not None else None
         a, b = cuts[i], cuts[i + 1]
         if known or a == b or doc is None:
-            rows.append((doc, size, digest, copy_of, None, None, None))
+            rows.append((doc, size, digest, copy_of, None, None))
         else:
-            entries = [{"gram": g, "pos": p} for g, p in zip(prefix_gram[a:b].tolist(), prefix_place[a:b].tolist())]
-            rows.append((doc, size, digest, copy_of, entries, bins[i].tolist(), sets.grams[sets.begins[i] : sets.begins[i + 1]].tobytes()))
-    return arrow_table(rows, _SETS)
+            listed[i] = True
+            rows.append((doc, size, digest, copy_of, bins[i].tolist(), sets.grams[sets.begins[i] : sets.begins[i + 1]].tobytes()))
+    # Prefixes go from array to array: as Python objects they would take many times the memory of the chunk's texts.
+    kept = listed[prefix_owner]
+    ends = np.cumsum(np.bincount(prefix_owner[kept], minlength=n))
+    values = pa.StructArray.from_arrays([pa.array(prefix_gram[kept], pa.int64()), pa.array(prefix_place[kept], pa.int32())], names=["gram", "pos"])
+    at = _SETS.get_field_index("prefix")
+    prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values, type=_SETS.field(at).type, mask=pa.array(~listed))
+    return arrow_table(rows, _SETS.remove(at)).add_column(at, _SETS.field(at), prefixes)
 
 
 def ngram_sets(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: int) -> DataFrame:

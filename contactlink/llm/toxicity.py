@@ -23,7 +23,7 @@ from contactlink.llm.tables import bounded_sample, exact
 TRAINING_ROWS = 8_000
 FOLDS = 4
 #: Bytes of text that are worked on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 class Chain:
