@@ -234,7 +234,7 @@ def best_match(
     if _counts_edits(rules):
         best = _first_per_record(_direct_pairs(small, rules, labelled=False))
     else:
-        best = neighbours.first_partners(small, rules)
+        best = _first_per_record(neighbours.first_partners(small, rules))
     if large is not None:
         for part in _search(large, rules, look_ahead, slice_bits, tile_rows=tile_rows):
             best = best.unionByName(part)

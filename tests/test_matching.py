@@ -403,3 +403,14 @@ def test_tiles_in_rounds_find_what_one_round_finds(spark, monkeypatch, backward)
     df = spark.createDataFrame(rows, "block_key string, ord long, pos long, first long, last long, last_copy long, c0 string")
     found = matching._by_tiles(materialize(df, "todo"), materialize(df, "everyone"), ["block_key"], rules, 0, rules.rules[0], 0, backward, 4)
     assert [(r.ord, r.match_ord) for r in found.collect()] == ([(21, 0)] if backward else [(0, 21)])
+
+
+def test_records_of_one_number_are_no_partners_and_come_once(spark):
+    """Numbers repeat or are missing; against all pairs in a join."""
+    rules = RuleSet(default_rules())
+    records = [r | {"RID": [1, 1, 2, 2, 3, None, 4, 5][i % 8] + 8 * (i // 8) if i % 8 != 5 else None} for i, r in enumerate(people(3, 80, hot=True))]
+    table = materialize(narrow(frame(spark, records), rules), "narrow")
+    want = matching._first_per_record(matching._direct_pairs(table, rules, labelled=False))
+    got = matching.best_match(table, rules)
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert rows(got) == rows(want) and want.count()
