@@ -89,8 +89,9 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(vectors, self.order, 0)
+        lists = np.ascontiguousarray(vectors.T)
+        self.order = np.argsort(lists, axis=1, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(lists, self.order, 1)
 
     def search(self, anchor: np.ndarray, windows: list[WindowOf], skip_id: int, allowed: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
         """For each window its best rows as (score, id): highest score first, then smallest id. Rows with ``skip_id`` and
@@ -100,26 +101,32 @@ class SortedLists:
         open_windows = {w for w, (low, high, k) in enumerate(windows) if low <= high and k > 0}
         dims = np.flatnonzero(anchor)
         dims = dims if len(dims) or not len(anchor) else np.array([0])  # a zero anchor reads any list: all scores are zero
-        if not len(dims):
-            dims_order, weights = np.arange(n, dtype=np.int32)[:, None], None
-        else:
-            weights = anchor[dims]
-            # Lists of positive components are read from their end.
-            dims_order = np.where(weights > 0, self.order[::-1][:, dims], self.order[:, dims])
+        weights = anchor[dims] if len(dims) else None
+        # Lists of positive components are read from their end.
+        ends, starts = (dims[weights > 0], dims[~(weights > 0)]) if len(dims) else (dims, dims)
         seen = np.zeros(n, bool)
-        depth, step = 0, FIRST_DEPTH
-        while open_windows and depth < n:
+        depth, step, unseen, every = 0, FIRST_DEPTH, n, None
+        # Lists that hold no unseen row any more need not be read on.
+        while open_windows and unseen:
             reach = min(n, depth + step)
             met = np.zeros(n, bool)
-            met[dims_order[depth:reach].ravel()] = True
+            if weights is None:
+                met[depth:reach] = True
+            else:
+                met[self.order[ends, n - reach : n - depth].ravel()] = True
+                met[self.order[starts, depth:reach].ravel()] = True
             new = np.flatnonzero(met & ~seen)
             seen |= met
+            unseen -= len(new)
             depth, step = reach, step * 2
             usable = new[(self.ids[new] != skip_id) & (allowed[new] if allowed is not None else True)]
-            scores = _long(self.vectors[usable] @ anchor)
+            # Copies of many rows cost more than their block's product as a whole.
+            if every is None and n - unseen > n // 8:
+                every = self.vectors @ anchor
+            scores = _long(self.vectors[usable] @ anchor if every is None else every[usable])
             ids = self.ids[usable]
             if depth < n and weights is not None:
-                ahead = np.where(weights > 0, self.values[n - 1 - depth, dims], self.values[depth, dims])
+                ahead = np.where(weights > 0, self.values[dims, n - 1 - depth], self.values[dims, depth])
                 threshold = int((weights * ahead).sum())
             else:
                 threshold = 0 if weights is None and depth < n else None

@@ -252,3 +252,14 @@ def test_search_stops_before_the_end():
     lists.vectors = type("Counted", (np.ndarray,), {"__getitem__": lambda self, k: reads.append(np.size(k)) or np.asarray(self)[k]})(lists.vectors.shape, lists.vectors.dtype, lists.vectors.copy())
     assert {i for _, i in lists.search(np.array([1.0, 2.0, 1.0]), [(hard.NO_LOW, hard.NO_HIGH, 5)], -1)[0]} <= set(range(10))
     assert sum(reads) < 500
+
+
+def test_lists_are_not_read_on_when_all_rows_are_met():
+    rng = np.random.default_rng(4)
+    lists = hard.SortedLists(np.arange(4000), np.floor(256 * rng.normal(size=(4000, 32))))
+    reads = []
+    lists.order = type("Counted", (np.ndarray,), {"__getitem__": lambda self, k: reads.append(np.asarray(self)[k]) or reads[-1]})(lists.order.shape, lists.order.dtype, lists.order.copy())
+    anchor = np.floor(256 * rng.normal(size=32))
+    ((_, lowest),) = lists.search(anchor, [(hard.NO_LOW, int((lists.vectors @ anchor).min()), 2)], -1)[0] or [(None, None)]
+    assert lowest == (lists.vectors @ anchor).argmin()
+    assert sum(r.size for r in reads) < 32 * 4000 * 3 // 4
