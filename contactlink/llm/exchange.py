@@ -15,16 +15,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactlink.llm.tables import exact, shuffle_partitions
+from contactlink.llm.tables import exact
 
-#: Chunks and buckets for each shuffle partition. A chunk's texts and arrays are in memory at once, so chunks are many;
-#: there are at most as many rows as chunks times buckets, so buckets, whose arrays are small, are few.
-CHUNKS_PER_PARTITION, BUCKETS_PER_PARTITION = 4, 1
+#: Bytes of text in a chunk, chunks of small inputs, and chunks for each bucket. A chunk's texts and arrays are in memory
+#: at once, so chunks are many; there are at most as many rows as chunks times buckets, so buckets, whose arrays are small,
+#: are few. Both follow the texts, not the number of shuffle partitions: many partitions would make rows with their square.
+CHUNK_BYTES, MIN_CHUNKS, CHUNKS_PER_BUCKET = 2 << 20, 8, 4
 
 
-def chunks_and_buckets(df: DataFrame) -> tuple[int, int]:
-    n = shuffle_partitions(df.sparkSession)
-    return CHUNKS_PER_PARTITION * n, BUCKETS_PER_PARTITION * n
+def chunks_and_buckets(df: DataFrame, text_col: str) -> tuple[int, int]:
+    size = df.agg(F.sum(F.octet_length(exact(text_col)))).first()[0] or 0
+    chunks = max(MIN_CHUNKS, -(-size // CHUNK_BYTES))
+    return chunks, -(-chunks // CHUNKS_PER_BUCKET)
 
 
 def chunk_of(id_col: str, text_col: str, chunks: int) -> Column:

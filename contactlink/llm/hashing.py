@@ -13,7 +13,8 @@ import hashlib
 import numpy as np
 
 LONG_WORD = 64
-BLOCK = 1 << 22
+#: Bytes of text hashed at once. Powers of a base are kept for twice as many, so a worker keeps a few MB of them.
+BLOCK = 1 << 18
 GOLDEN = 0x9E3779B97F4A7C15
 SEEDS = (1, 2)
 MASK = (1 << 64) - 1
@@ -41,7 +42,7 @@ def _base(seed: int) -> int:
     return (GOLDEN * (2 * seed + 1) & MASK) | 1
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(8)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -86,7 +87,7 @@ class Words:
             at = self.starts[i]
             j = max(i + 1, int(np.searchsorted(self.ends, at + BLOCK, "right")))
             stop = self.ends[j - 1]
-            size = 1 << int(stop - at).bit_length()
+            size = max(2 * BLOCK, 1 << int(stop - at).bit_length())
             terms = values[self.data[at:stop]] * _powers(base, size)[: stop - at]
             sums = np.empty(len(terms) + 1, np.uint64)
             sums[0] = 0

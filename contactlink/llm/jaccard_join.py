@@ -141,7 +141,7 @@ def _set_rows(docs: pa.Table, answers: pa.Table, ngram: int, threshold: int, buc
 def ngram_sets(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: int) -> DataFrame:
     """A row per document: size and digest of its set, the first document of the chunk with the same set, and for those
     first ones that share a prefix n-gram with others: prefix, counts by hash range, and the sorted members."""
-    chunks, buckets = exchange.chunks_and_buckets(df)
+    chunks, buckets = exchange.chunks_and_buckets(df, text_col)
     docs = df.select(
         exchange.chunk_of(id_col, text_col, chunks).alias("chunk"), exact(id_col).cast("long").alias("id"), exact(text_col).cast("string").alias("text")
     )

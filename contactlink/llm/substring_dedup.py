@@ -192,7 +192,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     if window < 4 or window % 2:
         raise ValueError("window must be even and at least 4")
-    chunks, buckets = exchange.chunks_and_buckets(df)
+    chunks, buckets = exchange.chunks_and_buckets(df, text_col)
     rest, names = packed_rest(df, [id_col, text_col, *OWN])
     docs = df.select(
         exchange.chunk_of(id_col, text_col, chunks).alias("chunk"), exact(id_col).cast("long").alias("id"), exact(text_col).cast("string").alias("text"), rest

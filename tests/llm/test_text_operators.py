@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from contactlink.llm import fingerprints, hashing
+from contactlink.llm import exchange, fingerprints, hashing
 from contactlink.llm import jaccard_join as jaccard
 from contactlink.llm.jaccard_join import jaccard_join
 from contactlink.llm.packing import cut, pack, places, plan
@@ -187,6 +187,33 @@ def test_window_hashes_are_equal_only_for_equal_words():
     assert len(at) == 5 + 1 and all(len(v) == 1 for v in same.values()) and len(set(hashes.tolist())) == len(same)
 
 
+def test_word_hashes_keep_little_memory_whatever_the_batch():
+    text = " ".join(f"word{i % 700}" for i in range(400_000)).encode()
+    words = hashing.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    hashing._powers.cache_clear()
+    powers = []
+    keep, hashing._powers = hashing._powers, lambda base, n: powers.append(n) or keep(base, n)
+    try:
+        hashes = words.hashes(1)
+    finally:
+        hashing._powers = keep
+    assert max(powers) * 8 <= 8 << 20
+    assert (hashes.reshape(-1, 100)[7::7] == hashes[700:800]).all() and len(np.unique(hashes)) == 700
+
+
+def test_chunks_follow_the_texts_and_not_the_shuffle_partitions(spark):
+    docs = table(spark, ["some words " * 20_000] * 50)
+    few = exchange.chunks_and_buckets(docs, "text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        assert exchange.chunks_and_buckets(docs, "text") == few == (8, 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert exchange.chunks_and_buckets(docs.unionByName(docs).unionByName(docs), "text") == (16, 4)
+    assert exchange.chunks_and_buckets(docs.limit(0), "text") == (8, 2)
+
+
 def test_fingerprints_estimate_likeness_and_pair_with_the_next(spark):
     texts = [t for t in made_texts() if t]
     df = table(spark, texts, first=1, step=1500).select("doc_id", "text")  # ids far apart: many slices
