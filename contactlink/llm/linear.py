@@ -6,6 +6,7 @@ A-Z folded, hashed to ``2**BITS`` places. A table of features is held as flat ar
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,50 @@ LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tr
 FOLDED = np.arange(256, dtype=np.uint64)
 FOLDED[65:91] = FOLDED[97:123]
 LONGEST = 24
+BASE = 0x100000001B3
+#: Bytes whose folded values are summed at once; powers of the base are kept for as many.
+BLOCK = 1 << 16
 BEGINNINGS = (4, 6)
 #: Words that fewer training texts have get no weight.
 SEEN = 3
 
 
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        powers = np.full(BLOCK + LONGEST, base, np.uint64)
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
+    return out[0], out[1]
+
+
+def _folded(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each stretch of up to ``LONGEST`` bytes as the 64-bit polynomial of its folded bytes, from differences of running sums.
+    Stretches are in order of their starts."""
+    powers, inverse = _powers()
+    terms_of = FOLDED + np.uint64(1)
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        begin = starts[i]
+        j = int(np.searchsorted(starts, begin + BLOCK))
+        stop = int(starts[j - 1] + lengths[i:j].max(initial=0) - begin)
+        part = data[begin : begin + min(stop, BLOCK + LONGEST)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(terms_of[part] * inverse[: len(part)], out=sums[1:])
+        a = starts[i:j] - begin
+        b = a + lengths[i:j]
+        out[i:j] = (sums[b] - sums[a]) * powers[b - 1]
+        i = j
+    return out
+
+
+def _places(values: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(values) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Places of each text and where each text begins in them: once each, word beginnings included, or (not
     ``distinct``) one for each word.
@@ -55,21 +95,16 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, distinct:
         first = np.repeat(np.cumsum(parts) - parts, parts)
         starts, lengths = np.repeat(starts, parts) + (np.arange(len(first)) - first) * LONGEST, np.repeat(lengths, parts) - (np.arange(len(first)) - first) * LONGEST
         lengths = np.minimum(lengths, LONGEST)
-    value = np.zeros(len(starts), np.uint64)
-    live = np.arange(len(starts))
+    value = _folded(data, starts, lengths)
     begun, begun_at = [], []
-    for k in range(LONGEST):  # the k-th byte of all words that have one
-        live = live[lengths[live] > k]
-        if not len(live):
-            break
-        if distinct and k in BEGINNINGS:
-            begun.append(value[live] ^ np.uint64(k << 56))
-            begun_at.append(live)
-        value[live] = value[live] * np.uint64(0x100000001B3) + FOLDED[data[starts[live] + k]] + np.uint64(1)
-    owner = np.searchsorted(offsets, starts, "right") - 1
-    place = (mixed(np.concatenate([value, *begun])) >> np.uint64(64 - bits)).astype(np.int64)
+    for k in BEGINNINGS if distinct else ():
+        longer = np.flatnonzero(lengths > k)
+        begun.append(_folded(data, starts[longer], np.full(len(longer), k)) ^ np.uint64(k << 56))
+        begun_at.append(longer)
     if not distinct:
-        return place, np.searchsorted(owner, np.arange(len(offsets)))
+        return _places(value, bits), np.searchsorted(starts, offsets)
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    place = _places(np.concatenate([value, *begun]), bits)
     owner = np.concatenate([owner, *(owner[at] for at in begun_at)])
     keys = np.unique((owner << bits) | place)
     owner, place = keys >> bits, keys & ((1 << bits) - 1)
@@ -179,14 +214,17 @@ def folds_of(ids: np.ndarray, folds: int) -> np.ndarray:
 
 def style(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Shares of letters, upper case, digits and other visible bytes in each text."""
-    kinds = [LETTER, np.isin(np.arange(256), np.arange(65, 91)), np.isin(np.arange(256), np.arange(48, 58)),
-             ~LETTER & (np.arange(256) > 32) & (np.arange(256) < 127)]
-    size = np.maximum(np.diff(offsets), 1)
-    out = []
-    for kind in kinds:
-        total = np.concatenate([[0], np.cumsum(kind[data])])
-        out.append((total[offsets[1:]] - total[offsets[:-1]]) / size)
-    return np.column_stack(out)
+    visible = ~LETTER & (np.arange(256) > 32) & (np.arange(256) < 127)
+    kinds = [LETTER, np.isin(np.arange(256), np.arange(65, 91)), np.isin(np.arange(256), np.arange(48, 58)), visible]
+    sizes = np.diff(offsets)
+    filled = np.flatnonzero(sizes)
+    out = np.zeros((len(sizes), len(kinds)))
+    for k in (0, 2):  # two counts in the halves of one sum
+        both = kinds[k].astype(np.uint64) | kinds[k + 1].astype(np.uint64) << np.uint64(32)
+        total = np.add.reduceat(both[data], offsets[:-1][filled]) if len(filled) else np.zeros(0, np.uint64)
+        out[filled, k] = (total & np.uint64(0xFFFFFFFF)) / sizes[filled]
+        out[filled, k + 1] = (total >> np.uint64(32)) / sizes[filled]
+    return out
 
 
 def in_slices(batch: pa.RecordBatch, text_at: int, size: int) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,10 +79,10 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    """``learn`` gives the ids of new pieces. ``specials`` are strings with ids of their own, cut out before all else. All
+    """``learn`` gives the ids of new pieces, one piece after the other, and how many each has. ``specials`` are strings with ids of their own, cut out before all else. All
     ids are under ``vocabulary``."""
 
-    def __init__(self, learn: Callable[[list[str]], list[np.ndarray]], specials: dict[str, int], room: int = ROOM):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], specials: dict[str, int], room: int = ROOM):
         self.learn, self.specials, self.room = learn, specials, room
         self.vocabulary = 1 << 32
         strings = sorted(specials, key=len, reverse=True)
@@ -127,14 +128,12 @@ class PieceTable:
 
     def numbers(self, distinct: list[str]) -> np.ndarray:
         """Entry of each piece; the pieces are distinct."""
-        find = self.number.get
-        found = np.array([find(p, -1) for p in distinct], np.int64)
+        found = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [distinct[i] for i in missing]
-            values = self.learn(new)
             found[missing] = np.arange(len(self.number), len(self.number) + len(new))
-            self._add(new, np.concatenate(values), np.fromiter(map(len, values), np.int64, len(values)))
+            self._add(new, *self.learn(new))
         self.met[found] = self.round
         return found
 
@@ -203,23 +202,33 @@ def _library(path: str):
     return encode, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}, 1 + max(tokenizer.get_vocab().values())
 
 
-def _in_groups(words: list[str], chosen: list[int], together: Callable[[list[str]], np.ndarray], mark: int, alone: Callable[[list[str]], list[np.ndarray]]) -> list[np.ndarray]:
-    """Ids of all words: the chosen ones many at once, told apart by the id ``mark``, the others one by one."""
-    out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(words)
-    rest = sorted(set(range(len(words))).difference(chosen))
+def _in_groups(words: list[str], chosen: np.ndarray, together: Callable[[list[str]], np.ndarray], mark: int, alone: Callable[[list[str]], list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words and how many each has: the chosen ones many at once, told apart by the id ``mark``, the others one by one."""
+    parts, owners, sizes = [], [], []
+    rest = [np.setdiff1d(np.arange(len(words)), chosen)]
     for at in range(0, len(chosen), GROUP):
         group = chosen[at : at + GROUP]
         ids = together([words[i] for i in group])
         cuts = np.flatnonzero(ids == mark)
         if len(cuts) != len(group) - 1:  # some word holds the mark after all
-            rest += group
+            rest.append(group)
             continue
-        for i, a, b in zip(group, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-            out[i] = ids[a:b]
-    for at in range(0, len(rest), GROUP):
-        for i, ids in zip(rest[at : at + GROUP], alone([words[i] for i in rest[at : at + GROUP]])):
-            out[i] = ids
-    return out
+        parts.append(np.delete(ids, cuts))
+        owners.append(group)
+        sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+    single = np.concatenate(rest)
+    for at in range(0, len(single), GROUP):
+        values = alone([words[i] for i in single[at : at + GROUP]])
+        parts += values
+        owners.append(single[at : at + GROUP])
+        sizes.append(np.fromiter(map(len, values), np.int64, len(values)))
+    if not parts:
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+    flat, owner, size = np.concatenate(parts), np.concatenate(owners), np.concatenate(sizes)
+    order = np.argsort(owner, kind="stable")
+    lengths = size[order]
+    ends = np.cumsum(lengths)
+    return flat[np.arange(len(flat)) + np.repeat((np.cumsum(size) - size)[order] - ends + lengths, lengths)], lengths
 
 
 @functools.cache
@@ -240,8 +249,8 @@ def byte_table(path: str, room: int = ROOM) -> PieceTable:
         text = "\n".join(words).encode().decode("latin-1").translate(symbols).replace(mark, f" {mark} ")
         return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(words: list[str]) -> list[np.ndarray]:
-        letters = [i for i, w in enumerate(words) if (w[1:] if w[0] == " " else w).isalpha()]
+    def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        letters = np.flatnonzero([w.isalpha() or (w[0] == " " and w[1:].isalpha()) for w in words])
         return _in_groups(words, letters, together, int(feed[0]), encode)
 
     table = PieceTable(learn, specials, room)
@@ -257,8 +266,8 @@ def word_table(path: str, room: int = ROOM) -> PieceTable:
     if len(mark) != 1 or not np.array_equal(np.concatenate(encode(["a", "|", "a"])), encode([" a | a"])[0]):
         raise ValueError(f"{path}: white space must set words apart and be dropped")
 
-    def learn(words: list[str]) -> list[np.ndarray]:
-        chosen = [i for i, w in enumerate(words) if "|" not in w]
+    def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        chosen = np.flatnonzero(["|" not in w for w in words])
         return _in_groups(words, chosen, lambda group: encode([" | ".join(group)])[0], int(mark[0]), encode)
 
     table = PieceTable(learn, specials, room)

@@ -385,3 +385,19 @@ def test_pipeline_keeps_clean_documents(spark):
             assert good.join(docs, "doc_id", "left_anti").count() <= (0.03 if name == "toxicity" else 0.15) * good.count()
     pieces = docs.groupBy("doc_id").agg(F.count_if(F.col("start") == 0).alias("n"))
     assert sorted(map(tuple, pieces.collect())) == sorted(map(tuple, before.groupBy("doc_id").count().collect()))
+
+
+def test_words_fold_by_running_sums_as_byte_by_byte():
+    text = ("Ab cde " * 30_000 + "x" * 60 + " Zé9 " + "q" * linear.LONGEST + " ").encode()
+    data = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], linear.LETTER[data], [False]])
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
+    lengths = np.minimum(ends - starts, linear.LONGEST)
+    wanted = []
+    for start, length in zip(starts.tolist(), lengths.tolist()):
+        value = 0
+        for byte in text[start : start + length]:
+            value = (value * 0x100000001B3 + int(linear.FOLDED[byte]) + 1) % (1 << 64)
+        wanted.append(value)
+    assert len(data) > 2 * linear.BLOCK
+    assert linear._folded(data, starts, lengths).tolist() == wanted

@@ -263,3 +263,11 @@ def test_lists_are_not_read_on_when_all_rows_are_met():
     ((_, lowest),) = lists.search(anchor, [(hard.NO_LOW, int((lists.vectors @ anchor).min()), 2)], -1)[0] or [(None, None)]
     assert lowest == (lists.vectors @ anchor).argmin()
     assert sum(r.size for r in reads) < 32 * 4000 * 3 // 4
+
+
+def test_new_pieces_are_learned_as_flat_ids_in_their_order():
+    pieces = [" word", "12", " über", "Ċ", "'s", "abc", " |"]
+    for make, path in ((byte_table, BPE), (word_table, WORD_BPE)):
+        ids, lengths = make(path).learn(pieces)
+        alone = [make(path).learn([p]) for p in pieces]
+        assert ids.tolist() == [i for one, _ in alone for i in one] and lengths.tolist() == [n for _, one in alone for n in one]
