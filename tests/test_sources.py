@@ -3,6 +3,7 @@ import random
 from dataclasses import replace
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,26 @@ def test_keys_as_state_of_a_stream(spark, tmp_path):
     assert sum(r.n_records for r in got) == 2008
 
 
+def test_a_group_of_hashes_is_one_call_that_touches_its_own_hashes():
+    class Map(dict):
+        getValue, updateValue = dict.get, dict.__setitem__  # noqa: N815
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return Map()
+
+    state = incremental._HashKeys()
+    state.init(Handle())
+    state.handleInitialState((7,), pd.DataFrame({"hash_group": [7, 7], "data_hash": ["a", "z"], "dedup_key": ["old", "x"]}), None)
+    parts = [{"data_hash": ["a", "b"], "minted": ["ma", "mb"], "first_ord": [5.0, None], "n_records": [2, 1]},
+             {"data_hash": ["b", "c", "a"], "minted": ["mb", "mc", "ma"], "first_ord": [9, 4, 3], "n_records": [1, 1, 4]}]
+    for new in (True, False):  # the same rows again bring nothing new
+        out = list(state.handleInputRows((7,), iter([pd.DataFrame(p) for p in parts]), None))
+        rows = [tuple(None if pd.isna(v) else v for v in r) for r in out[0].itertuples(index=False)]
+        assert len(out) == 1 and rows == [("a", "old", 3, 6, False), ("b", "mb", 9, 2, new), ("c", "mc", 4, 1, new)]
+    assert state.keys == {("a",): ("old",), ("z",): ("x",), ("b",): ("mb",), ("c",): ("mc",)}
+
+
 def test_a_stream_on_a_levelled_store(spark, tmp_path):
     df = people(spark, ["Acme", "Acme Inc", "Zeta", "Acme Co", "Eta"]).withColumn("RID", F.col("RID").cast("string"))
     drop, arguments = str(tmp_path / "drop"), [str(tmp_path / n) for n in ("store", "out", "progress")]
