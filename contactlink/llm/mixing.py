@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from contactlink.llm import linear
 from contactlink.llm.hashing import Words
 from contactlink.llm.linear import Linear
-from contactlink.llm.piece_table import byte_table
+from contactlink.llm.piece_table import ROOM, byte_table
 from contactlink.llm.tables import bounded_sample, bytes_of, exact
 from contactlink.operators.storage import materialize
 
@@ -53,18 +53,20 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
     return [Linear(mean=True).fit(features, y) for y in ys.values()] if len(ids) else []
 
 
-def posteriors(df: DataFrame, models: list[Linear], domains: list[str], text_col: str, keep: list[str], tokenizer: str | None = None) -> DataFrame:
+def posteriors(df: DataFrame, models: list[Linear], domains: list[str], text_col: str, keep: list[str], tokenizer: str | None = None,
+        room: int = ROOM, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The columns of ``keep`` with ``n_tokens`` and ``posterior`` over the domains. Tokens are those of the byte-level BPE
-    file ``tokenizer``, or words without one. Without models all domains are equally likely."""
+    file ``tokenizer``, or words without one. Without models all domains are equally likely. A task holds about ``room`` pieces of
+    text, and works on ``slice_bytes`` of it at a time."""
     flat = df.select(*(exact(c).alias(f"c{i}") for i, c in enumerate(keep)), exact(text_col).cast("string").alias("_text"))
     at = len(keep)
     schema = T.StructType([*flat.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in linear.in_slices(batch, at, SLICE_BYTES):
+            for part in linear.in_slices(batch, at, slice_bytes):
                 text = part.column(at)
-                counts = byte_table(tokenizer).counts(text) if tokenizer else Words(*bytes_of(text)).counts
+                counts = byte_table(tokenizer, room).counts(text) if tokenizer else Words(*bytes_of(text)).counts
                 if models:
                     rows = linear.rows_of(text, distinct=False)
                     found = np.column_stack([m.predict(rows) for m in models]) + 1e-6
@@ -236,13 +238,13 @@ def fit_once(table: DataFrame, weights: np.ndarray, steps: int = STEPS) -> tuple
 
 def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: Column | None = None, id_col: str = "doc_id",
         text_col: str = "text", keep: list[str] | None = None, rows: int = TRAINING_ROWS, budget: float | None = None,
-        once: bool = False, tokenizer: str | None = None) -> DataFrame:
+        once: bool = False, tokenizer: str | None = None, room: int = ROOM, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Every row of ``df`` with ``n_tokens``, ``posterior`` (in the order of ``weights``), ``rate`` and ``copies``.
 
     ``copies`` rounds the rate by a hash of the id, so that its expectation is the rate; 0 means the document is left
     out. ``keep`` names the columns to carry, all by default. A null or empty text has no tokens, and the rate of its
     posterior. Rows that repeat an id get the same rate. Columns with the new names are replaced. With ``once`` rates are 1
-    at most and the budget is the largest that the weights allow. ``tokenizer`` says what a token is; see ``posteriors``.
+    at most and the budget is the largest that the weights allow. ``tokenizer`` says what a token is, ``room`` and ``slice_bytes`` what a task holds; see ``posteriors``.
     """
     if once and budget is not None:
         raise ValueError("a mix of documents kept once finds its budget itself")
@@ -250,7 +252,7 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = Non
     domains = list(weights)
     keep = [c for c in keep or df.columns if c.lower() not in OWN]
     models = train(df, labels, domain, domains, id_col, text_col, rows)
-    table = materialize(posteriors(df, models, domains, text_col, keep, tokenizer).withColumnsRenamed({c: f"c{i}" for i, c in enumerate(keep)}), "mixing")
+    table = materialize(posteriors(df, models, domains, text_col, keep, tokenizer, room, slice_bytes).withColumnsRenamed({c: f"c{i}" for i, c in enumerate(keep)}), "mixing")
     asked = np.array([weights[d] for d in domains])
     fit, _, _ = fit_once(table, asked) if once else fit_rates(table, asked, budget)
     at = len(keep) + 1

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contactlink.llm.piece_table import byte_table
+from contactlink.llm.piece_table import ROOM, SLICE_BYTES, byte_table
 from contactlink.llm.tables import exact, field_type, shuffle_partitions
 from contactlink.operators.storage import materialize
 
@@ -40,7 +40,7 @@ def cut(n: int, sequence: int, grain: int) -> list[tuple[int, int]]:
 
 def token_pieces(
     df: DataFrame, tokenizer: str, id_col: str, text_col: str, sequence: int = SEQUENCE, grain: int = GRAIN, end_id: int = END_ID,
-    keep_ids: bool = False,
+    keep_ids: bool = False, room: int = ROOM, slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """The pieces of all documents: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens`` and, if asked for, ``ids``
     (little-endian 32-bit). A null text has the end id only."""
@@ -49,9 +49,9 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_table(tokenizer)
+        table = byte_table(tokenizer, room)
         for batch in batches:
-            for at, ids, bounds in table.in_slices(batch.column(1)):
+            for at, ids, bounds in table.in_slices(batch.column(1), slice_bytes):
                 owner, numbers, parts = [], [], []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     document = ids[a:b].tobytes() + end
@@ -175,19 +175,20 @@ def ranked(pieces: DataFrame) -> DataFrame:
 
 def pack(
     df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, grain: int = GRAIN,
-    end_id: int = END_ID, keep_ids: bool = False,
+    end_id: int = END_ID, keep_ids: bool = False, room: int = ROOM, slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """A row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, if
     asked for, ``ids``.
 
     A document is the ids of its text and ``end_id``; a null text is empty. Every id lies in one piece, and the pieces
     of a sequence follow each other without gaps from offset 0. Rows that repeat an id are documents of their own. Of
-    an empty table nothing comes out. Other columns are ignored.
+    an empty table nothing comes out. Other columns are ignored. A task holds about ``room`` pieces of text and encodes
+    ``slice_bytes`` of it at a time.
     """
     if not 0 < grain <= sequence or sequence % grain:
         raise ValueError("the sequence length must be a multiple of grain")
     spark = df.sparkSession
-    pieces = materialize(token_pieces(df, tokenizer, id_col, text_col, sequence, grain, end_id, keep_ids), "packing-pieces")
+    pieces = materialize(token_pieces(df, tokenizer, id_col, text_col, sequence, grain, end_id, keep_ids, room, slice_bytes), "packing-pieces")
     # At most sequence / grain + grain lengths.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = places(plan(counts, sequence))

@@ -41,6 +41,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.withColumns({"text": F.col("kept_text"), "n_chars": chars}).select(*docs.columns)
 
 
+#: Pieces of text a task's token table holds and bytes it works on at a time. Workers go on to the next stage with what they
+#: hold, so mixing and packing share one table, smaller than that of an operator by itself.
+ROOM, SLICE_BYTES = 100_000, 1 << 20
+
 #: Domains and weights of the mixing stage; toxic documents are gone by then.
 WEIGHTS = {"good": 0.9, "poor": 0.1}
 
@@ -48,13 +52,13 @@ WEIGHTS = {"good": 0.9, "poor": 0.1}
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rate says, in expectation: those with a rate under one are thinned out, those
     with a rate over one come more than once. The budget is all tokens there are, so rates are one on average."""
-    mix_of = mix(docs, table(spark, sf_dir, "labels"), weights=WEIGHTS, tokenizer=BYTE_BPE).filter("copies > 0")
+    mix_of = mix(docs, table(spark, sf_dir, "labels"), weights=WEIGHTS, tokenizer=BYTE_BPE, room=ROOM, slice_bytes=SLICE_BYTES).filter("copies > 0")
     return mix_of.withColumn("copies", F.explode(F.expr("array_repeat(1, cast(copies AS int))"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
-    return pack(docs, BYTE_BPE)
+    return pack(docs, BYTE_BPE, room=ROOM, slice_bytes=SLICE_BYTES)
 
 
 STAGES = [

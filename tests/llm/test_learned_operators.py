@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from contactlink.llm import chat, language_id, linear, mixing
+from contactlink.llm import chat, language_id, linear, mixing, packing
 from contactlink.llm.embedding_dedup import embedding_dedup, enough
 from contactlink.llm.language_id import ByteNet, windows_of
 from contactlink.llm.mixing import fit_rates, mix
+from contactlink.llm.piece_table import ROOM
 from contactlink.llm.toxicity import toxicity
 
 WORDS = [f"word{i}" for i in range(300)]
@@ -135,6 +136,32 @@ def test_tokens_of_the_tokenizer_are_counted(spark):
     assert all(r["n_tokens"] == len(library.encode(r["text"] or "").ids) for r in mixed)
 
 
+def test_a_small_token_table_gives_the_same_tokens(spark):
+    docs, labels = labelled(spark, n=60)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    weights = {"good": 0.5, "poor": 0.5}
+    rows = lambda df: sorted(map(repr, df.collect()))
+    small, whole = (sorted(mix(docs, labels, weights=weights, tokenizer=path, **more).collect()) for more in ({"room": 20, "slice_bytes": 200}, {}))
+    assert [(r["doc_id"], r["text"], r["n_tokens"], r["copies"]) for r in small] == [(r["doc_id"], r["text"], r["n_tokens"], r["copies"]) for r in whole]
+    assert np.allclose([r["posterior"] for r in small], [r["posterior"] for r in whole], rtol=0, atol=1e-12)
+    assert np.allclose([r["rate"] for r in small], [r["rate"] for r in whole], rtol=0, atol=1e-9)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    small, whole = packing.pack(docs, path, room=20, slice_bytes=200), packing.pack(docs, path)
+    assert rows(small.select(columns)) == rows(whole.select(columns))
+
+
+def test_stages_of_the_pipeline_share_a_smaller_token_table(spark, tmp_path, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs, folder = small_corpus(spark, tmp_path)
+    asked = []
+    for name in ("mix", "pack"):
+        plain = getattr(pipeline, name)
+        monkeypatch.setattr(pipeline, name, lambda *a, plain=plain, **more: asked.append((more["room"], more["slice_bytes"])) or plain(*a, **more))
+    for name in ("mixing", "packing"):
+        dict(pipeline.STAGES)[name](spark, docs, folder)
+    assert asked[0] == asked[1] and asked[0][0] < ROOM
+
+
 def test_rates_of_documents_kept_once(spark):
     rng = np.random.default_rng(3)
     tokens = rng.integers(1, 1000, 2000)
