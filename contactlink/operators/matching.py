@@ -5,18 +5,16 @@ comparison columns of a ``RuleSet``; a ``given_key`` column is carried along if
 
 Blocks of up to ``direct_rows`` rows are searched whole, many to a task (``neighbours``; where a rule counts
 edits, they are joined with themselves on the block key). Larger blocks never are: each rule adds its equality conditions to the key, records are
-numbered inside the resulting group, and a record looks at a bounded stretch of
-followers first. Found records leave the search, so a large group of copies costs one
-short look per row; what is left after ``LOOKS`` looks goes through the rest of its group
-tile by tile (``tiles``), which keeps the result exact. Exact copies bound the work further:
-a record never looks past its next copy, which matches anyway, nor at a copy of something
-it has met before. The join key holds the bucket of the follower's number, so a group of
-any size spreads over many tasks.
+numbered inside the resulting group, and a task takes slices of the group, each with the slice after it
+(``neighbours.sliced_partners``). Found records leave the search; what is left after the next ``SLICE_TILES`` tiles goes
+through the rest of its group tile by tile (``tiles``), which keeps the result exact. Exact copies bound the work further:
+a record never looks past its next copy, which matches anyway, nor at a copy of something it has met before. A rule that
+counts edits looks at longer and longer stretches of followers instead; there the join key holds the bucket of the
+follower's number. Either way a group of any size spreads over many tasks.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 from functools import reduce
 
@@ -32,10 +30,11 @@ from contactlink.operators.storage import materialize
 #: Rows up to which a block is joined with itself, and up to which it is searched in one task.
 DIRECT_ROWS, BLOCK_ROWS = 128, 8192
 LOOK_AHEAD = 32
-#: Rows that a round of tiles may copy.
-ROUND_ROWS = 1 << 24
+#: Tiles in a slice of a group.
+SLICE_TILES = 2
+#: Rows that a round of tiles may copy, and how much further than all rounds before it a round may reach.
+ROUND_ROWS, REACH = 1 << 24, 4
 GROWTH = 8
-LOOKS = 2
 BUCKET_ROWS = 1024
 
 
@@ -156,56 +155,82 @@ def _look(
 
 
 def _by_tiles(
-    todo: DataFrame, everyone: DataFrame, on: list[str], rules: RuleSet, place: int, rule: Rule, start: int, backward: bool, tile_rows: int
+    todo: DataFrame, everyone: DataFrame, on: list[str], rules: RuleSet, place: int, rule: Rule, start: int, backward: bool, tile_rows: int,
+    bits: int = SLICE_BITS,
 ) -> DataFrame:
     """First partner among all neighbours more than ``start`` places away.
 
-    Tiles are met in rounds, near ones first, and a record with a partner takes no part in the next. A round reaches as far
-    as its copies of rows stay within ``ROUND_ROWS``, or twice the rows there are, so disk does not grow with the square of a group.
+    Records that search are packed into tiles of their own, however far apart they are, and meet the tiles of their group in
+    rounds, near ones first; a record with a partner takes no part in the next. A round reaches ``REACH`` times as far as those
+    before it, unless its copies of rows would pass ``ROUND_ROWS``, or twice the rows there are, so disk does not grow with
+    the square of a group.
     """
-    parts, searching, begin = [], todo, start
+    parts, begin = [], start
     total = everyone.count()
-    tile = F.floor(F.col("pos") / tile_rows)
+    searching = materialize(tiles.packed(todo, on, tile_rows, bits), "todo")
     while True:
-        counts = searching.groupBy(*on, tile.alias("_tile")).count().agg(F.count(F.lit(1)), F.sum("count")).first()
-        if not counts[0]:
+        ends = searching.groupBy(*on, "mine").agg(F.count(F.lit(1)).alias("rows"), (F.max("pos") - F.min("pos")).alias("span"))
+        n_tiles, rows, span = ends.agg(F.count(F.lit(1)), F.sum("rows"), F.sum("span")).first()
+        if not n_tiles:
             break
-        a_tile = counts[1] + counts[0] * tile_rows
-        reach = tile_rows * max(1, max(ROUND_ROWS, 2 * total) // a_tile)
+        room = max(ROUND_ROWS, 2 * total) - span - n_tiles * tile_rows
+        reach = tile_rows * max(1, min(room // (n_tiles + rows // tile_rows + 1), REACH * begin) // tile_rows)
         parts.append(materialize(tiles.search(searching, everyone, on, rules, rule, begin, backward, tile_rows, reach), "tiles"))
         begin += reach
         left_over = F.col("pos") - F.col("first") if backward else F.col("last") - F.col("pos")
-        searching = materialize(searching.join(parts[-1].select("ord"), "ord", "left_anti").filter(left_over > begin), "todo")
+        rest = searching.join(parts[-1].select("ord"), "ord", "left_anti").filter(left_over > begin)
+        searching = materialize(tiles.packed(rest, on, tile_rows, bits), "todo")
     found = reduce(DataFrame.unionByName, parts) if parts else todo.select("ord", F.col("ord").alias("match_ord")).limit(0)
     left = _side(todo.join(found, "ord"), "l_")
     pairs = left.join(_side(everyone, "r_"), F.col("l_match_ord") == F.col("r_ord"))
     return _first_per_record(_verdicts(pairs, rules, [(place, rule)]))
 
 
+def _by_looks(
+    rows: DataFrame, earlier: list[DataFrame], on: list[str], rules: RuleSet, place: int, rule: Rule, look_ahead: int, bits: int, backward: bool
+) -> list[DataFrame]:
+    """Best matches under a rule that counts edits, by longer and longer looks."""
+    found: list[DataFrame] = []
+    everyone = materialize(_placed(rows, on, rules, rule, bits), "placed")
+    todo = everyone
+    for part in earlier:
+        todo = todo.join(part.select("ord"), "ord", "left_anti")
+    start, width = 0, look_ahead
+    while True:
+        hits = materialize(_look(todo, everyone, on, rules, place, rule, start, width, backward), "hits")
+        found.append(hits)
+        start, width = start + width, width * GROWTH
+        left_over = F.col("pos") - F.col("first") if backward else F.col("last") - F.col("pos")
+        todo = materialize(todo.join(hits.select("ord"), "ord", "left_anti").filter(left_over > start), "todo")
+        if todo.isEmpty():
+            return found
+
+
 def _search(
     rows: DataFrame, rules: RuleSet, look_ahead: int, bits: int, backward: bool = False, tile_rows: int = tiles.TILE_ROWS
 ) -> list[DataFrame]:
-    """Best matches inside oversized blocks, rule by rule: a few short looks, then the rest by tiles."""
+    """Best matches inside oversized blocks, rule by rule: slices of each group with the next ones, then the rest by tiles."""
     found: list[DataFrame] = []
     for place, rule in enumerate(rules.rules):
         on = ["block_key", *rules.equal_columns(rule)]
         able = rows.filter(rules.eligible(rule))
-        everyone = materialize(_placed(able, on, rules, rule, bits), "placed")
-        todo = everyone
-        for earlier in found:
-            todo = todo.join(earlier.select("ord"), "ord", "left_anti")
-        start, width = 0, look_ahead
-        # Tiles know the ratio of rules; a rule that counts edits goes on with longer and longer looks.
-        for _ in itertools.count() if any(rules.by_edits(c) for c in rule.conditions) else range(LOOKS):
-            hits = materialize(_look(todo, everyone, on, rules, place, rule, start, width, backward), "hits")
-            found.append(hits)
-            start, width = start + width, width * GROWTH
-            left_over = F.col("pos") - F.col("first") if backward else F.col("last") - F.col("pos")
-            todo = materialize(todo.join(hits.select("ord"), "ord", "left_anti").filter(left_over > start), "todo")
-            if todo.isEmpty():
-                break
-        else:
-            found.append(materialize(_by_tiles(todo, everyone, on, rules, place, rule, start, backward, tile_rows), "hits"))
+        if any(rules.by_edits(c) for c in rule.conditions):
+            found += _by_looks(able, found, on, rules, place, rule, look_ahead, bits, backward)
+            continue
+        placed = with_position(able, on, "ord", bits).withColumns({"first": F.lit(0).cast("long"), "last": F.col("n") - 1}).drop("n")
+        wanted = F.lit(True)
+        if found:
+            done = reduce(DataFrame.unionByName, (part.select("ord") for part in found)).withColumn("_done", F.lit(True))
+            placed, wanted = placed.join(done, "ord", "left"), F.col("_done").isNull()
+        everyone = materialize(placed.withColumn("wanted", wanted).drop("_done"), "placed")
+        width = SLICE_TILES * tile_rows
+        hits = materialize(_first_per_record(neighbours.sliced_partners(everyone, on, rules, place, width, backward)), "hits")
+        found.append(hits)
+        left_over = F.col("pos") - F.col("first") if backward else F.col("last") - F.col("pos")
+        todo = everyone.filter("wanted").filter(left_over > width).drop("wanted").join(hits.select("ord"), "ord", "left_anti")
+        todo = materialize(todo, "todo")
+        if not todo.isEmpty():
+            found.append(materialize(_by_tiles(todo, everyone.drop("wanted"), on, rules, place, rule, width, backward, tile_rows, bits), "hits"))
     return found
 
 

@@ -4,7 +4,8 @@ Records come sorted by block and order. A task takes whole blocks, and for each
 at its next followers in its group, at twice as many the next time, and so on to the end of the group. Pairs are dropped
 by the equal and blank conditions, by lengths and by sets of characters, and only the rest is compared. A record leaves
 as soon as it has its partner, so groups of similar records cost a few comparisons a row, and no pair leaves the task
-but the first of each record.
+but the first of each record. Of blocks that do not fit a task, slices are searched in the same way, each with the slice
+after it.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from contactlink.functions.similarity import lcs_lengths
 from contactlink.operators.rules import FUZZY, Rule, RuleSet
+from contactlink.operators.storage import materialize
 from contactlink.operators.tiles import MET, Lcs, Strings, Test, _verdict, tests_of
 
 #: Rows worked on at a time, besides those of a block that is not complete yet; pairs looked at, and compared, at a time.
@@ -100,7 +103,8 @@ def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Rows of whole blocks, in order, and the rules that look for partners in them."""
+    """Rows of whole blocks, in order, and the rules that look for partners in them. With a column ``slice_no`` the rows are
+    of slices, and their order is the place ``pos``."""
 
     def __init__(self, table: pa.Table, rules: RuleSet):
         self.rules = rules
@@ -109,6 +113,8 @@ class Block:
         self.columns = {name: Column(table[name]) for name in rules.columns.values()}
         self.met = [Column(table[c]) for c in table.column_names if c.startswith(MET)]
         self.order = table["ord"].to_numpy()
+        if "slice_no" in table.column_names:
+            self.block, self.order = _groups(self.block, table["slice_no"].to_numpy()), table["pos"].to_numpy()
         self.label = table["label"].to_numpy() if "label" in table.column_names else None
 
     def eligible(self, rule: Rule) -> np.ndarray:
@@ -259,8 +265,8 @@ class Block:
         return out
 
 
-def _whole_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows that end where a block ends."""
+def _whole_blocks(batches: Iterator[pa.RecordBatch], rows: int, key: str = "block_key") -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that end where a block, or another ``key``, ends."""
     waiting: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -269,7 +275,7 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.T
         if size < rows:
             continue
         table = pa.Table.from_batches(waiting)
-        keys = table["block_key"].combine_chunks()
+        keys = table[key].combine_chunks()
         changes = np.flatnonzero(pa.compute.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))
         if len(changes):
             cut = int(changes[-1]) + 1
@@ -287,31 +293,66 @@ def _sorted_blocks(records: DataFrame, rules: RuleSet, more: list[str]) -> DataF
     return chosen.repartition("block_key").sortWithinPartitions("block_key", "ord")
 
 
+class _Found:
+    """The shape of found partners: ``ord, rule_rank, match_ord, [match_given_key], score_0..``."""
+
+    def __init__(self, records: DataFrame, rules: RuleSet):
+        self.rules, self.given = rules, "given_key" in records.columns
+        self.fields = [f"score_{i}" for i in range(len(rules.score_fields))]
+        self.schema = pa.schema([("ord", pa.int64()), ("rule_rank", pa.int32()), ("match_ord", pa.int64()),
+                                 *([("match_given_key", pa.string())] if self.given else []), *((f, pa.float64()) for f in self.fields)])
+        given = ", match_given_key string" if self.given else ""
+        self.text = "ord long, rule_rank int, match_ord long" + given + "".join(f", {f} double" for f in self.fields)
+
+    def batch(self, table: pa.Table, block: Block, rank: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        order, scores = table["ord"].to_numpy(), block.scores(self.rules.rules[rank], a, b)
+        columns = [pa.array(order[a]), pa.array(np.full(len(a), rank, np.int32)), pa.array(order[b])]
+        if self.given:
+            columns.append(table["given_key"].combine_chunks().take(pa.array(b)))
+        none = np.full(len(a), np.nan)
+        columns += [pa.array(scores.get(f, none), pa.float64(), from_pandas=True) for f in self.rules.score_fields]
+        return pa.RecordBatch.from_arrays(columns, schema=self.schema)
+
+
 def first_partners(records: DataFrame, rules: RuleSet) -> DataFrame:
     """``ord, rule_rank, match_ord, [match_given_key], score_0..``: the earliest later record of the block under the best rule.
     A number that several records have comes several times."""
-    given = "given_key" in records.columns
-    fields = [f"score_{i}" for i in range(len(rules.score_fields))]
-    schema = pa.schema([("ord", pa.int64()), ("rule_rank", pa.int32()), ("match_ord", pa.int64()),
-                        *([("match_given_key", pa.string())] if given else []), *((f, pa.float64()) for f in fields)])
+    out = _Found(records, rules)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_blocks(batches, ROWS_AT_ONCE):
-            block, order = Block(table, rules), table["ord"].to_numpy()
+            block = Block(table, rules)
             todo = np.ones(table.num_rows, bool)
             for rank, rule in enumerate(rules.rules):
                 a, b = block.search(rule, todo)
                 todo[a] = False
-                scores = block.scores(rule, a, b)
-                columns = [pa.array(order[a]), pa.array(np.full(len(a), rank, np.int32)), pa.array(order[b])]
-                if given:
-                    columns.append(table["given_key"].combine_chunks().take(pa.array(b)))
-                none = np.full(len(a), np.nan)
-                columns += [pa.array(scores.get(f, none), pa.float64(), from_pandas=True) for f in rules.score_fields]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    text = "ord long, rule_rank int, match_ord long" + (", match_given_key string" if given else "") + "".join(f", {f} double" for f in fields)
-    return _sorted_blocks(records, rules, ["given_key"] if given else []).mapInArrow(find, text)
+                yield out.batch(table, block, rank, a, b)
+
+    return _sorted_blocks(records, rules, ["given_key"] if out.given else []).mapInArrow(find, out.text)
+
+
+def sliced_partners(placed: DataFrame, on: list[str], rules: RuleSet, rank: int, rows: int, backward: bool = False) -> DataFrame:
+    """The same, under one rule, for the ``wanted`` records of groups of any size: the first partner in the own slice of
+    ``rows`` places or the next one (the one before), so among ``rows`` neighbours at least.
+
+    ``placed`` has the place ``pos`` of a record in the group of its columns ``on``, and may have labels; records that a label
+    already joins are no partners.
+    """
+    out = _Found(placed, rules)
+    mine = F.floor(F.col("pos") / rows).cast("long")
+    asked = materialize(placed.filter("wanted").select(*on, mine.alias("slice_no")).distinct(), "slices")
+    sides = F.array(F.struct(mine.alias("slice_no"), F.col("wanted")), F.struct((mine + (1 if backward else -1)).alias("slice_no"), F.lit(False).alias("wanted")))
+    chosen = [c for c in placed.columns if c in ("block_key", "ord", "pos", "given_key", "label", *rules.columns.values()) or c.startswith(MET)]
+    seen = placed.select(*chosen, F.explode(sides).alias("_side")).select(*chosen, "_side.*").join(asked, [*on, "slice_no"], "left_semi")
+    seen = seen.withColumn("slice_key", F.xxhash64(*on, "slice_no")).repartition("slice_key").sortWithinPartitions("slice_key", "pos")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_blocks(batches, ROWS_AT_ONCE, "slice_key"):
+            block = Block(table, rules)
+            a, b = block.search(rules.rules[rank], table["wanted"].to_numpy(), backward)
+            yield out.batch(table, block, rank, a, b)
+
+    return seen.mapInArrow(find, out.text)
 
 
 def linking_partners(records: DataFrame, rules: RuleSet) -> DataFrame:

@@ -405,6 +405,35 @@ def test_tiles_in_rounds_find_what_one_round_finds(spark, monkeypatch, backward)
     assert [(r.ord, r.match_ord) for r in found.collect()] == ([(21, 0)] if backward else [(0, 21)])
 
 
+@pytest.mark.parametrize("backward", [False, True])
+def test_slices_of_a_group_find_the_first_partner_within_their_rows(spark, backward):
+    """Slices of eight places, in two groups: what is found is the first partner, and none within eight places is missed."""
+    rng = random.Random(8)
+    rules = RuleSet(parse_rules({"rules": {"N": {"conditions": [{"field": "COMPANY_NAME", "percentage": 70}]}}}))
+    names = ["".join(rng.choices("abc", k=7)) if rng.random() < 0.9 else None for _ in range(120)]
+    rows = [(f"g{i % 2}", i, i // 2, i % 11 > 1, i // 6 if backward else None, n) for i, n in enumerate(names) if n]
+    rows = [(*r[:2], sum(o[0] == r[0] for o in rows[:k]), *r[3:]) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "block_key string, ord long, pos long, wanted boolean, label long, c0 string")
+    df = materialize(df if backward else df.drop("label"), "placed")
+    found = {r.ord: r.match_ord for r in neighbours.sliced_partners(df, ["block_key"], rules, 0, 8, backward).collect()}
+    first = {}
+    for i, a in enumerate(rows):
+        others = reversed(rows[:i]) if backward else rows[i + 1 :]
+        near = [b for b in others if b[0] == a[0] and (not backward or a[4] != b[4]) and model.indel(a[5], b[5]) >= 70]
+        if a[3] and near:
+            first[a[1]] = (near[0][1], abs(near[0][2] - a[2]))
+    assert set(found) <= set(first) and {k for k, (_, away) in first.items() if away <= 8} <= set(found)
+    assert len(found) > 30 and (backward or all(found[k] == first[k][0] for k in found))
+
+
+def test_records_that_search_share_tiles(spark):
+    """Ten records far apart in a group of 1,000 are a tile and a half, not ten."""
+    rows = [("b", 100 * i, 100 * i, 999) for i in range(10)]
+    todo = spark.createDataFrame(rows, "block_key string, ord long, pos long, last long")
+    mine = {r.pos: r.mine for r in tiles.packed(todo, ["block_key"], 8).collect()}
+    assert mine == {100 * i: i // 8 for i in range(10)}
+
+
 def test_records_of_one_number_are_no_partners_and_come_once(spark):
     """Numbers repeat or are missing; against all pairs in a join."""
     rules = RuleSet(default_rules())
