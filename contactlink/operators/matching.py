@@ -273,19 +273,27 @@ def linking_edges(
     look_ahead: int = LOOK_AHEAD,
     slice_bits: int = SLICE_BITS,
     tile_rows: int = tiles.TILE_ROWS,
-) -> DataFrame:
-    """``src, dst``: for every record one partner before and one after it, where it has any
-    with another ``label``. At most two edges per record, however large the block."""
+) -> tuple[DataFrame, bool]:
+    """``src, dst``, and whether these join all that is linked. Blocks that fit a task are joined whole there. In larger ones,
+    and where rules count edits, a record has one partner before and one after it, where it has any with another ``label``.
+    At most two edges per record, however large the block."""
     able = records.filter(F.col("block_key").isNotNull() & rules.any_eligible())
-    mixed = able.groupBy("block_key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
-    able = able.join(mixed.select("block_key"), "block_key", "left_semi")
-    small, large = _split(able, direct_rows or (DIRECT_ROWS if _counts_edits(rules) else BLOCK_ROWS))
-    edges = _direct_edges(small, rules) if _counts_edits(rules) else neighbours.linking_partners(small, rules)
-    if large is not None:
+    edits = _counts_edits(rules)
+    limit = direct_rows or (DIRECT_ROWS if edits else BLOCK_ROWS)
+    blocks = able.groupBy("block_key").agg(F.count(F.lit(1)).alias("rows"), (F.min("label") != F.max("label")).alias("mixed"))
+    small = able.join(blocks.filter("mixed").select("block_key"), "block_key", "left_semi") if edits else able
+    large = materialize(blocks.filter(F.col("rows") > limit).select("block_key", "mixed"), "large-blocks")
+    rest = None
+    if not large.isEmpty():
+        small = small.join(large, "block_key", "left_anti")
+        rest = materialize(able.join(large.filter("mixed"), "block_key", "left_semi"), "large-rows")
+        rest = None if rest.isEmpty() else rest
+    edges = _direct_edges(small, rules) if edits else neighbours.linking_partners(small, rules)
+    if rest is not None:
         for backward in (False, True):
-            for part in _search(large, rules, look_ahead, slice_bits, backward, tile_rows):
+            for part in _search(rest, rules, look_ahead, slice_bits, backward, tile_rows):
                 edges = edges.unionByName(part.select(F.col("ord").alias("src"), F.col("match_ord").alias("dst")))
-    return edges
+    return edges, not edits and rest is None
 
 
 def _counts_edits(rules: RuleSet) -> bool:

@@ -355,19 +355,43 @@ def sliced_partners(placed: DataFrame, on: list[str], rules: RuleSet, rank: int,
     return seen.mapInArrow(find, out.text)
 
 
+def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels (codes from 0) of rows after those of the pairs became one, the smallest of them."""
+    root = np.arange(labels.max(initial=-1) + 1)
+    x, y = labels[a], labels[b]
+    while len(apart := np.flatnonzero(root[x] != root[y])):
+        x, y = root[x[apart]], root[y[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(further := root[root], root):
+            root = further
+    return root[labels]
+
+
 def linking_partners(records: DataFrame, rules: RuleSet) -> DataFrame:
-    """``src, dst``: links to a partner with another ``label`` after a record and before it. Of records that a rule cannot
-    tell apart and that have one label, one is looked at."""
+    """``src, dst``: links that join all labels of a block that any chain of partners joins, one for each label, to the
+    smallest ``ord`` among them. Of records that a rule cannot tell apart and that have one label, one is looked at."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_blocks(batches, ROWS_AT_ONCE):
             block, order = Block(table, rules), table["ord"].to_numpy()
-            for backward in (False, True):
-                todo = np.ones(table.num_rows, bool)
-                for rule in rules.rules:
-                    a, b = block.search(rule, todo, backward)
-                    todo[a] = False
-                    yield pa.RecordBatch.from_arrays([pa.array(order[a]), pa.array(order[b])], schema=schema)
+            first, before = np.unique(block.label, return_index=True, return_inverse=True)[1:]
+            block.label, active = before, np.ones(table.num_rows, bool)
+            while active.any():
+                pairs = [(before[:0], before[:0])]
+                for backward in (False, True):
+                    todo = active.copy()
+                    for rule in rules.rules:
+                        pairs.append(block.search(rule, todo, backward))
+                        todo[pairs[-1][0]] = False
+                a, b = (np.concatenate(side) for side in zip(*pairs))
+                block.label = _joined(block.label, a, b)
+                active &= np.isin(block.block, block.block[a])  # where none was found, none is left
+            centre = np.full(len(first), np.iinfo(np.int64).max)
+            np.minimum.at(centre, block.label, order)
+            centre = centre[block.label[first]]
+            several = np.bincount(block.label[first], minlength=len(first))[block.label[first]] > 1
+            several &= order[first] != centre
+            yield pa.RecordBatch.from_arrays([pa.array(order[first][several]), pa.array(centre[several])], schema=schema)
 
     return _sorted_blocks(records, rules, ["label"]).mapInArrow(find, "src long, dst long")

@@ -302,12 +302,44 @@ def test_clusters_equal_union_find(spark, search):
     assert {i: labels.get(i, i) for i in want} == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_joined_labels_are_the_components_of_their_pairs(seed):
+    rng = np.random.default_rng(seed)
+    labels, a, b = rng.integers(0, 30, 60), rng.integers(0, 60, 12 * seed), rng.integers(0, 60, 12 * seed)
+    codes = np.unique(labels, return_inverse=True)[1]
+    want = components(30, [(int(codes[x]), int(codes[y])) for x, y in zip(a, b)])
+    assert neighbours._joined(codes, a, b).tolist() == [want[int(c)] for c in codes]
+
+
 def test_star_and_chain_components(spark):
     edges = [(0, i) for i in range(1, 9)] + [(i, i + 1) for i in range(20, 40)] + [(50, 49)]
     got = {r.node: r.root for r in clusters.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: 0 for i in range(9)} | {i: 20 for i in range(20, 41)} | {49: 49, 50: 49}
 
 
+def test_blocks_of_a_task_are_joined_at_once(spark, monkeypatch):
+    """A chain of records that only match the next one is a cluster after one round, whose edges are stars already."""
+    rules = RuleSet(parse_rules({"rules": {"N": {"conditions": [{"field": "COMPANY_NAME", "percentage": 90}]}}}))
+    names = ["abcdefghij" * 3]
+    for i in range(25):  # each differs from the one before in two characters, from the others in more
+        names.append(names[-1][:i] + "Z" + names[-1][i + 1 :])
+    rows = [(f"b{c}", 100 * c + (i * 7) % 26, n) for c in range(3) for i, n in enumerate(names)]
+    table = spark.createDataFrame(rows, "block_key string, ord long, c0 string")
+    rounds, linked = [], clusters.linking_edges
+    monkeypatch.setattr(clusters, "linking_edges", lambda *a, **b: rounds.append(1) or linked(*a, **b))
+    monkeypatch.setattr(clusters, "_large_star", lambda *a: pytest.fail("stars need no step"))
+    got = {r.ord: r.cluster for r in clusters.cluster_labels(table, rules).collect()}
+    assert got == {100 * c + i: 100 * c for c in range(3) for i in range(26)} and len(rounds) == 1
+
+
+def test_cluster_keys_join_narrow_rows(spark, sf_dir, monkeypatch):
+    """Keys are settled without a second look at the stored keys of whole records."""
+    looked, stored = [], linking.with_stored_key
+    monkeypatch.setattr(linking, "with_stored_key", lambda rows, state: looked.append(rows.columns) or stored(rows, state))
+    run = run_match(contacts(spark, sf_dir).filter("RID < 40"), order="RID", mode="cluster")
+    assert run.result.count() == 40 and not any("identifier" in columns for columns in looked)
+
+
 def test_cluster_mode_shares_a_key(spark, sf_dir):
     run = run_match(contacts(spark, sf_dir).filter("RID < 40"), order="RID", mode="cluster")
     rows = {r.RID: r for r in run.result.collect()}
