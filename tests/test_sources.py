@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contactlink.operators import linking, mapping, reports
 from contactlink.operators.rules import parse_rules
+from contactlink.plans import queries
 from contactlink.plans.contacts import contacts
 from contactlink.plans.run import run_match, run_with_store
 from contactlink.sources import catalog as cat
@@ -215,6 +216,28 @@ def test_a_group_of_hashes_is_one_call_that_touches_its_own_hashes():
     assert state.keys == {("a",): ("old",), ("z",): ("x",), ("b",): ("mb",), ("c",): ("mc",)}
 
 
+def test_a_stream_arrives_in_files_of_bounded_size(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "STREAM_FILE_RECORDS", 100)
+    df = contacts(spark, sf_dir)
+    half = queries._dropped(df, str(tmp_path / "drop"))
+    read = spark.read.options(header=True).csv(str(tmp_path / "drop"))
+    sizes = [r["count"] for r in read.groupBy(F.input_file_name()).count().collect()]
+    assert half == 2 * (1 + df.count() // 400) and len(sizes) == 2 * half and max(sizes) < 400 and sum(sizes) == df.count()
+
+
+def test_a_levelled_table_reads_ranges_that_many_keys_ask_for_without_probing(spark, tmp_path, monkeypatch):
+    rows = spark.range(6000).select(F.sha2(F.col("id").cast("string"), 256).alias("data_hash"), F.col("id").cast("string").alias("dedup_key"))
+    table = LevelledTable(spark, str(tmp_path / "store"), HASH_KEY, "data_hash")
+    table.add(rows, "one")
+    table.add(rows.limit(0), "none")
+    assert [bool(s.buckets) for s in table.sheets()] == [True, False]
+    few = {r.dedup_key for r in table.ask(rows.filter("dedup_key < '2' AND length(dedup_key) = 1")).rows.collect()}
+    assert few == {"0", "1"}
+    monkeypatch.setattr(LevelledTable, "_maybe", lambda *a: pytest.fail("every range is asked for"))
+    found = table.ask(rows.filter("dedup_key <> '5'")).rows
+    assert sorted(r.dedup_key for r in found.collect()) == sorted(str(i) for i in range(6000) if i != 5)
+
+
 def test_a_stream_on_a_levelled_store(spark, tmp_path):
     df = people(spark, ["Acme", "Acme Inc", "Zeta", "Acme Co", "Eta"]).withColumn("RID", F.col("RID").cast("string"))
     drop, arguments = str(tmp_path / "drop"), [str(tmp_path / n) for n in ("store", "out", "progress")]
