@@ -216,6 +216,31 @@ def test_a_group_of_hashes_is_one_call_that_touches_its_own_hashes():
     assert state.keys == {("a",): ("old",), ("z",): ("x",), ("b",): ("mb",), ("c",): ("mc",)}
 
 
+def test_a_group_does_not_ask_for_what_it_began_with():
+    """Records of the first batch are looked up in the rows that the state was started with; other groups ask the store."""
+    asked = []
+
+    class Map(dict):
+        updateValue = dict.__setitem__  # noqa: N815
+
+        def getValue(self, key):  # noqa: N802
+            asked.append(key)
+            return self.get(key)
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return Map()
+
+    state = incremental._HashKeys()
+    state.init(Handle())
+    state.handleInitialState((7,), pd.DataFrame({"hash_group": [7], "data_hash": ["a"], "dedup_key": ["old"]}), None)
+    rows = pd.DataFrame({"data_hash": ["a", "b"], "minted": ["ma", "mb"], "first_ord": [2, 1], "n_records": [1, 1]})
+    (out,) = state.handleInputRows((7,), iter([rows]), None)
+    assert list(zip(out["dedup_key"], out["is_new"])) == [("old", False), ("mb", True)] and not asked
+    (out,) = state.handleInputRows((8,), iter([rows]), None)
+    assert asked == [("a",), ("b",)]
+
+
 def test_a_stream_arrives_in_files_of_bounded_size(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "STREAM_FILE_RECORDS", 100)
     df = contacts(spark, sf_dir)
